@@ -1,6 +1,7 @@
 """ROUGE-1, -2, -L and -Lsum over tables of (key, prediction, reference)."""
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import types as T
 from newsmill.functions import lcs
 from newsmill.functions.stem import stem
 from newsmill.functions.text import as_score
+from newsmill.session import stored
 
 STEM_ABOVE = 3  # fixed value: shorter tokens are not stemmed
 VOCABULARY_BYTES = 64 << 20  # largest stem table that is broadcast
@@ -63,13 +65,16 @@ def scores(overlap: Column, n_prediction: Column, n_reference: Column, name: str
     return [p.alias(f"{name}_p"), r.alias(f"{name}_r"), f.alias(f"{name}_f")]
 
 
-def rouge_n(pairs: DataFrame, key: list[str], n: int, stemmed: bool = False) -> DataFrame:
+def rouge_n(pairs: DataFrame, key: list[str], n: int, stemmed: bool = False,
+            placed: bool = False) -> DataFrame:
     """Clipped n-gram overlap per pair; ``key`` must identify a pair.
 
-    Rows are placed by ``key`` once. Both the (key, n-gram) counts and the per-pair sums are
-    clustered by it already, so n-grams are counted where they are made and never shuffled.
+    Rows are placed by ``key`` once, unless a join on it has just done so (``placed``). Both the
+    (key, n-gram) counts and the per-pair sums are clustered by it already, so n-grams are
+    counted where they are made and never shuffled.
     """
-    rows = tokenised(pairs.select(*key, "prediction", "reference").repartition(*key), stemmed)
+    rows = pairs.select(*key, "prediction", "reference")
+    rows = tokenised(rows if placed else rows.repartition(*key), stemmed)
     sides = F.concat(
         F.transform(ngrams(F.col("p"), n), lambda g: F.struct(g.alias("g"), F.lit(1).alias("a"), F.lit(0).alias("b"))),
         F.transform(ngrams(F.col("r"), n), lambda g: F.struct(g.alias("g"), F.lit(0).alias("a"), F.lit(1).alias("b"))))
@@ -94,13 +99,13 @@ def gram_counts(df: DataFrame, key: list[str], text: str, n: int = 1) -> DataFra
             .groupBy(*key, "gram").agg(F.count(F.lit(1)).alias("n")))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _lcs(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for p, r in batches:
         yield pd.Series([lcs.length(list(a), list(b)) for a, b in zip(p, r)], dtype="int32")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _union_hits(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for p, r in batches:
         yield pd.Series([lcs.union_hits([list(x) for x in b], [list(x) for x in a])
@@ -131,19 +136,22 @@ def _stem_lines(rows: pd.Series) -> pd.Series:
     return rows.map(lambda ls: [[stem(t) if len(t) > STEM_ABOVE else t for t in l] for l in ls])
 
 
+def mean_scores(parts: dict[str, DataFrame]) -> DataFrame:
+    """Mean F1 per metric over all pairs, times 100, four decimals: one row.
+
+    Each metric is averaged on its own, so pairs are never joined with themselves.
+    """
+    rows = [df.select(F.lit(name).alias("metric"), F.col(f"{name}_f").alias("f"))
+            for name, df in parts.items()]
+    return reduce(DataFrame.unionByName, rows).agg(*[
+        as_score(F.avg(F.when(F.col("metric") == name, F.col("f")))).alias(name) for name in parts])
+
+
 def corpus_scores(pairs: DataFrame, key: list[str], stemmed: bool = True) -> DataFrame:
-    """Mean F1 of every metric over all pairs, times 100, four decimals: one row."""
-    parts = [
-        (rouge_n(pairs, key, 1, stemmed), "rouge1"), (rouge_n(pairs, key, 2, stemmed), "rouge2"),
-        (rouge_l(pairs, key, stemmed), "rougeL"), (rouge_lsum(pairs, key, stemmed), "rougeLsum")]
-    # each metric is averaged on its own, so pairs are never joined with themselves
-    rows = None
-    for scored, name in parts:
-        one = scored.select(F.lit(name).alias("metric"), F.col(f"{name}_f").alias("f"))
-        rows = one if rows is None else rows.unionByName(one)
-    return rows.agg(*[
-        as_score(F.avg(F.when(F.col("metric") == name, F.col("f")))).alias(name)
-        for _, name in parts])
+    """All four metrics over a table of pairs."""
+    return mean_scores({
+        "rouge1": rouge_n(pairs, key, 1, stemmed), "rouge2": rouge_n(pairs, key, 2, stemmed),
+        "rougeL": rouge_l(pairs, key, stemmed), "rougeLsum": rouge_lsum(pairs, key, stemmed)})
 
 
 def vocabulary(df: DataFrame, text: str) -> DataFrame:
@@ -156,10 +164,11 @@ def attach_stems(rows: DataFrame, stems: DataFrame, max_bytes: int = VOCABULARY_
                  salts: int = 64) -> DataFrame:
     """Join stems to a (…, token) table.
 
-    The stem table is measured: below ``max_bytes`` it is broadcast. Above, both sides are
+    The stem table is stored once and measured: below ``max_bytes`` it is broadcast. Above, both sides are
     shuffled, and since a few words make up much of any text, tokens are spread over ``salts``
     copies of the stem table.
     """
+    stems = stored(stems, "stems")
     size = stems.agg(F.coalesce(
         F.sum(F.octet_length("token") + F.octet_length("stem") + 64), F.lit(0))).first()[0]
     if size <= max_bytes:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ("corpus",)
+GROUPS = ("corpus", "texts", "modelling", "scoring", "web", "ledgers", "streams")
 
 
 def load_all() -> None:

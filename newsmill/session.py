@@ -41,3 +41,14 @@ def scratch(spark, name):
         context.setCheckpointDir(tempfile.mkdtemp(prefix="newsmill-", dir="/tmp"))
         root = context.getCheckpointDir()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df, name):
+    """Write a table that is read more than once, and read it back.
+
+    It lives in the shared folder, so losing an executor costs no recomputation.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
