@@ -3,6 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from newsmill.functions.text import bind
+
 # A stand-in for a trained classifier: a word list for each label, scores are smoothed shares.
 LEXICON = {
     "anger": ("angry", "anger", "furious", "rage", "outrage", "hate", "hostile", "attack"),
@@ -17,15 +19,19 @@ LEXICON = {
 
 def lexicon_scores(text: Column, lexicon=LEXICON) -> Column:
     """Share of each label's words in the whole text, one added to every count."""
+    labels = sorted(lexicon)
     tokens = F.split(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "), " ")
 
-    def count(members):
-        return F.size(F.filter(tokens, lambda t: t.isin(*members))) + 1
+    def count(ts):
+        def hits(members):
+            return F.size(F.filter(ts, lambda t: t.isin(*members))) + 1
+        return F.array(*[hits(lexicon[k]) for k in labels])
+
+    def shares(counts):
+        total = F.aggregate(counts, F.lit(0), lambda a, n: a + n)
+        return bind(total, lambda all_: F.transform(counts, lambda n: n / all_))
 
-    counts = [(label, count(lexicon[label])) for label in sorted(lexicon)]
-    total = sum((n for _, n in counts[1:]), counts[0][1])
-    pairs = [part for label, n in counts for part in (F.lit(label), n / total)]
-    return F.create_map(*pairs)
+    return F.map_from_arrays(F.array(*[F.lit(k) for k in labels]), bind(bind(tokens, count), shares))
 
 
 def from_label_scores(pairs: Column) -> Column:

@@ -30,13 +30,28 @@ CHUNK_LIMIT = 900
 LINE_MIN = 30
 
 
+def bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``, however often that refers to it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def py_strip(c: Column) -> Column:
     """Strip all Unicode whitespace from both ends."""
     return F.btrim(c, F.lit(WHITESPACE))
 
 
+def _replace_above(c: Column, floor: str, ranges: str) -> Column:
+    """Delete characters of ``ranges``, all of which lie at or above ``floor``.
+
+    Most texts hold no such character. Testing for one with a single range is several times
+    faster than matching a class of many ranges, so only the others are rewritten.
+    """
+    affected = c.rlike(rf"[\x{{{floor}}}-\x{{10FFFF}}]")
+    return F.when(affected, F.regexp_replace(c, f"[{ranges}]+", "")).otherwise(c)
+
+
 def strip_corpus_emoji(c: Column) -> Column:
-    return F.regexp_replace(c, f"[{CORPUS_EMOJI}]+", "")
+    return _replace_above(c, "24C2", CORPUS_EMOJI)
 
 
 def keeps_corpus_text(c: Column) -> Column:
@@ -49,7 +64,7 @@ def keeps_corpus_text(c: Column) -> Column:
 
 
 def strip_page_emoji(c: Column) -> Column:
-    return F.regexp_replace(c, f"[{PAGE_EMOJI}]+", "")
+    return _replace_above(c, "2600", PAGE_EMOJI)
 
 
 def clean_lines(c: Column, min_length: int = LINE_MIN) -> Column:
@@ -70,8 +85,9 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(F.split(marked, r"\|"), py_strip), lambda s: s != "")
 
 
-def words(c: Column) -> Column:
-    return F.filter(F.split(c, SPACES), lambda w: w != "")
+def words(c: Column, pieces: int = -1) -> Column:
+    """Whitespace-separated words; with ``pieces`` the text is split into at most so many."""
+    return F.filter(F.split(c, SPACES, pieces), lambda w: w != "")
 
 
 def count_words(c: Column) -> Column:

@@ -21,8 +21,12 @@ def hashed_ids(tokens: Column) -> Column:
 
 
 def encode(text: Column, limit: int, to_ids=hashed_ids) -> Column:
-    """Ids of the first words that fit into ``limit``, with start and end markers."""
-    body = to_ids(F.slice(words(text), 1, limit - 2))
+    """Ids of the first words that fit into ``limit``, with start and end markers.
+
+    Words past the limit are not split off: the last two pieces leave room for an empty one
+    before the first word and for the rest of the text.
+    """
+    body = to_ids(F.slice(words(text, limit), 1, limit - 2))
     return F.concat(F.array(F.lit(BOS)), body, F.array(F.lit(EOS)))
 
 

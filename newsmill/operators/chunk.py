@@ -4,12 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsmill.functions.text import (
-    CHUNK_LIMIT, count_tokens, count_words, sentences, summary_budget)
-
-
-def bind(value: Column, body) -> Column:
-    """Evaluate ``value`` once and hand it to ``body``, however often that refers to it."""
-    return F.transform(F.array(value), body)[0]
+    CHUNK_LIMIT, bind, count_tokens, count_words, sentences, summary_budget)
 
 
 def pack(parts: Column, sizes: Column, text: Column, max_tokens: int) -> Column:

@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 from newsmill.functions.emotions import from_label_scores, lexicon_scores
 from newsmill.functions.guards import is_blank, scoring_guard, summary_guard
 from newsmill.functions.text import (
-    CHUNK_LIMIT, DIRECT_LIMIT, count_tokens, count_words, sentences, summary_budget, words)
-from newsmill.operators.chunk import bind, chunks
+    CHUNK_LIMIT, DIRECT_LIMIT, bind, count_tokens, count_words, sentences, summary_budget, words)
+from newsmill.operators.chunk import chunks
 
 # texts, shortest lengths, longest lengths -> summaries
 Summariser = Callable[[list[str], list[int], list[int]], list[str]]
@@ -38,7 +38,9 @@ def lead_summary(text: Column, max_len: Column) -> Column:
 
 
 def _lead_all(texts: Column) -> Column:
-    return F.transform(texts, lambda t: lead_summary(t, summary_budget(count_tokens(t))["max_len"]))
+    def lead(t):
+        return bind(summary_budget(count_tokens(t))["max_len"], lambda top: lead_summary(t, top))
+    return F.transform(texts, lead)
 
 
 def model_udf(load: Callable[[], Summariser]):

@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsmill.functions.dom import parse
-from newsmill.functions.text import clean_lines, clean_title, py_strip
-from newsmill.operators.chunk import bind
+from newsmill.functions.text import bind, clean_lines, clean_title, py_strip
 
 # Fetch methods in the order they are tried, the least text of an <article>, the
 # least characters per counted element, and how many regions each method may try.

@@ -4,13 +4,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute rows of a table that comes in fewer splits than there are cores.
 
+    Meant for heavy work on each row of a small file. A large table has splits enough and is
+    left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
-def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
+    """A given table; ``heavy`` announces much work per row."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if heavy else df
+
+
+def articles(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
     """Documents as articles: the first line is the highlight, ``doc_id`` the row order."""
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", heavy)
     return docs.select(
         "doc_id", F.col("doc_id").cast("string").alias("id"), F.col("text").alias("article"),
-        F.split("text", "\n")[0].alias("highlights"), F.col("lang").alias("split"))
+        F.substring_index("text", "\n", 1).alias("highlights"), F.col("lang").alias("split"))

@@ -31,7 +31,7 @@ def _show(*columns):
   array_to_string(list_transform(ids, lambda x: 1), ' ') AS attention_mask,
   array_to_string(labels, ' ') AS labels FROM inputs""")
 def model_inputs(spark, sf_dir):
-    rows = features.model_inputs(articles(spark, sf_dir), keep=["doc_id"])
+    rows = features.model_inputs(articles(spark, sf_dir, heavy=True), keep=["doc_id"])
     return rows.select("doc_id", *_show("input_ids", "attention_mask", "labels"))
 
 
@@ -44,7 +44,7 @@ padded AS (SELECT doc_id, batch_no, n, list_resize(ids, n, 1::BIGINT) AS ids,
 
 
 def _batches(spark, sf_dir):
-    rows = features.model_inputs(articles(spark, sf_dir), keep=["doc_id"])
+    rows = features.model_inputs(articles(spark, sf_dir, heavy=True), keep=["doc_id"])
     numbered = rows.withColumn("batch_no", F.floor(F.col("doc_id") / BATCH).cast("long"))
     return features.collate(numbered, "batch_no")
 
@@ -88,13 +88,13 @@ SELECT doc_id, chunk_no, chunk, n_tokens, {sql.min_len('n_tokens')} AS min_len,
 
 @query(_chunk_rows_sql(900))
 def chunk_table(spark, sf_dir):
-    return chunk.chunk_table(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return chunk.chunk_table(table(spark, sf_dir, "documents", heavy=True), "doc_id", "text")
 
 
 @query(_chunk_rows_sql(90))
 def chunk_table_small(spark, sf_dir):
     """A tight budget, so that most documents have several chunks."""
-    return chunk.chunk_table(table(spark, sf_dir, "documents"), "doc_id", "text", 90)
+    return chunk.chunk_table(table(spark, sf_dir, "documents", heavy=True), "doc_id", "text", 90)
 
 
 def _lead_sql(source, text, name):
@@ -135,14 +135,14 @@ SUMMARY_COLUMNS = ("doc_id", "route", "n_tokens", "n_chunks", "combined_tokens",
 
 @query(_summaries_sql(900, 1024))
 def summaries(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents", heavy=True).select("doc_id", "text")
     return models.summarise(docs, "text").select(*SUMMARY_COLUMNS)
 
 
 @query(_summaries_sql(60, 80))
 def summaries_small(spark, sf_dir):
     """Tight limits, so that the second pass over combined summaries happens."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents", heavy=True).select("doc_id", "text")
     return models.summarise(docs, "text", max_tokens=60, direct_limit=80).select(*SUMMARY_COLUMNS)
 
 
@@ -155,7 +155,7 @@ def shortest(texts, lows, highs):
 SELECT doc_id, array_to_string(w[1:{sql.min_len('(len(w) + 2)')}], ' ') AS summary FROM sized""")
 def summaries_by_model(spark, sf_dir):
     """A Python model over whole documents, every text in one pass."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents", heavy=True).select("doc_id", "text")
     return models.summarise(docs, "text", lambda: shortest, direct_limit=1 << 30).select(
         "doc_id", "summary")
 
@@ -191,7 +191,7 @@ counted AS (SELECT doc_id, {counts} FROM scored), shares AS ({rows})"""
 
 
 def _scored(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents", heavy=True).select("doc_id", "text")
     return models.score_emotions(docs, "text", lexicon=WORDS)
 
 

@@ -114,7 +114,7 @@ def overlap_by_join(spark, sf_dir):
 @query()
 def vocabulary_stems(spark, sf_dir):
     """Stems of every distinct token, joined back, and how many occurrences each stem has."""
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", heavy=True)
     counts = (docs.select(F.explode(rouge.tokens(F.col("text"))).alias("token"))
               .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
     joined = rouge.attach_stems(counts, rouge.vocabulary(docs, "text"))
@@ -124,6 +124,6 @@ def vocabulary_stems(spark, sf_dir):
 @query(f"SELECT t AS token, count(*) AS n FROM (SELECT unnest({sql.rouge_tokens('text')}) AS t "
        "FROM documents) GROUP BY t")
 def token_counts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", heavy=True)
     return docs.select(F.explode(rouge.tokens(F.col("text"))).alias("token")).groupBy("token").agg(
         F.count(F.lit(1)).alias("n"))

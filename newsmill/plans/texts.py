@@ -12,7 +12,7 @@ EMOJI = "☀️⚽日"
 
 
 def _docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents")
+    return table(spark, sf_dir, "documents", heavy=True)
 
 
 @query(f"SELECT doc_id, {sql.clean_lines(f"text || '{EMOJI}'")} AS text FROM documents")
