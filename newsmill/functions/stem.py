@@ -2,8 +2,6 @@
 with the usual later additions: a few irregular words, ``-ied``, ``-ies`` in short words,
 ``-fulli``, ``-bli``, ``-logi``, and ``y`` kept after a vowel or in two-letter stems."""
 
-from functools import lru_cache
-
 # Words with a stem of their own.
 IRREGULAR = {
     "sky": "sky", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie",
@@ -125,7 +123,6 @@ def _step_5(word):
     return word[:-1] if word.endswith("ll") and _measure(word[:-1]) > 1 else word
 
 
-@lru_cache(maxsize=200_000)
 def stem(word: str) -> str:
     if word in IRREGULAR:
         return IRREGULAR[word]
@@ -133,3 +130,17 @@ def stem(word: str) -> str:
         return word
     word = _final_y(_past(_plural(word)))
     return _step_5(_step_4(_swap(_step_2(word), STEP_3, 1)))
+
+
+def remembering(limit: int = 200_000):
+    """``stem`` with a memory of its own; texts repeat a small vocabulary."""
+    known: dict[str, str] = {}
+
+    def look_up(word: str) -> str:
+        found = known.get(word)
+        if found is None:
+            if len(known) >= limit:
+                known.clear()
+            found = known[word] = stem(word)
+        return found
+    return look_up

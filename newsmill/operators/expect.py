@@ -214,8 +214,8 @@ def unexpected_rows(df: DataFrame, check: Check, order_by: str) -> DataFrame:
         # over the join by row key
         marks = keyed.select(order_by, "fp_lo", "fp_hi")
         spread = (marks.groupBy("fp_lo", "fp_hi")
-                  .agg(F.count(F.lit(1)).alias("n"), F.min(order_by).alias(order_by)))
-        once = spread.filter("n = 1").select(order_by)
+                  .agg(F.count(F.lit(1)).alias("_size"), F.min(order_by).alias(order_by)))
+        once = spread.filter("_size = 1").select(order_by)
         return keyed.join(once, order_by, "left_anti").drop("fp_lo", "fp_hi")
     return df.filter(unexpected(check))
 

@@ -144,9 +144,9 @@ def _region_text(region: Column) -> Column:
 def extract(df: DataFrame, method: Column | None = None) -> DataFrame:
     """Add ``status, branch, attempt, title, text`` to pages with a ``dom``.
 
-    A page that yields nothing keeps its row; ``status`` says why.
+    ``method`` is the fetch method of each row, the first one when not given. A page that
+    yields nothing keeps its row; ``status`` says why.
     """
-    method = F.lit(METHODS[0]) if method is None else method
     body = _first("article")
     heading = df.withColumns({
         "_title": F.coalesce(_first("h1"), _first("h2")),
@@ -162,9 +162,9 @@ def extract(df: DataFrame, method: Column | None = None) -> DataFrame:
     # after its last paragraph-ranked region the first method ranks anew, without that region
     last = F.get("_first", F.lit(FIRST_POOL - 1))["region"]
     others = F.filter(_ranked(_places("p", "span", "article")), lambda c: c["region"] != last)
-    more = _tries(others, SECOND_POOL)
-    tries = F.when(method == METHODS[0], F.concat("_first", more)).otherwise(
-        F.slice("_first", 1, LATER_POOL))
+    tries = F.concat("_first", _tries(others, SECOND_POOL))
+    if method is not None:
+        tries = F.when(method == METHODS[0], tries).otherwise(F.slice("_first", 1, LATER_POOL))
 
     def dense(t):
         return bind(_region_text(t["region"]), lambda x: F.when(

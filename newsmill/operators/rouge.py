@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsmill.functions import lcs
-from newsmill.functions.stem import stem
+from newsmill.functions.stem import remembering, stem
 from newsmill.functions.text import as_score
 from newsmill.session import stored
 
@@ -23,10 +23,23 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(clean, " "), lambda t: t != "")
 
 
+def _stemmer():
+    look_up = remembering()
+    return lambda ts: [look_up(t) if len(t) > STEM_ABOVE else t for t in ts]
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def stem_all(rows: pd.Series) -> pd.Series:
-    return rows.map(lambda ts: None if ts is None else
-                    [stem(t) if len(t) > STEM_ABOVE else t for t in ts])
+def stem_all(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    stems = _stemmer()
+    for rows in batches:
+        yield rows.map(stems)
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def stem_lines(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    stems = _stemmer()
+    for rows in batches:
+        yield rows.map(lambda lines: [stems(line) for line in lines])
 
 
 @F.pandas_udf(T.StringType())
@@ -126,16 +139,11 @@ def rouge_lsum(pairs: DataFrame, key: list[str], stemmed: bool = False) -> DataF
 
     rows = pairs.select(*key, lines("prediction").alias("p"), lines("reference").alias("r"))
     if stemmed:
-        rows = rows.withColumns({s: _stem_lines(s) for s in ("p", "r")})
+        rows = rows.withColumns({s: stem_lines(s) for s in ("p", "r")})
     return rows.withColumn("_n", _union_hits("p", "r")).select(
         *key, *scores(F.col("_n"), F.size(F.flatten("p")), F.size(F.flatten("r")), "rougeLsum"))
 
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
-def _stem_lines(rows: pd.Series) -> pd.Series:
-    return rows.map(lambda ls: [[stem(t) if len(t) > STEM_ABOVE else t for t in l] for l in ls])
-
-
 def mean_scores(parts: dict[str, DataFrame]) -> DataFrame:
     """Mean F1 per metric over all pairs, times 100, four decimals: one row.
 

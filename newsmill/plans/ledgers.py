@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from newsmill.functions.times import utc_instant
 from newsmill.operators import ledger
 from newsmill.plans.articles import table
 from newsmill.plans.registry import query
@@ -15,7 +16,7 @@ RECORDS = f"""records AS (SELECT event_id, ts, event_type AS stage,
 
 
 def _events(spark, sf_dir):
-    return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return table(spark, sf_dir, "events").withColumn("ts", utc_instant(F.col("ts")))
 
 
 def _ledger(spark, sf_dir):
