@@ -16,6 +16,7 @@ from newsmill.functions.guards import is_blank, scoring_guard, summary_guard
 from newsmill.functions.text import (
     CHUNK_LIMIT, DIRECT_LIMIT, bind, count_tokens, count_words, sentences, summary_budget, words)
 from newsmill.operators.chunk import chunks
+from newsmill.operators.pin import pin
 
 # texts, shortest lengths, longest lengths -> summaries
 Summariser = Callable[[list[str], list[int], list[int]], list[str]]
@@ -89,8 +90,9 @@ def summarise(df: DataFrame, text: str, load: Callable[[], Summariser] | None =
     final = (made.withColumn("_again", F.when(again, F.array("_joined")).otherwise(none))
              .withColumn("_final", _apply(F.col("_again"), udf)))
     summary = F.when(again, F.get("_final", F.lit(0))).otherwise(F.col("_joined"))
-    return (final.withColumn("summary", summary)
-            .drop("_parts", "_made", "_joined", "_again", "_final"))
+    out = (final.withColumn("summary", summary)
+           .drop("_parts", "_made", "_joined", "_again", "_final"))
+    return pin(out, "n_tokens", "route", "n_chunks", "combined_tokens", "summary")
 
 
 def respond(df: DataFrame, title: str, text: str) -> DataFrame:
@@ -133,10 +135,11 @@ def score_emotions(df: DataFrame, text: str, load: Callable[[], Scorer] | None =
                         else lexicon_scores(offered))
     out = guarded.withColumn("probabilities", scores)
     broken = (F.col("_g.status") == "ok") & F.col("probabilities").isNull()
-    return out.withColumns({
+    out = out.withColumns({
         "status": F.when(broken, "error").otherwise(F.col("_g.status")),
         "detail": F.when(broken, "analyzer output is invalid").otherwise(F.col("_g.detail")),
     }).drop("_g")
+    return pin(out, "status", "detail", "probabilities")
 
 
 def map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema) -> DataFrame:

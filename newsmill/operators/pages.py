@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from newsmill.functions.dom import parse
 from newsmill.functions.text import bind, clean_lines, clean_title, py_strip
+from newsmill.operators.pin import pin
 
 # Fetch methods in the order they are tried, the least text of an <article>, the
 # least characters per counted element, and how many regions each method may try.
@@ -68,6 +69,15 @@ def _text(i: Column) -> Column:
     return F.array_join(_string_slice(i), "")
 
 
+def _title() -> Column:
+    return F.coalesce(_first("h1"), _first("h2"))
+
+
+def heading_text() -> Column:
+    """Text of the first h1, or else of the first h2, of a page with a ``dom``."""
+    return _text(_title())
+
+
 def _stripped(strings: Column) -> Column:
     return F.filter(F.transform(strings, py_strip), lambda s: s != "")
 
@@ -149,7 +159,7 @@ def extract(df: DataFrame, method: Column | None = None) -> DataFrame:
     """
     body = _first("article")
     heading = df.withColumns({
-        "_title": F.coalesce(_first("h1"), _first("h2")),
+        "_title": _title(),
         "_article": F.when(body.isNotNull(), F.array_join(_stripped(_string_slice(body)), "\n"))})
     # accepted as it is when long enough; the ranking below is then never evaluated
     direct = F.coalesce(F.length("_article") > MIN_ARTICLE_TEXT, F.lit(False))
@@ -183,21 +193,22 @@ def extract(df: DataFrame, method: Column | None = None) -> DataFrame:
     found = found.withColumn("_found", F.when(search, F.when(
         F.col("_quick.text").isNotNull(), F.col("_quick")).otherwise(full)))
 
-    heading_text = _text(F.col("_title"))
+    title = _text(F.col("_title"))
     ok = direct | F.col("_found.text").isNotNull()
     status = (F.when(F.col("dom").isNull(), "No page.")
               .when(F.col("_title").isNull(), NO_TITLE)
               .when(ok, "ok").otherwise(NO_WORDS))
     named = found.withColumn("status", status)
     good = F.col("status") == "ok"
-    return named.withColumns({
+    out = named.withColumns({
         "branch": F.when(good, F.when(direct, "article").otherwise("region")),
         "attempt": F.when(good & ~direct, F.col("_found.n") - 1),
-        "title": F.when(good, F.when(direct, clean_lines(heading_text))
-                        .otherwise(clean_title(heading_text))),
+        "title": F.when(good, F.when(direct, clean_lines(title))
+                        .otherwise(clean_title(title))),
         "text": F.when(good, clean_lines(F.when(direct, F.col("_article"))
                                          .otherwise(F.col("_found.text")))),
     }).drop("_title", "_article", "_p", "_first", "_quick", "_found")
+    return pin(out, "status", "branch", "attempt", "title", "text")
 
 
 def extract_pages(pages: DataFrame, keep=("page_id",)) -> DataFrame:

@@ -107,7 +107,7 @@ def _lead_sql(source, text, name):
     ELSE array_to_string(({sql.words("coalesce(s[1], '')")})[1:top], ' ') END AS made FROM {name}_k)"""
 
 
-def _summaries_sql(limit, direct):
+def summaries_sql(limit, direct):
     """The whole summariser: route, chunk, summarise, combine, summarise again when long."""
     return f"""WITH sized AS (SELECT doc_id, text, len({sql.words('text')}) + 2 AS n_tokens FROM documents),
 routed AS (SELECT *, CASE WHEN {sql.strip('text')} = '' THEN 'blank' WHEN n_tokens <= {direct}
@@ -133,13 +133,13 @@ FROM second_pass"""
 SUMMARY_COLUMNS = ("doc_id", "route", "n_tokens", "n_chunks", "combined_tokens", "summary")
 
 
-@query(_summaries_sql(900, 1024))
+@query(summaries_sql(900, 1024))
 def summaries(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", heavy=True).select("doc_id", "text")
     return models.summarise(docs, "text").select(*SUMMARY_COLUMNS)
 
 
-@query(_summaries_sql(60, 80))
+@query(summaries_sql(60, 80))
 def summaries_small(spark, sf_dir):
     """Tight limits, so that the second pass over combined summaries happens."""
     docs = table(spark, sf_dir, "documents", heavy=True).select("doc_id", "text")

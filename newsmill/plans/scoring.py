@@ -78,16 +78,25 @@ def corpus_rouge(spark, sf_dir):
     return rouge.corpus_scores(_pairs(spark, sf_dir), KEY)
 
 
-# one row of the length table per predicted token; a cell is the running maximum of its
-# candidates, which are the cell above, or the one before it plus one where the tokens match
+# a fold over the predicted tokens keeps one row of the length table; inside it, a cell is the
+# running maximum of its candidates: the cell above, or its left neighbour plus one on a match
 LCS = """list_reduce(list_transform(p, lambda t: {'t': t, 'row': CAST([] AS BIGINT[])}),
-  lambda acc, x: {'t': x.t, 'row': list_transform(range(1, len(r) + 1), lambda j: list_max(
-    list_transform(range(1, j + 1), lambda k: CASE WHEN r[k] = x.t
-      THEN (CASE WHEN k = 1 THEN 0 ELSE acc.row[k - 1] END) + 1 ELSE acc.row[k] END)))},
+  lambda acc, x: {'t': x.t, 'row': list_reduce(
+    list_transform(range(1, len(r) + 1), lambda k: [CASE WHEN r[k] = x.t
+      THEN (CASE WHEN k = 1 THEN 0 ELSE acc.row[k - 1] END) + 1 ELSE acc.row[k] END]),
+    lambda a, b: list_append(a, greatest(a[len(a)], b[1])))},
   {'t': '', 'row': list_transform(r, lambda _: 0::BIGINT)}).row[len(r)]"""
+ROUGE_L = f"""sides AS (SELECT conv_id, turn, {sql.rouge_tokens('prediction')} AS p,
+    {sql.rouge_tokens('reference')} AS r FROM pairs),
+common AS (SELECT conv_id, turn, len(p) AS n_p, len(r) AS n_r,
+    CASE WHEN len(p) = 0 OR len(r) = 0 THEN 0 ELSE CAST({LCS} AS DOUBLE) END AS hits FROM sides),
+prl AS (SELECT conv_id, turn, CASE WHEN n_p > 0 THEN hits / n_p ELSE 0 END AS p,
+    CASE WHEN n_r > 0 THEN hits / n_r ELSE 0 END AS r FROM common)"""
 
 
-@query()
+@query(f"""WITH {sql.PAIRS}, {ROUGE_L} SELECT conv_id, turn, round(p, 6) AS "rougeL_p",
+  round(r, 6) AS "rougeL_r", round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6)
+  AS "rougeL_f" FROM prl""")
 def rouge_l(spark, sf_dir):
     return _rounded(rouge.rouge_l(_pairs(spark, sf_dir), KEY))
 
