@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsmill.functions.text import keeps_corpus_text, strip_corpus_emoji
+from newsmill.session import stored
 
 MIN_ARTICLE = 50
+DROPPED_ROWS = 1_000_000  # most row keys that are broadcast, some tens of megabytes
 
 
 def fingerprint(*columns: str) -> list[Column]:
@@ -102,6 +104,26 @@ def clean_articles(df: DataFrame, order_by: str, within=()) -> DataFrame:
     return keep_rows(rows, kept, order_by).transform(remove_emoji)
 
 
+def clean_articles_stored(df: DataFrame, order_by: str, within=(),
+                          max_broadcast_rows: int = DROPPED_ROWS) -> DataFrame:
+    """The same result in stages, for large corpora: the narrow tables are written down, and when
+    few rows have to go, those are broadcast and article text is not shuffled at all.
+
+    The dropped rows are counted first; above ``max_broadcast_rows`` the survivors are fetched
+    back as in ``clean_articles``.
+    """
+    keys = stored(clean_keys(df, order_by, within), "keys")
+    kept = stored(survivors(keys, order_by, within), "survivors")
+    dropped = keys.select(order_by).join(kept, order_by, "left_anti")
+    a, h = F.col("article"), F.col("highlights")
+    rows = df.filter(keeps_corpus_text(a) & keeps_corpus_text(h))
+    if dropped.count() <= max_broadcast_rows:
+        left = rows.join(F.broadcast(dropped), order_by, "left_anti")
+    else:
+        left = keep_rows(rows, kept, order_by)
+    return left.transform(remove_emoji)
+
+
 def clean_articles_wide(df: DataFrame, order_by: str, within=()) -> DataFrame:
     """The same result as a chain of single steps; kept to measure the narrow form against."""
     steps = df.transform(remove_emoji).transform(drop_missing)

@@ -78,16 +78,14 @@ def scores(overlap: Column, n_prediction: Column, n_reference: Column, name: str
     return [p.alias(f"{name}_p"), r.alias(f"{name}_r"), f.alias(f"{name}_f")]
 
 
-def rouge_n(pairs: DataFrame, key: list[str], n: int, stemmed: bool = False,
-            placed: bool = False) -> DataFrame:
+def rouge_n(pairs: DataFrame, key: list[str], n: int, stemmed: bool = False) -> DataFrame:
     """Clipped n-gram overlap per pair; ``key`` must identify a pair.
 
-    Rows are placed by ``key`` once, unless a join on it has just done so (``placed``). Both the
-    (key, n-gram) counts and the per-pair sums are clustered by it already, so n-grams are
-    counted where they are made and never shuffled.
+    Rows are placed by ``key`` once; Spark leaves that out where a join on it has just done so.
+    Both the (key, n-gram) counts and the per-pair sums are clustered by it already, so n-grams
+    are counted where they are made and never shuffled.
     """
-    rows = pairs.select(*key, "prediction", "reference")
-    rows = tokenised(rows if placed else rows.repartition(*key), stemmed)
+    rows = tokenised(pairs.select(*key, "prediction", "reference").repartition(*key), stemmed)
     sides = F.concat(
         F.transform(ngrams(F.col("p"), n), lambda g: F.struct(g.alias("g"), F.lit(1).alias("a"), F.lit(0).alias("b"))),
         F.transform(ngrams(F.col("r"), n), lambda g: F.struct(g.alias("g"), F.lit(0).alias("a"), F.lit(1).alias("b"))))

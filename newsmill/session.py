@@ -13,6 +13,8 @@ SETTINGS = {
     # fetching survivors back by row key does not sort full article rows
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "128m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # plans here hold long expressions; do not send a call site to the JVM for each part
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # rows here carry whole documents or pages: keep Arrow batches small
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }

@@ -111,7 +111,7 @@ def windowed_totals(stream: DataFrame, width: str = "1 hour", delay: str = "1 ho
 
 
 def pace_batches(stream: DataFrame, key: str, ts: str, tie: str, gap_seconds: float,
-                 out: str, state: str, unit: str = "hour"):
+                 out: str, state: str, unit: str | None = None):
     """Release times of arriving requests, each batch going on from the last release per key.
 
     A batch is paced by the two-level scan, so a busy key is spread over tasks. Batches must

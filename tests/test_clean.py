@@ -18,7 +18,13 @@ def rows(spark):
                                  "n long, id string, article string, highlights string")
 
 
-@pytest.mark.parametrize("cleaner", [clean.clean_articles, clean.clean_articles_wide])
+def fetched(df, order_by):
+    """Stages with more dropped rows than may be broadcast."""
+    return clean.clean_articles_stored(df, order_by, max_broadcast_rows=1)
+
+
+@pytest.mark.parametrize("cleaner", [
+    clean.clean_articles, clean.clean_articles_wide, clean.clean_articles_stored, fetched])
 def test_cleaner_keeps_the_expected_rows(rows, cleaner):
     kept = {r["n"]: r["article"] for r in cleaner(rows, "n").collect()}
     assert kept == {0: L, 4: M, 10: L5 + "🤖", 12: "T" * 60}

@@ -46,8 +46,8 @@ def test_running_totals_cross_blocks(spark):
     rows = [(i, at(rng.randint(0, 20_000)), rng.choice("ab"), None if rng.random() < .1 else rng.randint(0, 9) / 1)
             for i in range(400)]
     df = spark.createDataFrame(rows, "n long, ts timestamp, stage string, emissions_kg double")
-    for by in ([], ["stage"]):
-        got = {r["n"]: r["total_kg"] for r in ledger.running_totals(df, "n", by=by).collect()}
+    for by, unit in (([], None), (["stage"], None), ([], "hour"), (["stage"], "hour")):
+        got = {r["n"]: r["total_kg"] for r in ledger.running_totals(df, "n", by, unit).collect()}
         sums, want = {}, {}
         for n, _, stage, kg in sorted(rows, key=lambda r: (r[1], r[0])):
             key = stage if by else None
@@ -79,7 +79,7 @@ def test_releases_equal_the_sequential_rule(spark):
     rows = [(i, rng.choice("aaab"), at(rng.random() * 40_000)) for i in range(1500)]
     df = spark.createDataFrame(rows, "n long, k string, ts timestamp")
     want, _ = sequential(rows, 35_000_000)
-    for unit in ("minute", "hour", "year"):
+    for unit in (None, "minute", "hour", "year"):
         got = {r["n"]: r["release"] for r in ledger.release_times(df, "k", "ts", "n", 35, unit).collect()}
         assert got == want
     early = [r for r in rows if r[2] < at(20_000)]
@@ -89,3 +89,20 @@ def test_releases_equal_the_sequential_rule(spark):
     part = spark.createDataFrame(late, "n long, k string, ts timestamp")
     got = {r["n"]: r["release"] for r in ledger.release_times(part, "k", "ts", "n", 35, carry=carry).collect()}
     assert got == {n: want[n] for n, _, _ in late}
+
+
+def test_null_keys_and_times(spark):
+    rows = [(1, None, None, 1.0), (2, None, at(5), 2.0), (3, "a", None, 4.0), (4, None, at(4000), 8.0)]
+    df = spark.createDataFrame(rows, "n long, stage string, ts timestamp, emissions_kg double")
+    for unit in (None, "hour"):
+        got = {r["n"]: r["total_kg"] for r in ledger.running_totals(df, "n", ["stage"], unit).collect()}
+        assert got == {1: 1.0, 2: 3.0, 3: 4.0, 4: 11.0}
+
+
+def test_one_moment_holds_most_rows(spark):
+    # all requests of the busy key arrive at once: blocks still split them
+    df = spark.range(5000).selectExpr("id AS n", "IF(id % 10 = 0, 'b', 'a') AS k",
+                                      "timestamp'2024-01-01 00:00:00' AS ts")
+    made = ledger.release_times(df, "k", "ts", "n", 1)
+    got = sorted(r["release"] for r in made.filter("k = 'a'").collect())
+    assert got == [micros(T0) + i * 1_000_000 for i in range(4500)]
