@@ -36,6 +36,7 @@ class Page(HTMLParser):
         self.tag, self.parent, self.last, self.twin = [], [], [], []
         self.s_from, self.s_to, self.text, self.owner = [], [], [], []
         self._open, self._buffer = [], []
+        self._depth = {}   # name -> open elements of that name; pages may nest very deeply
         self._shape = []   # per open element: (name, attributes, children so far)
         self._first = {}   # structure of an element -> position of the first such element
         self.feed(markup)
@@ -50,10 +51,9 @@ class Page(HTMLParser):
             return
         run = "".join(self._buffer)
         self._buffer.clear()
-        names = [self.tag[i] for i in self._open]
-        if not run.strip(BLANK) and not VERBATIM.intersection(names):
+        if not run.strip(BLANK) and not any(self._depth.get(name) for name in VERBATIM):
             run = "\n" if "\n" in run else " "
-        if kind is None and not NOT_TEXT.intersection(names):
+        if kind is None and not any(self._depth.get(name) for name in NOT_TEXT):
             self.text.append(run)
             self.owner.append(self._open[-1] if self._open else -1)
         if self._shape:
@@ -62,6 +62,7 @@ class Page(HTMLParser):
     def _pop(self):
         at = self._open.pop()
         name, attributes, children = self._shape.pop()
+        self._depth[name] -= 1
         self.last[at] = len(self.tag) - 1
         self.s_to[at] = len(self.text)
         self.twin[at] = self._first.setdefault((name, attributes, tuple(children)), at)
@@ -78,6 +79,7 @@ class Page(HTMLParser):
         for column in (self.last, self.twin, self.s_to):
             column.append(None)
         self._open.append(len(self.tag) - 1)
+        self._depth[name] = self._depth.get(name, 0) + 1
         self._shape.append((name, tuple(sorted(values.items())), []))
         if name in VOID:
             self._pop()
@@ -89,7 +91,7 @@ class Page(HTMLParser):
 
     def handle_endtag(self, name):
         self._flush()
-        if any(self.tag[i] == name for i in self._open):
+        if self._depth.get(name):
             while self.tag[self._open[-1]] != name:
                 self._pop()
             self._pop()

@@ -144,7 +144,7 @@ def evaluate(datasets: dict[str, DataFrame], suite=ARTICLE_SUITE,
 
     All datasets are checked together. Row-level checks ride on the shuffle of the compound
     uniqueness check, so the texts are read once; every other uniqueness check reads its own
-    column only. A dataset without rows has no aggregate and therefore no result rows.
+    column only.
     """
     columns = sorted({c for check in suite for c in check.columns})
     table = _stack(datasets, columns, by)
@@ -167,15 +167,24 @@ def evaluate(datasets: dict[str, DataFrame], suite=ARTICLE_SUITE,
         base = (table.select(*GROUP, *[c.alias(n) for n, c in sums.items()])
                 .groupBy(*GROUP).agg(F.count(F.lit(1)).alias("elements"), *outputs))
     wanted = row_level + ([carrier] if carrier else [])
-    results.append(_unpivot(base, wanted, carrier, datasets))
+    results.append(_unpivot(_with_empty(base, datasets, by), wanted, carrier, datasets))
     for item in unique:
         if item != carrier:
             groups = _per_group(table, item[1], {})
             base = groups.groupBy(*GROUP).agg(F.sum("n").alias("elements"), *_unique_counts())
-            results.append(_unpivot(base, [item], item, datasets))
+            results.append(_unpivot(_with_empty(base, datasets, by), [item], item, datasets))
     return reduce(DataFrame.unionByName, results)
 
 
+def _with_empty(base: DataFrame, datasets, by: str | None) -> DataFrame:
+    """Datasets without rows have no aggregate; count them as zero."""
+    if by:
+        return base
+    names = F.array(*[F.struct(F.lit(n).alias("dataset"), F.lit(n).alias("source")) for n in datasets])
+    every = base.sparkSession.range(1).select(F.inline(names))
+    return every.join(base, list(GROUP), "left").na.fill(0)
+
+
 def _unpivot(base, wanted, carrier, datasets) -> DataFrame:
     rows = []
     for i, check in wanted:

@@ -7,7 +7,7 @@ from newsmill.plans import sql
 from newsmill.plans.articles import articles, table
 from newsmill.plans.registry import query
 from newsmill.session import scratch, stored
-from newsmill.sources import corpus
+from newsmill.sources import corpus, results
 
 EMOJI = "😀日🤖☀️"  # the given texts hold none, so the emoji queries append some
 
@@ -182,8 +182,18 @@ results AS (SELECT *, CASE WHEN element_count > missing_count
 
 @query(f"WITH {RESULTS} SELECT * FROM results")
 def validation(spark, sf_dir):
-    results = expect.evaluate(_assets(spark, sf_dir), by="split")
-    return results.withColumn("unexpected_percent", F.round("unexpected_percent", 6))
+    found = expect.evaluate(_assets(spark, sf_dir), by="split")
+    return found.withColumn("unexpected_percent", F.round("unexpected_percent", 6))
+
+
+@query(f"WITH {RESULTS} SELECT 'first' AS run, dataset, expectation, \"column\", success FROM results")
+def validation_saved(spark, sf_dir):
+    """Results stored twice under one run name, and read back."""
+    path = scratch(spark, "results")
+    found = expect.evaluate(_assets(spark, sf_dir), by="split")
+    results.save(found, path, "first")
+    results.save(results.load(spark, path).drop("run").transform(lambda df: stored(df, "again")), path, "first")
+    return results.load(spark, path).select("run", "dataset", "expectation", "column", "success")
 
 
 @query(f"""WITH {RESULTS} SELECT dataset, count(*) AS evaluated,

@@ -160,6 +160,17 @@ def summaries_by_model(spark, sf_dir):
         "doc_id", "summary")
 
 
+def count_in_batch(batch):
+    return batch.assign(n_words=batch.text.str.split().str.len())[["doc_id", "n_words"]]
+
+
+@query(f"SELECT doc_id, len({sql.words('text')}) AS n_words FROM documents")
+def batched_map(spark, sf_dir):
+    """A Python function over Arrow batches; other columns are dropped."""
+    docs = table(spark, sf_dir, "documents", heavy=True).select("doc_id", "text")
+    return models.map_batches(docs, count_in_batch, "doc_id long, n_words long")
+
+
 @query(f"""WITH {sql.ARTICLES} SELECT doc_id, CASE WHEN {sql.strip('highlights')} = ''
   THEN 'invalid' ELSE 'ok' END AS status, highlights AS summary, article AS full_article FROM articles""")
 def responses(spark, sf_dir):

@@ -56,8 +56,10 @@ def first_rows(df: DataFrame, n: int, split: str | None = None) -> DataFrame:
         files = counts.withColumn("before", before).filter(F.col("before") < n).collect()
         if not files:
             return df.limit(0)
-        wanted = [(path == f["file"]) & (row < n - f["before"]) for f in files]
-        return df.filter(path.isin([f["file"] for f in files])).filter(reduce(lambda a, b: a | b, wanted))
+        *whole, last = sorted(files, key=lambda f: f["before"])
+        cut = (path == last["file"]) & (row < n - last["before"])
+        return df.filter(path.isin([f["file"] for f in files])).filter(
+            cut | path.isin([f["file"] for f in whole]) if whole else cut)
     # rows of several splits may share a file: the cut row index differs for each split
     order = Window.partitionBy(split).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     files = (counts.withColumn("before", F.coalesce(F.sum("rows").over(order), F.lit(0)))

@@ -84,3 +84,10 @@ def test_unexpected_rows(spark):
     assert {r["n"] for r in expect.unexpected_rows(df, unique, "n").collect()} == {0, 1}
     short = expect.Check(expect.MIN_LENGTH, ("article",), min_value=50)
     assert [r["n"] for r in expect.unexpected_sample(df, short, "n", 1).collect()] == [1]
+
+
+def test_dataset_without_rows(spark):
+    rows = spark.createDataFrame(ROWS, SCHEMA)
+    results = expect.evaluate({"full": rows, "empty": rows.limit(0)})
+    tallies = {r["dataset"]: (r["evaluated"], r["unsuccessful"]) for r in expect.tally(results).collect()}
+    assert tallies == {"full": (14, 7), "empty": (14, 0)}
