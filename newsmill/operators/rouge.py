@@ -85,7 +85,13 @@ def rouge_n(pairs: DataFrame, key: list[str], n: int, stemmed: bool = False) ->
     Both the (key, n-gram) counts and the per-pair sums are clustered by it already, so n-grams
     are counted where they are made and never shuffled.
     """
-    rows = tokenised(pairs.select(*key, "prediction", "reference").repartition(*key), stemmed)
+    rows = pairs.select(*key, "prediction", "reference")
+    if stemmed:
+        # Spark forgets how rows are placed at a Python step, so that comes first; the stems
+        # travel as text, which is smaller than arrays
+        rows = tokenised(rows, stemmed).select(*key, *[
+            F.array_join(s, " ").alias(name) for s, name in (("p", "prediction"), ("r", "reference"))])
+    rows = tokenised(rows.repartition(*key))
     sides = F.concat(
         F.transform(ngrams(F.col("p"), n), lambda g: F.struct(g.alias("g"), F.lit(1).alias("a"), F.lit(0).alias("b"))),
         F.transform(ngrams(F.col("r"), n), lambda g: F.struct(g.alias("g"), F.lit(0).alias("a"), F.lit(1).alias("b"))))

@@ -50,8 +50,9 @@ def test_pairing_reports_missing(spark):
 
 
 def test_no_shuffle_of_ngrams(pairs):
-    plan = rouge.rouge_n(pairs, ["id"], 2)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1
+    for stemmed in (False, True):
+        made = rouge.rouge_n(pairs, ["id"], 2, stemmed)
+        assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
 
 
 def table(a, b):
