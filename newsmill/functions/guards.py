@@ -5,7 +5,11 @@ from pyspark.sql import functions as F
 
 from newsmill.functions.text import py_strip
 
+# The longest text that is scored, and the messages for refused texts.
 MAX_SCORED_CHARS = 2000
+NOT_A_STRING = "Invalid input: text must be a string."
+EMPTY = "Text cannot be empty."
+TOO_LONG = ("Text is too long (", f" characters). Maximum allowed size is {MAX_SCORED_CHARS} characters.")
 
 # A web address as browsers read it: control characters and spaces around it are ignored, the
 # slashes after the scheme may be missing or reversed, user info is allowed, the host may not be
@@ -27,14 +31,12 @@ def is_web_url(c: Column) -> Column:
 def scoring_guard(text: Column) -> Column:
     """``struct(status, detail)`` of a text offered to the scorer."""
     n = F.length(text)
-    too_long = F.concat(
-        F.lit("Text is too long ("), n.cast("string"),
-        F.lit(f" characters). Maximum allowed size is {MAX_SCORED_CHARS} characters."))
+    too_long = F.concat(F.lit(TOO_LONG[0]), n.cast("string"), F.lit(TOO_LONG[1]))
     return F.struct(
         F.when(n.isNull() | (n == 0) | (n > MAX_SCORED_CHARS), "error").otherwise("ok")
         .alias("status"),
-        F.when(n.isNull(), "Invalid input: text must be a string.")
-        .when(n == 0, "Text cannot be empty.")
+        F.when(n.isNull(), NOT_A_STRING)
+        .when(n == 0, EMPTY)
         .when(n > MAX_SCORED_CHARS, too_long).alias("detail"))
 
 

@@ -20,8 +20,10 @@ MIN_DENSITY = 150
 FIRST_POOL = 7    # regions ranked by paragraphs, first method
 SECOND_POOL = 4   # then regions ranked by paragraphs, spans and articles
 LATER_POOL = 6    # regions ranked by paragraphs, other methods
+# Why a page yields nothing.
 NO_TITLE = "No title found."
 NO_WORDS = "Not enough words."
+NOT_POSSIBLE = ("Could not scrape the news article from ", ".")
 
 DOCUMENT, NOWHERE = -1, -2  # region codes: the whole page, and above the whole page
 
@@ -228,9 +230,9 @@ def cascade(attempts: DataFrame) -> DataFrame:
     usable = attempts.withColumn("html", F.when(F.col("error").isNull(), F.col("html")))
     made = extract(with_dom(usable), F.col("method")).withColumn("_rank", rank)
     good = F.col("status") == "ok"
+    before, after = NOT_POSSIBLE
     failed = F.when(F.col("dom").isNull(), F.concat(
-        F.lit("Could not scrape the news article from "), F.col("url"), F.lit("."))
-    ).otherwise(F.col("status"))
+        F.lit(before), F.col("url"), F.lit(after))).otherwise(F.col("status"))
     best = F.min(F.when(good, F.struct("_rank", "method", "title", "text")))
     worst = F.max(F.when(~good, F.struct("_rank", failed.alias("detail"))))
     out = made.groupBy("url").agg(best.alias("b"), worst.alias("w"))

@@ -1,5 +1,6 @@
 """The emissions ledger on shared storage: append-only records, read back with a schema."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +14,13 @@ def append(records: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def read(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return spark.read.schema(LEDGER).format(fmt).load(path)
+    """The ledger so far; empty when nothing has been appended yet."""
+    try:
+        return spark.read.schema(LEDGER).format(fmt).load(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], LEDGER)
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:

@@ -19,6 +19,7 @@ def micros(t):
 def test_entries_append_and_totals(spark, tmp_path):
     runs = spark.createDataFrame([("training", None), ("inference", 0.002)], "stage string, kg double")
     path = str(tmp_path / "ledger")
+    assert store.read(spark, path).count() == 0
     store.append(ledger.entries(runs, "stage", "kg"), path)
     first = store.read(spark, path)
     assert sorted((r["stage"], r["emissions_kg"], r["emissions_g"]) for r in first.collect()) == [
@@ -30,7 +31,8 @@ def test_entries_append_and_totals(spark, tmp_path):
 
 def test_empty_ledger_totals(spark):
     empty = spark.createDataFrame([], "stage string, emissions_kg double")
-    assert ledger.totals(empty).first()["total_kg"] == 0.0
+    row = ledger.report(empty, "news").first()
+    assert (row["project"], row["total_kg"], row["records"]) == ("news", 0.0, 0)
 
 
 def test_nested_report(spark, tmp_path):
