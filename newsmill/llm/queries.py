@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from newsmill.llm.mixing import curriculum
 from newsmill.llm.sharding import shard_documents
+from newsmill.llm.token_counts import count_tokens
+from newsmill.llm.token_files import digest, read_ids, write_ids
+from newsmill.session import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 SHARDS = 24
+TOKEN_LIMIT = 2048
 MIX = {"weights": (3, 1, 2), "share": 1.5, "cap": 2.0}
 
 
@@ -24,6 +28,13 @@ def query(sql: str | None = None):
     return add
 
 
+def vocabulary(name: str) -> bytes:
+    """A tokenizer file, read where the query is built and sent along with it."""
+    import public_tokenizers
+    with open(public_tokenizers.path(name), "rb") as file:
+        return file.read()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -99,3 +110,18 @@ def op5_mixing(spark, sf_dir):
     return curriculum(documents(spark, sf_dir), **MIX).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"),
         "position")
+
+
+@query()
+def op7_token_counts(spark, sf_dir):
+    """Tokens of every text, from piece counts of distinct pre-tokens."""
+    counted = count_tokens(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+@query()
+def op8_token_files(spark, sf_dir):
+    """Token ids of every text, written as ORC and read back."""
+    path = scratch(spark, "token_ids")
+    write_ids(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), path)
+    return digest(read_ids(spark, path))
