@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsmill.llm.mixing import curriculum
+from newsmill.llm.quality import judge
 from newsmill.llm.sharding import shard_documents
 from newsmill.llm.token_counts import count_tokens
 from newsmill.llm.token_files import digest, read_ids, write_ids
@@ -112,6 +113,15 @@ def op5_mixing(spark, sf_dir):
         "position")
 
 
+@query()
+def op4_quality_rules(spark, sf_dir):
+    """Counted limits and the verdict of a classifier trained on the labelled rows."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return judge(documents(spark, sf_dir), labels).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "probability")
+
+
 @query()
 def op7_token_counts(spark, sf_dir):
     """Tokens of every text, from piece counts of distinct pre-tokens."""
