@@ -5,6 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsmill.llm.decontaminate import contamination
 from newsmill.llm.mixing import curriculum
 from newsmill.llm.quality import judge
 from newsmill.llm.sharding import shard_documents
@@ -135,3 +136,40 @@ def op8_token_files(spark, sf_dir):
     path = scratch(spark, "token_ids")
     write_ids(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), path)
     return digest(read_ids(spark, path))
+
+
+@query("""
+WITH b AS (
+    SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words
+    FROM benchmark),
+bw AS (
+    SELECT item_id, least(10, len(words)) AS size,
+           unnest(list_transform(range(1, len(words) - least(10, len(words)) + 2), lambda i:
+               array_to_string(words[i:i + least(10, len(words)) - 1], ' '))) AS phrase
+    FROM b WHERE len(words) > 0),
+d AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text,
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS words
+    FROM documents),
+dw AS (
+    SELECT r, size, unnest(range(1, len(words) - size + 2)) AS place,
+           unnest(list_transform(range(1, len(words) - size + 2), lambda i:
+               array_to_string(words[i:i + size - 1], ' '))) AS phrase
+    FROM d, (SELECT DISTINCT size FROM bw) s),
+hits AS (SELECT r, place, dw.size, item_id FROM dw JOIN bw USING (size, phrase)),
+words AS (
+    SELECT r, count(DISTINCT w) AS n_hit
+    FROM (SELECT r, unnest(range(place, place + size)) AS w FROM hits) GROUP BY r),
+items AS (
+    SELECT r, count(*) AS n_items, sha256(string_agg(i, ',' ORDER BY i)) AS digest
+    FROM (SELECT DISTINCT r, item_id::VARCHAR AS i FROM hits) GROUP BY r)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit,
+       coalesce(n_items, 0) AS n_items, coalesce(digest, sha256('')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)""")
+def op9_decontaminate(spark, sf_dir):
+    """Benchmark windows in all documents, by an FM-index for each shard of documents."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return contamination(documents(spark, sf_dir), benchmark).drop("spans")
