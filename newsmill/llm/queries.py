@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from newsmill.llm.decontaminate import contamination
 from newsmill.llm.mixing import curriculum
 from newsmill.llm.quality import judge
+from newsmill.llm.secrets import find_secrets, written
 from newsmill.llm.sharding import shard_documents
 from newsmill.llm.token_counts import count_tokens
 from newsmill.llm.token_files import digest, read_ids, write_ids
@@ -114,6 +115,17 @@ def op5_mixing(spark, sf_dir):
         "position")
 
 
+@query()
+def op3_secret_scans(spark, sf_dir):
+    """Known secrets and strings found random, as counts, a digest and spans."""
+    found = find_secrets(documents(spark, sf_dir))
+    counts = [F.size(F.filter("base", lambda s, k=kind: s["kind"] == k)).cast("long").alias(name)
+              for kind, name in enumerate(("n_assign", "n_access", "n_hex"))]
+    return found.select(
+        "doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"),
+        written(F.array_sort(F.concat("base", "random"))).alias("spans"))
+
+
 @query()
 def op4_quality_rules(spark, sf_dir):
     """Counted limits and the verdict of a classifier trained on the labelled rows."""
