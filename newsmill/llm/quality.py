@@ -66,8 +66,8 @@ class Hasher:
 class Texts:
     """Words of a chunk of texts: their places, documents and hashes."""
 
-    def __init__(self, texts: list[str], hasher: Hasher):
-        self.raw = [t.encode() for t in texts]
+    def __init__(self, raw: list[bytes], hasher: Hasher):
+        self.raw = raw
         self.data = np.frombuffer(b"".join(self.raw), dtype=np.uint8)
         self.ends = np.cumsum([len(t) for t in self.raw])
         self.starts = self.ends - [len(t) for t in self.raw]
@@ -82,7 +82,7 @@ class Texts:
         last = np.flatnonzero(stop[1:] & ~self.space) + 1
         self.hashes = hasher(self.data, first, last)
         self.doc = self.owner(first)
-        self.n_words = np.bincount(self.doc, minlength=len(texts))
+        self.n_words = np.bincount(self.doc, minlength=len(raw))
         pair = self.hashes[:-1] * np.uint64(0xBF58476D1CE4E5B9) + self.hashes[1:]
         pair = (pair ^ (pair >> np.uint64(30))) * MIX
         self.same = self.doc[:-1] == self.doc[1:]
@@ -231,7 +231,7 @@ def _features(batches):
     for batch in batches:
         texts = batch.column(2).to_pylist()
         for i, text in enumerate(texts):
-            at, share = Texts([text], hasher).features(0)
+            at, share = Texts([text.encode()], hasher).features(0)
             yield pa.record_batch([
                 batch.column(0).slice(i, 1), batch.column(1).slice(i, 1),
                 pa.array([at.astype(np.int32).tobytes()], pa.binary()),
@@ -269,7 +269,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def scored(batches):
         hasher = Hasher()
         for ids, _, texts in chunks(batches, BLOCK):
-            found = Texts(texts, hasher)
+            found = Texts([t.encode() for t in texts], hasher)
             probability = shared.value.probability(found.scores(shared.value.weights))
             yield pa.record_batch(
                 [pa.array(ids, pa.int64()), *[pa.array(c, pa.int64()) for c in found.base()],

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsmill.llm.decontaminate import contamination
 from newsmill.llm.mixing import curriculum
+from newsmill.llm.ngram_join import near_duplicates
 from newsmill.llm.quality import judge
 from newsmill.llm.secrets import find_secrets, written
 from newsmill.llm.sharding import shard_documents
@@ -115,6 +116,34 @@ def op5_mixing(spark, sf_dir):
         "position")
 
 
+@query("""
+WITH RECURSIVE d AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text,
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\\x20\\x09-\\x0D]+'), []) AS words
+    FROM documents),
+s AS (
+    SELECT DISTINCT r, unnest(CASE WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+               ELSE list_transform(range(1, len(words) - 2), lambda i:
+                   array_to_string(words[i:i + 3], ' ')) END) AS shingle
+    FROM d WHERE len(words) > 0),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+links AS (
+    SELECT x.r AS a, y.r AS b FROM s x JOIN s y ON x.shingle = y.shingle AND x.r <> y.r
+    JOIN n m ON m.r = x.r JOIN n k ON k.r = y.r
+    WHERE least(m.n, k.n) * 100 >= 85 * greatest(m.n, k.n)
+    GROUP BY x.r, y.r, m.n, k.n HAVING 100 * count(*) >= 85 * (m.n + k.n - count(*))),
+reach AS (
+    SELECT r AS a, r AS b FROM d
+    UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT a AS r, min(doc_id) AS component_id FROM reach JOIN d ON d.r = reach.b GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id
+FROM d LEFT JOIN n USING (r) JOIN least USING (r)""")
+def op2_ngram_join(spark, sf_dir):
+    """Documents linked by common word shingles, with the component each belongs to."""
+    return near_duplicates(documents(spark, sf_dir))
+
+
 @query()
 def op3_secret_scans(spark, sf_dir):
     """Known secrets and strings found random, as counts, a digest and spans."""
