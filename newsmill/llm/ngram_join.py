@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsmill.llm.bloom import build, may_hold
 from newsmill.llm.components import components
 from newsmill.llm.quality import MIX, Hasher, Texts
 from newsmill.llm.token_counts import chunks
@@ -32,7 +33,6 @@ LEAF = 16
 TREE, TREE_BYTES = 4000, 64 << 20  # of the sets in one tree; more are joined in parts
 PART, PART_BYTES = 2000, 32 << 20
 PIVOTS, SHARES = 2048, 64  # pivots of a group in one round, and how many windows choose them
-FILTER_BITS = 1 << 27
 SEEN = 20_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -140,28 +140,6 @@ def _digests(batches):
             ["doc_id", "n_shingles", "name", "node", "lists"])
 
 
-def _bits(lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two bits of the filter for each listing."""
-    low = lists.view(np.uint64)
-    return (low % np.uint64(FILTER_BITS)).astype(np.int64), (
-        (low >> np.uint64(36)) % np.uint64(FILTER_BITS)).astype(np.int64)
-
-
-def _filter(shared: DataFrame) -> np.ndarray:
-    """Bloom filter of fixed size over listings (sig): never misses one, may let others pass."""
-    def bits(batches):
-        for batch in batches:
-            found = np.concatenate(_bits(batch.column(0).to_numpy()))
-            yield pa.record_batch([pa.array(found // 32), pa.array(
-                np.left_shift(1, found % 32).astype(np.int64))], ["word", "bit"])
-
-    rows = shared.select("sig").mapInArrow(bits, "word long, bit long").groupBy("word").agg(
-        F.bit_or("bit").alias("bits")).toArrow()  # FILTER_BITS / 32 rows at most
-    words = np.zeros(FILTER_BITS // 32, dtype=np.uint32)
-    words[rows["word"].to_numpy()] = rows["bits"].to_numpy().astype(np.uint32)
-    return words
-
-
 def _candidates(passed):
     """Sets that share a listing with others, as far as the filter can tell."""
     def found(batches):
@@ -172,16 +150,13 @@ def _candidates(passed):
                 lists = lister(one).view(np.int64)
                 if not len(lists):
                     continue
-                a, b = _bits(lists)
-                words = passed.value
-                hit = (words[a // 32] >> (a % 32).astype(np.uint32)) \
-                    & (words[b // 32] >> (b % 32).astype(np.uint32)) & np.uint32(1)
+                hit = may_hold(passed.value, lists)
                 name = _print(one)
                 if hit.any() and name not in seen:  # of copies in one task, one is enough
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(name)
-                    rows.append((name, _node(name), lists[hit > 0], one.tobytes()))
+                    rows.append((name, _node(name), lists[hit], one.tobytes()))
             if rows:
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), (
                     pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary()))],
@@ -360,7 +335,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     listed = digests.select("node", F.explode("lists").alias("sig"))
     shared = stored(listed.groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter(
         "a < b").select("sig", "a"), "shared")
-    passed = docs.sparkSession.sparkContext.broadcast(_filter(shared))  # FILTER_BITS bits
+    passed = docs.sparkSession.sparkContext.broadcast(build(shared.select("sig")))  # of fixed size
     found = stored(rows.mapInArrow(_candidates(passed), "name binary, node long, "
                                    "lists array<long>, found binary"), "sets")
     edges = found.select(F.col("node").alias("b"), F.explode("lists").alias("sig")).join(

@@ -11,6 +11,7 @@ from newsmill.llm.ngram_join import near_duplicates
 from newsmill.llm.quality import judge
 from newsmill.llm.secrets import find_secrets, written
 from newsmill.llm.sharding import shard_documents
+from newsmill.llm.suffix_dedup import remove_repeats
 from newsmill.llm.token_counts import count_tokens
 from newsmill.llm.token_files import digest, read_ids, write_ids
 from newsmill.session import scratch
@@ -164,6 +165,12 @@ def op4_quality_rules(spark, sf_dir):
         "base_failed", "kept", "probability")
 
 
+@query()
+def op6_suffix_dedup(spark, sf_dir):
+    """Strings of 200 bytes that occur more than once, removed from every text."""
+    return remove_repeats(documents(spark, sf_dir)).drop("spans")
+
+
 @query()
 def op7_token_counts(spark, sf_dir):
     """Tokens of every text, from piece counts of distinct pre-tokens."""
