@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsmill.llm.decontaminate import contamination
+from newsmill.llm.licenses import scan_licences
 from newsmill.llm.mixing import curriculum
 from newsmill.llm.ngram_join import near_duplicates
 from newsmill.llm.quality import judge
@@ -221,3 +222,9 @@ def op9_decontaminate(spark, sf_dir):
     """Benchmark windows in all documents, by an FM-index for each shard of documents."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return contamination(documents(spark, sf_dir), benchmark).drop("spans")
+
+
+@query()
+def op10_license_scans(spark, sf_dir):
+    """Known licence sentences in all documents, and the licences they make."""
+    return scan_licences(documents(spark, sf_dir))
