@@ -5,24 +5,32 @@ merge across white space, so a document has as many tokens as its pre-tokens hav
 each distinct pre-token of the corpus is encoded once. No token ids are kept.
 
 Documents are dealt with in chunks of bounded size. A chunk lists, for each of its distinct
-pre-tokens, which of its documents hold it and how often; the lists meet the piece counts in a
-join on the pre-token, to which a frequent one brings a row per chunk instead of one per document,
-and go back to their chunk to be summed.
+pre-tokens, which of its documents hold it and how often. The lists are dealt out by a hash of the
+pre-token, many of them to a row, so that those of one pre-token meet where it is encoded: a
+frequent one brings an entry per chunk instead of one per document, and all rows of a bucket are
+about as large. What the documents owe to a bucket goes back to their chunk to be summed.
 """
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pandas.util import hash_array
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsmill.llm.worker import kept
+
 CHUNK_BYTES = 4 << 20
 CHUNK_DOCS = 1 << 14
+BUCKETS_PER_PARTITION = 4
+CACHED = 1_000_000  # pre-tokens of a bucket whose counts are held; others are counted anew
+POSTINGS = "chunk long, bucket int, tokens binary, lengths binary, docs binary, times binary"
 # white space as the tokenizer's patterns see it; str.split takes four control characters more
 OTHER = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 CONTROL = re.compile("[\x1c-\x1f]")
@@ -48,97 +56,123 @@ def chunks(batches, limit: int = CHUNK_BYTES) -> Iterator[tuple[list, list, list
         yield ids, sizes, texts
 
 
-def _distinct(batches):
-    for _, _, texts in chunks(batches):
-        seen = set()
-        for text in texts:
-            seen.update(pre_tokens(text))
-        yield pa.record_batch([pa.array(list(seen), pa.string())], ["token"])
+def slices(batch: pa.RecordBatch, sizes: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``limit`` bytes by the column numbered ``sizes``."""
+    total = np.cumsum(batch.column(sizes).to_numpy())
+    begin = 0
+    while begin < batch.num_rows:
+        done = total[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(total, done + limit, "right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
 
 
-def _postings(batches):
-    """Rows (chunk, token, at): ``at`` packs document number and frequency, 16 bits each.
+def _postings(buckets: int):
+    """Chunks -> rows (chunk, bucket, tokens, lengths, docs, times).
 
-    The first row of a chunk, whose token is no pre-token, packs ids and sizes instead.
+    ``docs`` and ``times`` say in which documents of the chunk the tokens of the bucket are, and
+    how often; ``lengths`` how many entries each token has. A row of bucket -1 has ids and sizes.
     """
-    task = TaskContext.get().partitionId() << 32
-    for n, (ids, sizes, texts) in enumerate(chunks(batches)):
-        tokens, times, each = [], [], []
-        for text in texts:
-            counted = Counter(pre_tokens(text))
-            tokens.extend(counted)
-            times.extend(counted.values())
-            each.append(len(counted))
-        codes, names = pd.factorize(np.array(tokens, dtype=object))
-        doc = np.repeat(np.arange(len(texts), dtype=np.uint32), each)
-        freq = np.array(times, dtype=np.int64)
-        if len(freq) and freq.max() > 65535:  # several entries for one too frequent for 16 bits
-            copies = (freq + 65534) // 65535
-            nth = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
-            codes, doc = np.repeat(codes, copies), np.repeat(doc, copies)
-            freq = np.minimum(np.repeat(freq, copies) - nth * 65535, 65535)
-        order = np.argsort(codes, kind="stable")
-        packed = (doc[order] << np.uint32(16) | freq[order].astype(np.uint32)).tobytes()
-        ends = np.cumsum(np.bincount(codes, minlength=len(names))) * 4 if len(names) else []
-        known = np.array([i is not None for i in ids], dtype=np.int64)
-        head = np.array([i or 0 for i in ids], dtype=np.int64).tobytes() + known.tobytes() \
-            + np.array(sizes, dtype=np.int64).tobytes()
-        offsets = np.concatenate(([0, len(head)], len(head) + np.asarray(ends, dtype=np.int64)))
-        at = pa.Array.from_buffers(pa.binary(), len(names) + 1, [
-            None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(head + packed)])
-        yield pa.record_batch([
-            pa.array(np.full(len(names) + 1, task + n), pa.int64()),
-            pa.array([f" {task + n}", *names], pa.string()), at], ["chunk", "token", "at"])
+    def make(batches):
+        task = TaskContext.get().partitionId() << 32
+        for n, (ids, sizes, texts) in enumerate(chunks(batches)):
+            tokens, times, each = [], [], []
+            for text in texts:
+                counted = Counter(pre_tokens(text))
+                tokens.extend(counted)
+                times.extend(counted.values())
+                each.append(len(counted))
+            known = np.array([i is not None for i in ids], dtype=np.int64)
+            head = np.array([[i or 0 for i in ids], known, sizes], dtype=np.int64).tobytes()
+            rows = [(task + n, -1, b"", b"", head, b"")]
+            if tokens:
+                codes, names = pd.factorize(np.array(tokens, dtype=object))
+                bucket = (hash_array(names, categorize=False) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                place = np.empty(len(order), dtype=np.int64)
+                place[order] = np.arange(len(order))
+                codes, names, bucket = place[codes], names[order].tolist(), bucket[order]
+                doc = np.repeat(np.arange(len(texts), dtype=np.uint16), each)
+                freq = np.array(times, dtype=np.uint32)
+                entry = np.argsort(codes, kind="stable")
+                doc, freq = doc[entry], freq[entry]
+                lengths = np.bincount(codes, minlength=len(names)).astype(np.uint16)
+                ends = np.cumsum(lengths, dtype=np.int64)
+                first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+                for a, b in zip(first.tolist(), [*first[1:].tolist(), len(names)]):
+                    x, y = (int(ends[a - 1]) if a else 0), int(ends[b - 1])
+                    rows.append((task + n, int(bucket[a]), "\n".join(names[a:b]).encode(),
+                                 lengths[a:b].tobytes(), doc[x:y].tobytes(), freq[x:y].tobytes()))
+            kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 4]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
+                                  [c.split()[0] for c in POSTINGS.split(", ")])
+
+    return make
+
+
+def _owed(shared, name: int):
+    """Rows of postings, sorted by bucket -> rows (chunk, docs, pieces) of the documents' shares."""
+    def count(batches):
+        from tokenizers import Tokenizer
+        tokenizer = kept(("tokenizer", name), lambda: Tokenizer.from_buffer(shared.value))
+        here, known = None, {}
+        for batch in batches:
+            rows = []
+            for chunk, bucket, tokens, lengths, docs, times in zip(
+                    *(c.to_pylist() for c in batch.columns)):
+                if bucket < 0:
+                    rows.append((chunk, docs, None))
+                    continue
+                if bucket != here or len(known) > CACHED:
+                    here, known = bucket, {}
+                names = tokens.decode().split("\n")
+                missing = [t for t in names if t not in known]
+                for i in range(0, len(missing), 1000):
+                    part = missing[i:i + 1000]
+                    known.update(zip(part, (len(e.ids) for e in tokenizer.encode_batch_fast(
+                        part, add_special_tokens=False))))
+                pieces = np.array([known[t] for t in names], dtype=np.int64)
+                pieces = np.repeat(pieces, np.frombuffer(lengths, np.uint16))
+                at = np.frombuffer(docs, np.uint16)
+                owed = np.bincount(at, weights=pieces * np.frombuffer(times, np.uint32))
+                some = np.flatnonzero(owed)
+                rows.append((chunk, some.astype(np.uint16).tobytes(),
+                             owed[some].astype(np.uint32).tobytes()))
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(
+                zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], ["chunk", "docs", "pieces"])
+
+    return count
 
 
 def _total(table: pa.Table) -> pa.Table:
     """Counts of the documents of one chunk."""
-    head = np.array([t.startswith(" ") for t in table["head"].to_pylist()])
-    at = table["at"].to_pylist()
-    ids, known, sizes = np.frombuffer(at[int(np.flatnonzero(head)[0])], np.int64).reshape(3, -1)
-    rows = np.flatnonzero(~head)
-    pieces = np.asarray(table["pieces"].fill_null(0))[rows]
-    packed = np.frombuffer(b"".join([at[i] for i in rows]), np.uint32)
-    pieces = np.repeat(pieces, [len(at[i]) // 4 for i in rows])
-    total = np.bincount(packed >> 16, weights=(packed & 0xFFFF) * pieces.astype(np.float64),
-                        minlength=len(ids)).astype(np.int64)
+    owed = table["pieces"].to_pylist()
+    docs = table["docs"].to_pylist()
+    head = owed.index(None)
+    ids, known, sizes = np.frombuffer(docs[head], np.int64).reshape(3, -1)
+    total = np.zeros(len(ids), dtype=np.int64)
+    for at, pieces in zip(docs, owed):
+        if pieces is not None:
+            total[np.frombuffer(at, np.uint16)] += np.frombuffer(pieces, np.uint32)
     return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=known == 0),
                      "n_bytes": sizes, "n_tokens": total})
 
 
-def piece_counts(tokens: DataFrame, vocabulary: bytes) -> DataFrame:
-    """Rows (token) -> rows (token, pieces), through the tokenizer file given as bytes."""
-    shared = tokens.sparkSession.sparkContext.broadcast(vocabulary)  # one file, of fixed size
-
-    def encode(batches):
-        from tokenizers import Tokenizer
-        tokenizer = None
-        for batch in batches:
-            tokenizer = tokenizer or Tokenizer.from_buffer(shared.value)
-            names = batch.column(0).to_pylist()
-            found = []
-            for i in range(0, len(names), 1000):
-                found += [len(e.ids) for e in tokenizer.encode_batch_fast(
-                    names[i:i + 1000], add_special_tokens=False)]
-            yield pa.record_batch([batch.column(0), pa.array(found, pa.int64())],
-                                  ["token", "pieces"])
-
-    return tokens.mapInArrow(encode, "token string, pieces long")
-
-
 def count_tokens(docs: DataFrame, vocabulary: bytes) -> DataFrame:
     """Rows (doc_id, n_bytes, n_tokens), one for each row of ``docs``.
 
-    Null and empty texts have no tokens; special strings inside texts count as the tokenizer's
-    default has it; repeated rows and null ids keep rows of their own.
+    ``vocabulary`` is a tokenizer file. Null and empty texts have no tokens; special strings
+    inside texts count as the tokenizer's default has it; repeated rows and null ids keep rows of
+    their own.
     """
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(vocabulary)  # one file, of fixed size
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
-    distinct = rows.mapInArrow(_distinct, "token string").distinct()
-    pieces = piece_counts(distinct, vocabulary)
-    postings = rows.mapInArrow(_postings, "chunk long, token string, at binary")
-    # a merge join, so that the rows of a token that every chunk has can be split
-    met = postings.join(pieces.hint("merge"), "token", "left")
-    met = met.select("chunk", F.substring("token", 1, 1).alias("head"), "at", "pieces")
-    return met.groupBy("chunk").applyInArrow(_total, "doc_id long, n_bytes long, n_tokens long")
+    postings = rows.mapInArrow(_postings(parts * BUCKETS_PER_PARTITION), POSTINGS)
+    met = postings.repartition(parts, "bucket", F.when(F.col("bucket") < 0, F.col("chunk")))
+    owed = met.sortWithinPartitions("bucket").mapInArrow(
+        _owed(shared, zlib.crc32(vocabulary)), "chunk long, docs binary, pieces binary")
+    return owed.groupBy("chunk").applyInArrow(_total, "doc_id long, n_bytes long, n_tokens long")
