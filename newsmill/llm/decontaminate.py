@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsmill.llm.token_counts import slices
+
 WINDOW = 10
 SHARD_BYTES = 4 << 20
 BLOCK_WORDS = 500_000  # benchmark words searched for at a time
@@ -231,17 +233,6 @@ def shard_hits(texts: list[str], parts: list[Phrases]) -> list[tuple[int, list,
     return [(len(d), m, sorted(map(str, i))) for d, m, i in zip(docs, merged, items)]
 
 
-def slices(batch: pa.RecordBatch, sizes: int, limit: int = SHARD_BYTES) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about ``limit`` bytes by the column numbered ``sizes``."""
-    total = np.cumsum(batch.column(sizes).to_numpy())
-    begin = 0
-    while begin < batch.num_rows:
-        done = total[begin - 1] if begin else 0
-        end = max(begin + 1, int(np.searchsorted(total, done + limit, "right")))
-        yield batch.slice(begin, end - begin)
-        begin = end
-
-
 def _shared(docs: DataFrame, benchmark: DataFrame) -> list:
     """The query set in blocks of bounded size."""
     return [docs.sparkSession.sparkContext.broadcast(b) for b in blocks(benchmark)]
@@ -259,7 +250,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def scan(batches):
         for batch in batches:
-            for shard in slices(batch, 1):
+            for shard in slices(batch, 1, SHARD_BYTES):
                 found = shard_hits(shard.column(2).to_pylist(), [p.value for p in parts])
                 hit = [sum(b - a for a, b in spans) for _, spans, _ in found]
                 yield pa.record_batch([
@@ -300,10 +291,11 @@ def remove_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     parts = _shared(docs, benchmark)
     names = docs.columns
     n, at = len(names), names.index("text")
+    numbered = [f"c{i}" for i in range(n)]  # columns go by number, since names may hold dots
 
     def clean(batches):
         for batch in batches:
-            for shard in slices(batch, n):
+            for shard in slices(batch, n, SHARD_BYTES):
                 texts = shard.column(at).to_pylist()
                 found = shard_hits([t or "" for t in texts], [p.value for p in parts])
                 gone = [bool(w) and sum(b - a for a, b in spans) == w for w, spans, _ in found]
@@ -311,11 +303,10 @@ def remove_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                          for t, (_, spans, _) in zip(texts, found)]
                 columns = [pa.array(texts, pa.string()) if i == at else shard.column(i)
                            for i in range(n)]
-                cleaned = pa.record_batch(columns, names)
+                cleaned = pa.record_batch(columns, numbered)
                 yield cleaned.filter(pa.array([not g for g in gone], pa.bool_()))
 
-    size = F.coalesce(F.octet_length("text"), F.lit(0))
-    spare = "_size" + "_" * max(map(len, names))
-    rows = docs.withColumn(spare, size).mapInArrow(clean, docs.schema)
+    sized = docs.select("*", F.coalesce(F.octet_length("text"), F.lit(0)))
+    rows = sized.toDF(*numbered, "size").mapInArrow(clean, docs.toDF(*numbered).schema).toDF(*names)
     return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) \
         if "n_chars" in names else rows

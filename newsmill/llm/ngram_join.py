@@ -127,17 +127,19 @@ def _node(name: bytes) -> int:
 
 def _digests(batches):
     hasher, lister = Hasher(), Lister()
-    for ids, _, texts in chunks(batches, 1 << 20):
+    for keys, _, texts in chunks(batches, 1 << 20):
         sets = shingle_sets(texts, hasher)
         names = [_print(s) for s in sets]
         lists = [lister(s) for s in sets]
         ends = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
         yield pa.record_batch([
-            pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+            pa.array([k["doc_id"] for k in keys], pa.int64()),
+            pa.array([k["mark"] for k in keys], pa.int64()),
+            pa.array([len(s) for s in sets], pa.int64()),
             pa.array(names, pa.binary()), pa.array([_node(x) for x in names], pa.int64()),
             pa.ListArray.from_arrays(pa.array(ends, pa.int32()),
                                      pa.array(np.concatenate(lists).view(np.int64)))],
-            ["doc_id", "n_shingles", "name", "node", "lists"])
+            ["doc_id", "mark", "n_shingles", "name", "node", "lists"])
 
 
 def _candidates(passed):
@@ -320,18 +322,15 @@ def _join_large(sets: DataFrame) -> DataFrame:
         done = stored(done.union(pivots.select("name")), "done")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id), one for each row of ``docs``.
-
-    Texts link when ``SHARE`` percent of their shingles are common; the component is named by the
-    least id reachable. Equal sets are one node, so copies are never paired. Texts without words
-    link with nothing. Null ids take part in links, and their rows have the id of the component.
-    """
+def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, mark, n_shingles, name), and rows (name, label) of linked sets."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast(
-        "long").alias("size"), text.alias("text"))
-    digests = stored(rows.mapInArrow(_digests, "doc_id long, n_shingles long, name binary, "
-                                               "node long, lists array<long>"), "digests")
+    doc = F.col("doc_id").cast("long").alias("doc_id")
+    rows = docs.select(F.struct(doc, F.xxhash64("text").alias("mark")).alias("key"),
+                       F.octet_length(text).cast("long").alias("size"), text.alias("text"))
+    digests = stored(rows.mapInArrow(
+        _digests, "doc_id long, mark long, n_shingles long, name binary, node long, "
+                  "lists array<long>"), "digests")
     listed = digests.select("node", F.explode("lists").alias("sig"))
     shared = stored(listed.groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter(
         "a < b").select("sig", "a"), "shared")
@@ -348,16 +347,46 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = found.select("name", "node", "found").join(groups, "node").join(sizes, "group").select(
         "group", "name", "found", F.greatest(F.ceil(F.col("n") / PART), F.ceil(
             F.col("bytes") / PART_BYTES)).alias("parts"), beyond.alias("large"))
-    small = sets.filter("not large").groupBy("group").applyInArrow(
-        _join_group, "name binary, label binary")
-    labels = stored(small, "labels")
-    large = sets.filter("large").dropDuplicates(["name"])
+    labels = stored(sets.filter("not large").groupBy("group").applyInArrow(
+        _join_group, "name binary, label binary"), "labels")
     if not sizes.filter(beyond).isEmpty():
-        labels = labels.union(_join_large(large.drop("large")))
+        labels = labels.union(_join_large(
+            sets.filter("large").dropDuplicates(["name"]).drop("large")))
+    return digests.drop("node", "lists"), labels
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, n_shingles, component_id), one for each row of ``docs``.
+
+    Texts link when ``SHARE`` percent of their shingles are common; the component is named by the
+    least id reachable. Equal sets are one node, so copies are never paired. Texts without words
+    link with nothing. Null ids take part in links, and their rows have the id of the component.
+    """
+    digests, labels = _joined(docs)
     nodes = digests.groupBy("name").agg(F.min("doc_id").alias("id")).join(
         labels, "name", "left").withColumn("label", F.coalesce("label", "name"))
     least = nodes.groupBy("label").agg(F.min("id").alias("component_id"))
     named = nodes.join(least, "label").select("name", "component_id")
-    return digests.select("doc_id", "n_shingles", "name").join(named, "name").select(
+    return digests.join(named, "name").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(
             F.col("component_id")).alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """One document of each component, that with the least id, with all its columns.
+
+    Rows alike in id and text are one document; texts without words all stay. A null id is the
+    last choice.
+    """
+    digests, labels = _joined(docs)
+    labelled = digests.filter("n_shingles > 0").join(labels, "name", "left")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
+    tail = "_" * max(map(len, docs.columns))  # names that the documents cannot have
+    chosen = labelled.groupBy(F.coalesce("label", "name").alias("label")).agg(
+        first.alias("f")).select(F.col("f.doc_id").alias("id" + tail),
+                                 F.col("f.mark").alias("of" + tail))
+    filled = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.filter(filled).withColumn("mark" + tail, F.xxhash64("text"))
+    once = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("id" + tail)) & (
+        F.col("mark" + tail) == F.col("of" + tail))).dropDuplicates(["doc_id", "mark" + tail])
+    return once.select(*[F.col(f"`{c}`") for c in docs.columns]).union(docs.filter(~filled))

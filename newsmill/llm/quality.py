@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsmill.llm.token_counts import chunks
+from newsmill.llm.token_counts import chunks, slices
 
 DIM = 1 << 15  # buckets for each of words, word pairs and byte runs
 SAMPLE_ROWS = 2000  # labelled rows at most that the classifier is fitted on
@@ -295,3 +295,27 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = MIN_PROBABILITY
     scored = score(docs, train(docs, labels, sample_rows)).withColumn("base_failed", base_failed())
     return scored.withColumn(
         "kept", ~F.col("base_failed") & (F.col("probability") >= threshold))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = MIN_PROBABILITY,
+              sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The documents that ``judge`` keeps, with all their columns, without moving any."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample_rows))
+    at, n = docs.columns.index("text"), len(docs.columns)
+    # columns go by number, since names may hold dots
+    numbered = [f"c{i}" for i in range(n)]
+
+    def good(batches):
+        hasher = Hasher()
+        for batch in batches:
+            for part in slices(batch, n, BLOCK):
+                found = Texts([(t or "").encode() for t in part.column(at).to_pylist()], hasher)
+                words, repeated = found.n_words, found.repeated()
+                chance = shared.value.probability(found.scores(shared.value.weights))
+                kept = (words >= MIN_WORDS) & (100 * repeated <= int(100 * MAX_REPEATED) * words) \
+                    & (chance >= threshold)
+                yield pa.record_batch(part.columns[:n], numbered).filter(pa.array(kept))
+
+    sized = docs.select("*", F.coalesce(F.octet_length("text"), F.lit(0)))
+    return sized.toDF(*numbered, "size").mapInArrow(
+        good, docs.toDF(*numbered).schema).toDF(*docs.columns)

@@ -40,21 +40,23 @@ def shard_documents(docs: DataFrame, shards: int) -> DataFrame:
     return shard_by_bytes(narrow, shards, ["doc_id", "text_crc32"], "size")
 
 
-def write_shards(docs: DataFrame, shards: int, path: str) -> None:
-    """Write documents into one folder per shard, ``shard=0`` and on, in the order of ids.
+def write_shards(docs: DataFrame, shards: int, path: str) -> str:
+    """Write documents into one folder per shard, in the order of ids; returns the folders' column.
 
-    Rows find their shard by id, checksum and size; rows equal in all three take the lowest one.
+    That is ``shard``, with lines under it where the documents have a column of that name. Rows
+    find their shard by id, checksum and size; rows equal in all three take the lowest one.
     """
-    keys = ["doc_id", "text_crc32", "size"]
-    at = shard_documents(docs, shards).groupBy(*keys).agg(F.min("shard").alias("shard"))
-    full = docs.withColumns({
-        "_size": text_bytes(),
-        "_crc": F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))})
-    full = full.alias("d").join(
-        at.alias("a"), F.col("d.doc_id").eqNullSafe(F.col("a.doc_id"))
-        & (F.col("d._crc") == F.col("a.text_crc32")) & (F.col("d._size") == F.col("a.size")))
-    full = full.select(*[f"d.`{c}`" for c in docs.columns], F.col("a.shard").alias("_shard"))
-    full = full.withColumnRenamed("_shard", "shard") if "shard" not in docs.columns else full.drop(
-        "shard").withColumnRenamed("_shard", "shard")
-    full.repartitionByRange(shards, "shard", "doc_id").sortWithinPartitions(
-        "shard", "doc_id").write.partitionBy("shard").parquet(path)
+    tail = "_" * max(map(len, docs.columns))
+    at = shard_documents(docs, shards).groupBy("doc_id", "text_crc32", "size").agg(
+        F.min("shard").alias("shard")).select(*[
+            F.col(c).alias(c + tail) for c in ("doc_id", "text_crc32", "size", "shard")])
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    full = docs.join(at, F.col("doc_id").eqNullSafe(F.col("doc_id" + tail)) & (
+        F.crc32(text) == F.col("text_crc32" + tail)) & (text_bytes() == F.col("size" + tail)))
+    column = "shard"
+    while column in docs.columns:
+        column += "_"
+    full = full.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("shard" + tail).alias(column))
+    full.repartitionByRange(shards, column, "doc_id").sortWithinPartitions(
+        column, "doc_id").write.partitionBy(column).parquet(path)
+    return column
