@@ -11,7 +11,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql.functions import arrow_udf
 
-from newsmill.schemas import PARSED
+from newsmill.schemas import PARSED, PARSED_WITH_OWN
 
 # Elements without content, elements whose strings are not text, elements that
 # keep white space as it is, and attributes that hold a list of words.
@@ -44,6 +44,35 @@ class Page(HTMLParser):
         self._flush()
         while self._open:
             self._pop()
+        self._measure()
+
+    def _measure(self):
+        """Text lengths without building any text, which may be far longer than the page."""
+        total, self.lines, before, after = [0], [0], [], []
+        for run in self.text:
+            kept = len(run.strip())
+            total.append(total[-1] + len(run))
+            self.lines.append(self.lines[-1] + (kept + 1 if kept else 0))
+            before.append(len(run) - len(run.lstrip()))
+            after.append(len(run) - len(run.rstrip()))
+        ahead, behind = [len(self.text)] * (len(self.text) + 1), [-1] * (len(self.text) + 1)
+        for i in reversed(range(len(self.text))):
+            ahead[i] = ahead[i + 1] if before[i] == len(self.text[i]) else i
+        for i, run in enumerate(self.text):
+            behind[i + 1] = behind[i] if before[i] == len(run) else i
+        self.size = []
+        for first, end in zip(self.s_from, self.s_to):
+            a, b = ahead[first], behind[end]
+            self.size.append(total[b + 1] - total[a] - before[a] - after[b] if a <= b else 0)
+
+    @property
+    def own(self):
+        """The strings of each element that no element below it holds."""
+        held = [[] for _ in self.tag]
+        for at, run in zip(self.owner, self.text):
+            if at >= 0:
+                held[at].append(run)
+        return ["".join(runs) for runs in held]
 
     def _flush(self, kind=None):
         """End the current run of characters; ``kind`` marks runs that are not text."""
@@ -103,8 +132,8 @@ class Page(HTMLParser):
         self._buffer.append(html5.get(name + ";", "&" + name))
 
     def handle_charref(self, name):
-        code = int(name[1:], 16) if name[0] in "xX" else int(name)
-        try:
+        try:  # a number may also have more digits than int() takes
+            code = int(name[1:], 16) if name[0] in "xX" else int(name)
             # numbers below 256 are read as Windows-1252, as browsers do
             made = bytes([code]).decode("cp1252") if code < 256 else chr(code)
         except UnicodeDecodeError:
@@ -137,18 +166,10 @@ class Page(HTMLParser):
             self._other(data, "declaration")
 
 
-@arrow_udf(PARSED)
-def parse(html: pa.Array) -> pa.Array:
-    """STRUCT of parallel arrays for each page; null where there is no page or no way to read it."""
-    pages = []
-    for markup in html.to_pylist():
-        try:
-            pages.append(None if markup is None else Page(markup))
-        except AssertionError:  # the tokenizer's word for markup it rejects
-            pages.append(None)
+def _columns(pages: list, fields) -> pa.Array:
     columns = []
-    for field in PARSED:
-        kind = pa.string() if field.name in ("tag", "text") else pa.int32()
+    for field in fields:
+        kind = pa.string() if field.name in ("tag", "text", "own") else pa.int32()
         offsets, values = [0], []
         for page in pages:
             if page is not None:
@@ -157,4 +178,26 @@ def parse(html: pa.Array) -> pa.Array:
         columns.append(pa.ListArray.from_arrays(
             pa.array(offsets, pa.int32()), pa.array(values, kind)))
     return pa.StructArray.from_arrays(
-        columns, [f.name for f in PARSED], mask=pa.array([p is None for p in pages]))
+        columns, [f.name for f in fields], mask=pa.array([p is None for p in pages]))
+
+
+def _read(html: pa.Array) -> list:
+    pages = []
+    for markup in html.to_pylist():
+        try:
+            pages.append(None if markup is None else Page(markup))
+        except AssertionError:  # the tokenizer's word for markup it rejects
+            pages.append(None)
+    return pages
+
+
+@arrow_udf(PARSED)
+def parse(html: pa.Array) -> pa.Array:
+    """STRUCT of parallel arrays for each page; null where there is no page or no way to read it."""
+    return _columns(_read(html), PARSED)
+
+
+@arrow_udf(PARSED_WITH_OWN)
+def parse_with_own(html: pa.Array) -> pa.Array:
+    """The same with ``own``."""
+    return _columns(_read(html), PARSED_WITH_OWN)

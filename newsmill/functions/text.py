@@ -67,10 +67,15 @@ def strip_page_emoji(c: Column) -> Column:
     return _replace_above(c, "2600", PAGE_EMOJI)
 
 
+def kept_lines(c: Column, min_length: int = LINE_MIN) -> Column:
+    """Stripped lines without emoji, those above ``min_length`` only."""
+    lines = F.transform(F.split(strip_page_emoji(c), "\n"), py_strip)
+    return F.filter(lines, lambda s: F.length(s) > min_length)
+
+
 def clean_lines(c: Column, min_length: int = LINE_MIN) -> Column:
     """Drop emoji, then every line whose stripped length is not above ``min_length``."""
-    lines = F.transform(F.split(strip_page_emoji(c), "\n"), py_strip)
-    return py_strip(F.array_join(F.filter(lines, lambda s: F.length(s) > min_length), "\n"))
+    return py_strip(F.array_join(kept_lines(c, min_length), "\n"))
 
 
 def clean_title(c: Column) -> Column:

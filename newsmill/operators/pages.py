@@ -8,8 +8,8 @@ only the choice among several fetch attempts of one URL groups rows.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsmill.functions.dom import parse
-from newsmill.functions.text import bind, clean_lines, clean_title, py_strip
+from newsmill.functions.dom import parse, parse_with_own
+from newsmill.functions.text import bind, clean_lines, clean_title, kept_lines, py_strip
 from newsmill.operators.pin import pin
 
 # Fetch methods in the order they are tried, the least text of an <article>, the
@@ -28,22 +28,19 @@ NOT_POSSIBLE = ("Could not scrape the news article from ", ".")
 DOCUMENT, NOWHERE = -1, -2  # region codes: the whole page, and above the whole page
 
 
-def with_dom(df: DataFrame, html: str = "html") -> DataFrame:
-    return df.withColumn("dom", parse(F.col(html)))
+def with_dom(df: DataFrame, html: str = "html", own: bool = False) -> DataFrame:
+    """Add ``dom``, the parsed page; ``own`` adds what ``node_table`` needs."""
+    return df.withColumn("dom", (parse_with_own if own else parse)(F.col(html)))
 
 
 def node_table(df: DataFrame, key: str) -> DataFrame:
     """One row per element: position, parent, grandparent, tag, own strings."""
     d = F.col("dom")
     at = F.sequence(F.lit(0), F.size(d["tag"]) - 1)
-    # own strings lie inside the element's string range, so only that slice is looked at
     node = F.transform(at, lambda i: F.struct(
         i.alias("pos"), F.get(d["parent"], i).alias("parent_pos"),
         _grandparent(i).alias("grandparent_pos"), F.get(d["tag"], i).alias("tag"),
-        F.array_join(F.transform(F.filter(
-            F.sequence(F.get(d["s_from"], i), F.get(d["s_to"], i)),
-            lambda k: (k < F.get(d["s_to"], i)) & (F.get(d["owner"], k) == i)),
-            lambda k: F.get(d["text"], k)), "").alias("own_text")))
+        F.get(d["own"], i).alias("own_text")))
     nodes = F.when(F.size(d["tag"]) > 0, node)
     return df.select(key, F.explode(nodes).alias("n")).select(key, "n.*")
 
@@ -141,16 +138,29 @@ def _tries(ranked: Column, n: int) -> Column:
                            (-F.get(ranked, j)["k"]).alias("cnt"))).otherwise(whole))
 
 
-def _region_text(region: Column) -> Column:
-    """Every paragraph below the region, or every string where there is no paragraph."""
+def _inside(region: Column) -> Column:
+    """Paragraphs below the region."""
+    return F.filter(F.col("_p"), lambda p: (region == DOCUMENT) | (
+        (p > region) & (p <= F.get(F.col("dom.last"), region))))
+
+
+def _region_length(region: Column) -> Column:
+    """Length of the region's text: every paragraph below it with a space on both sides and a line
+    end, or every string as a line where there is no paragraph. No text is built for it: nested
+    paragraphs repeat what is below them, so their text may be far longer than the page."""
     d = F.col("dom")
-    inside = F.filter(F.col("_p"), lambda p: (region == DOCUMENT) | (
-        (p["pos"] > region) & (p["pos"] <= F.get(d["last"], region))))
-    strings = F.when(region == DOCUMENT, d["text"]).otherwise(_string_slice(region))
-    lines = F.transform(_stripped(strings), lambda s: F.concat(s, F.lit("\n")))
-    return bind(inside, lambda ps: F.when(
-        F.size(ps) > 0, F.array_join(F.transform(ps, lambda p: p["text"]), "")
-    ).otherwise(F.array_join(lines, "")))
+    lines = F.when(region == DOCUMENT, F.element_at(d["lines"], -1)).otherwise(
+        F.get(d["lines"], F.get(d["s_to"], region)) - F.get(d["lines"], F.get(d["s_from"], region)))
+    return bind(_inside(region), lambda ps: F.when(F.size(ps) > 0, F.aggregate(
+        ps, F.lit(0).cast("long"), lambda n, p: n + F.get(d["size"], p) + 3)).otherwise(lines))
+
+
+def _region_lines(region: Column) -> Column:
+    """The kept lines of the region's text, one paragraph or string at a time."""
+    strings = F.when(region == DOCUMENT, F.col("dom.text")).otherwise(_string_slice(region))
+    return bind(_inside(region), lambda ps: F.flatten(F.when(
+        F.size(ps) > 0, F.transform(ps, lambda p: kept_lines(_text(p)))
+    ).otherwise(F.transform(strings, lambda s: kept_lines(s)))))
 
 
 def extract(df: DataFrame, method: Column | None = None) -> DataFrame:
@@ -166,9 +176,7 @@ def extract(df: DataFrame, method: Column | None = None) -> DataFrame:
     # accepted as it is when long enough; the ranking below is then never evaluated
     direct = F.coalesce(F.length("_article") > MIN_ARTICLE_TEXT, F.lit(False))
     search = F.col("dom").isNotNull() & F.col("_title").isNotNull() & ~direct
-    regions = heading.withColumn("_p", F.when(search, F.transform(
-        _places("p"), lambda i: F.struct(
-            i.alias("pos"), F.concat(F.lit(" "), py_strip(_text(i)), F.lit(" \n")).alias("text")))))
+    regions = heading.withColumn("_p", F.when(search, _places("p")))
     regions = regions.withColumn("_first", F.when(search, _tries(_ranked(_places("p")), FIRST_POOL)))
 
     # after its last paragraph-ranked region the first method ranks anew, without that region
@@ -178,25 +186,22 @@ def extract(df: DataFrame, method: Column | None = None) -> DataFrame:
     if method is not None:
         tries = F.when(method == METHODS[0], tries).otherwise(F.slice("_first", 1, LATER_POOL))
 
-    def dense(t):
-        return bind(_region_text(t["region"]), lambda x: F.when(
-            F.length(x) / t["cnt"] >= MIN_DENSITY, x))
-
-    # stop reading regions once one is dense enough; only that case builds the second ranking
-    none = F.struct(F.lit(0).alias("n"), F.lit(None).cast("string").alias("text"))
+    # stop at the first region that is dense enough; only then the second ranking is built
+    none = F.struct(F.lit(0).alias("n"), F.lit(None).cast("int").alias("region"))
 
     def step(acc, t):
-        return F.when(acc["text"].isNotNull(), acc).otherwise(
-            F.struct((acc["n"] + 1).alias("n"), dense(t).alias("text")))
+        return F.when(acc["region"].isNotNull(), acc).otherwise(F.struct(
+            (acc["n"] + 1).alias("n"), F.when(
+                _region_length(t["region"]) / t["cnt"] >= MIN_DENSITY, t["region"]).alias("region")))
 
     quick = F.aggregate(F.slice("_first", 1, 1), none, step)
     full = F.aggregate(tries, none, step)
     found = regions.withColumn("_quick", F.when(search, quick))
     found = found.withColumn("_found", F.when(search, F.when(
-        F.col("_quick.text").isNotNull(), F.col("_quick")).otherwise(full)))
+        F.col("_quick.region").isNotNull(), F.col("_quick")).otherwise(full)))
 
     title = _text(F.col("_title"))
-    ok = direct | F.col("_found.text").isNotNull()
+    ok = direct | F.col("_found.region").isNotNull()
     status = (F.when(F.col("dom").isNull(), "No page.")
               .when(F.col("_title").isNull(), NO_TITLE)
               .when(ok, "ok").otherwise(NO_WORDS))
@@ -207,8 +212,8 @@ def extract(df: DataFrame, method: Column | None = None) -> DataFrame:
         "attempt": F.when(good & ~direct, F.col("_found.n") - 1),
         "title": F.when(good, F.when(direct, clean_lines(title))
                         .otherwise(clean_title(title))),
-        "text": F.when(good, clean_lines(F.when(direct, F.col("_article"))
-                                         .otherwise(F.col("_found.text")))),
+        "text": F.when(good, F.when(direct, clean_lines(F.col("_article"))).otherwise(
+            py_strip(F.array_join(_region_lines(F.col("_found.region")), "\n")))),
     }).drop("_title", "_article", "_p", "_first", "_quick", "_found")
     return pin(out, "status", "branch", "attempt", "title", "text")
 
@@ -226,7 +231,9 @@ def cascade(attempts: DataFrame) -> DataFrame:
     Attempts are reduced by a minimum, combined before the shuffle, so a URL with very many
     attempts is no hot group.
     """
-    rank = F.array_position(F.array(*[F.lit(m) for m in METHODS]), F.col("method")).cast("int")
+    known = F.array_position(F.array(*[F.lit(m) for m in METHODS]), F.col("method")).cast("int")
+    # a method that is not known comes after those that are
+    rank = F.coalesce(F.nullif(known, F.lit(0)), F.lit(len(METHODS) + 1))
     usable = attempts.withColumn("html", F.when(F.col("error").isNull(), F.col("html")))
     made = extract(with_dom(usable), F.col("method")).withColumn("_rank", rank)
     good = F.col("status") == "ok"

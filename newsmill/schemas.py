@@ -38,8 +38,13 @@ PARSED = T.StructType([
     T.StructField("s_to", T.ArrayType(T.IntegerType())),    # one past the last string inside it
     T.StructField("text", T.ArrayType(T.StringType())),     # text strings in document order
     T.StructField("owner", T.ArrayType(T.IntegerType())),   # element that holds each string
+    T.StructField("size", T.ArrayType(T.IntegerType())),    # length of each element's stripped text
+    T.StructField("lines", T.ArrayType(T.IntegerType())),   # length of all earlier strings as lines
 ])
 
+# the same, with the strings that each element holds itself
+PARSED_WITH_OWN = T.StructType([*PARSED, T.StructField("own", T.ArrayType(T.StringType()))])
+
 SUMMARY_RESPONSE = T.StructType([
     T.StructField("status", T.StringType()),
     T.StructField("title", T.StringType()),

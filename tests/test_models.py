@@ -21,7 +21,7 @@ def loads_once():
     return cutter
 
 
-TEXTS = {1: "Short text here.", 2: "", 3: "   ", 4: "Climate change affects temperatures. " * 400, 5: None}
+TEXTS = {1: "Short text here.", 2: "", 3: "   ", 4: "Tides lift small boats. " * 400, 5: None}
 
 
 @pytest.fixture(scope="module")

@@ -9,11 +9,11 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
 
-MIXED = "Hello 😊 world 🌍 small emojis ☀️⚽"
+MIXED = "Rain 🌧 on 🚀 the 🧭 quay ⛵️"
 
 
 def test_title_and_lines(spark):
-    assert one(spark, text.clean_title(F.lit(MIXED))) == "Hello  world  small emojis"
+    assert one(spark, text.clean_title(F.lit(MIXED))) == "Rain  on  the  quay"
     assert one(spark, text.clean_lines(F.lit(MIXED))) == ""
     lines = "\n".join(["a" * 30, "b" * 31, "  " + "c" * 31 + "\t"])
     assert one(spark, text.clean_lines(F.lit(lines))) == "b" * 31 + "\n" + "c" * 31
@@ -109,7 +109,7 @@ def test_label_scores(spark):
 
 
 def test_lexicon_scores(spark):
-    got = one(spark, emotions.lexicon_scores(F.lit("I am very happy and excited, full of joy!")))
+    got = one(spark, emotions.lexicon_scores(F.lit("The delighted crew was glad, and joy filled the boat.")))
     assert max(got, key=got.get) == "joy" and abs(sum(got.values()) - 1) < 1e-12
 
 
