@@ -99,9 +99,12 @@ def count_words(c: Column) -> Column:
     return F.size(words(c))
 
 
-def count_tokens(c: Column, special: int = 2) -> Column:
-    """Default token counter: whitespace words plus ``special`` marker tokens."""
-    return count_words(c) + F.lit(special)
+def count_tokens(c: Column, special: int = 2, count=count_words) -> Column:
+    """Tokens of a whole text: what ``count`` finds, plus ``special`` marker tokens.
+
+    ``count`` is any Column -> Column; whitespace words stand in for a tokenizer.
+    """
+    return count(c) + F.lit(special)
 
 
 def summary_budget(n: Column) -> Column:

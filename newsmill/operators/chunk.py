@@ -32,14 +32,17 @@ def pack(parts: Column, sizes: Column, text: Column, max_tokens: int) -> Column:
     return F.when(F.size(parts) == 0, F.array(text)).otherwise(bind(starts, cut))
 
 
-def chunks(text: Column, max_tokens: int = CHUNK_LIMIT) -> Column:
-    """ARRAY<STRING> of chunks, sentences counted by whitespace words."""
-    return bind(sentences(text), lambda s: pack(s, F.transform(s, count_words), text, max_tokens))
+def chunks(text: Column, max_tokens: int = CHUNK_LIMIT, count=count_words) -> Column:
+    """ARRAY<STRING> of chunks; ``count`` (Column -> Column) sizes a sentence."""
+    return bind(sentences(text), lambda s: pack(
+        s, F.transform(s, lambda x: count(x).cast("int")), text, max_tokens))
 
 
-def chunk_table(df: DataFrame, key: str, text: str, max_tokens: int = CHUNK_LIMIT) -> DataFrame:
+def chunk_table(df: DataFrame, key: str, text: str, max_tokens: int = CHUNK_LIMIT,
+                count=count_words) -> DataFrame:
     """One row per chunk with its own token count and summary budget."""
-    rows = df.select(key, F.posexplode(chunks(F.col(text), max_tokens)).alias("chunk_no", "chunk"))
-    sized = rows.withColumn("n_tokens", count_tokens(F.col("chunk")))
+    rows = df.select(key, F.posexplode(chunks(F.col(text), max_tokens, count)).alias(
+        "chunk_no", "chunk"))
+    sized = rows.withColumn("n_tokens", count_tokens(F.col("chunk"), count=count).cast("int"))
     return sized.withColumn("budget", summary_budget(F.col("n_tokens"))).select(
         key, "chunk_no", "chunk", "n_tokens", "budget.min_len", "budget.max_len")

@@ -22,6 +22,7 @@ from newsmill.operators.pin import pin
 Summariser = Callable[[list[str], list[int], list[int]], list[str]]
 # texts -> for each text its {label, score} items
 Scorer = Callable[[list[str]], list[list[dict]]]
+BATCH_SIZE = 32  # texts in one call of a model
 
 
 def lead_summary(text: Column, max_len: Column) -> Column:
@@ -38,57 +39,88 @@ def lead_summary(text: Column, max_len: Column) -> Column:
     return bind(sentences(text), choose)
 
 
-def _lead_all(texts: Column) -> Column:
+def _lead_all(texts: Column, count) -> Column:
     def lead(t):
-        return bind(summary_budget(count_tokens(t))["max_len"], lambda top: lead_summary(t, top))
+        return bind(summary_budget(count_tokens(t, count=count))["max_len"],
+                    lambda top: lead_summary(t, top))
     return F.transform(texts, lead)
 
 
-def model_udf(load: Callable[[], Summariser]):
-    """A UDF over ARRAY<STRING> that loads the model once per worker process."""
+def in_batches(model: Callable, size: int, *columns: list) -> list:
+    """Results of a model, called with at most ``size`` rows of about the same length.
+
+    What a call gives is paired with its rows only if it gives one result for each; otherwise
+    these rows have none.
+    """
+    made = [None] * len(columns[0])
+    order = sorted(range(len(made)), key=lambda i: len(columns[0][i]))
+    for start in range(0, len(order), size):
+        rows = order[start:start + size]
+        out = model(*[[c[i] for i in rows] for c in columns])
+        if isinstance(out, (list, tuple)) and len(out) == len(rows):
+            for i, x in zip(rows, out):
+                made[i] = x
+    return made
+
+
+def model_udf(load: Callable[[], Summariser], batch_size: int = BATCH_SIZE):
+    """A UDF over ARRAY<STRING> that loads the model once per task.
+
+    A text whose call went wrong is null in the result.
+    """
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def apply(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         model = load()
         for texts, lows, highs in batches:
             flat = [[x for row in part if row is not None for x in row]
                     for part in (texts, lows, highs)]
-            made = iter(model(*[list(f) for f in flat]) if flat[0] else [])
+            made = iter([x if isinstance(x, str) else None
+                         for x in in_batches(model, batch_size, *flat)])
             yield pd.Series([None if row is None else [next(made) for _ in row] for row in texts])
     return apply
 
 
-def _apply(texts: Column, udf) -> Column:
+def _apply(texts: Column, udf, count) -> Column:
     """Summaries of an array of texts, each with the budget of its own token count."""
     if udf is None:
-        return _lead_all(texts)
-    budgets = F.transform(texts, lambda t: summary_budget(count_tokens(t)))
+        return _lead_all(texts, count)
+    budgets = F.transform(texts, lambda t: summary_budget(count_tokens(t, count=count)))
     return udf(texts, F.transform(budgets, lambda b: b["min_len"]),
                F.transform(budgets, lambda b: b["max_len"]))
 
 
 def summarise(df: DataFrame, text: str, load: Callable[[], Summariser] | None = None,
-              max_tokens: int = CHUNK_LIMIT, direct_limit: int = DIRECT_LIMIT) -> DataFrame:
+              max_tokens: int = CHUNK_LIMIT, direct_limit: int = DIRECT_LIMIT,
+              count=count_words, batch_size: int = BATCH_SIZE) -> DataFrame:
     """Add ``n_tokens, route, n_chunks, combined_tokens, summary``.
 
     Chunks stay an array inside their document's row, in order, so mapping and combining need no
     shuffle. Blank texts and single-pass documents hand the model an empty array at the steps
-    that do not concern them.
+    that do not concern them. ``count`` (Column -> Column) counts tokens without markers. The
+    summary is null where the model gave none for a part of the text.
     """
-    udf = model_udf(load) if load else None
+    udf = model_udf(load, batch_size) if load else None
     t = F.col(text)
+
+    def whole(c):
+        return count_tokens(c, count=count).cast("int")
+
+    def complete(parts):
+        return ~F.exists(parts, lambda x: x.isNull())
+
     blank, none = is_blank(t), F.array().cast("array<string>")
-    sized = df.withColumn("n_tokens", F.coalesce(count_tokens(t), F.lit(0)))
+    sized = df.withColumn("n_tokens", F.coalesce(whole(t), F.lit(0)))
     sized = sized.withColumn("route", F.when(blank, "blank").otherwise(
         F.when(F.col("n_tokens") <= direct_limit, "direct").otherwise("chunked")))
-    parts = (F.when(F.col("route") == "chunked", chunks(t, max_tokens))
+    parts = (F.when(F.col("route") == "chunked", chunks(t, max_tokens, count))
              .when(F.col("route") == "direct", F.array(t)).otherwise(none))
     made = (sized.withColumn("_parts", parts).withColumn("n_chunks", F.size("_parts"))
-            .withColumn("_made", _apply(F.col("_parts"), udf))
-            .withColumn("_joined", F.array_join("_made", " "))
-            .withColumn("combined_tokens", count_tokens(F.col("_joined"))))
+            .withColumn("_made", _apply(F.col("_parts"), udf, count))
+            .withColumn("_joined", F.when(complete("_made"), F.array_join("_made", " ")))
+            .withColumn("combined_tokens", whole(F.col("_joined"))))
     again = (F.col("route") == "chunked") & (F.col("combined_tokens") > direct_limit)
     final = (made.withColumn("_again", F.when(again, F.array("_joined")).otherwise(none))
-             .withColumn("_final", _apply(F.col("_again"), udf)))
+             .withColumn("_final", _apply(F.col("_again"), udf, count)))
     summary = F.when(again, F.get("_final", F.lit(0))).otherwise(F.col("_joined"))
     out = (final.withColumn("summary", summary)
            .drop("_parts", "_made", "_joined", "_again", "_final"))
@@ -102,8 +134,9 @@ def respond(df: DataFrame, title: str, text: str) -> DataFrame:
     return df.withColumn("status", status).withColumn("full_article", F.col(text))
 
 
-def scorer_udf(load: Callable[[], Scorer]):
-    """Scores of each text, null where the model's output has the wrong shape."""
+def scorer_udf(load: Callable[[], Scorer], batch_size: int = BATCH_SIZE):
+    """Scores of each text, null where the model's output has the wrong shape, and for all texts
+    of a call that gives more or fewer results than it had texts."""
     kind = T.ArrayType(T.StructType([
         T.StructField("label", T.StringType()), T.StructField("score", T.DoubleType())]))
 
@@ -115,21 +148,20 @@ def scorer_udf(load: Callable[[], Scorer]):
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
         for texts in batches:
-            present = [t for t in texts if t is not None]
-            out = iter(model(present) if present else [])
-            rows = [None if t is None else next(out, None) for t in texts]
+            made = iter(in_batches(model, batch_size, [t for t in texts if t is not None]))
+            rows = [None if t is None else next(made) for t in texts]
             yield pd.Series([r if well_formed(r) else None for r in rows])
     return apply
 
 
 def score_emotions(df: DataFrame, text: str, load: Callable[[], Scorer] | None = None,
-                   lexicon=None) -> DataFrame:
+                   lexicon=None, batch_size: int = BATCH_SIZE) -> DataFrame:
     """Add ``status, detail, probabilities``. Rejected texts keep their row and never reach
     the model."""
     guarded = df.withColumn("_g", scoring_guard(F.col(text)))
     offered = F.when(F.col("_g.status") == "ok", F.col(text))
     if load:
-        scores = from_label_scores(scorer_udf(load)(offered))
+        scores = from_label_scores(scorer_udf(load, batch_size)(offered))
     else:
         scores = F.when(offered.isNotNull(), lexicon_scores(offered, lexicon) if lexicon
                         else lexicon_scores(offered))

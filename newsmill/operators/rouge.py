@@ -1,5 +1,6 @@
 """ROUGE-1, -2, -L and -Lsum over tables of (key, prediction, reference)."""
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -135,13 +136,15 @@ def rouge_l(pairs: DataFrame, key: list[str], stemmed: bool = False) -> DataFram
         *key, *scores(F.col("_n"), F.size("p"), F.size("r"), "rougeL"))
 
 
+def _lines(name: str) -> Column:
+    """Tokens of each line that has any."""
+    whole = F.transform(F.split(F.coalesce(F.col(name), F.lit("")), "\n"), tokens)
+    return F.filter(whole, lambda ts: F.size(ts) > 0)
+
+
 def rouge_lsum(pairs: DataFrame, key: list[str], stemmed: bool = False) -> DataFrame:
     """Union LCS over lines."""
-    def lines(name):
-        whole = F.transform(F.split(F.coalesce(F.col(name), F.lit("")), "\n"), tokens)
-        return F.filter(whole, lambda ts: F.size(ts) > 0)
-
-    rows = pairs.select(*key, lines("prediction").alias("p"), lines("reference").alias("r"))
+    rows = pairs.select(*key, _lines("prediction").alias("p"), _lines("reference").alias("r"))
     if stemmed:
         rows = rows.withColumns({s: stem_lines(s) for s in ("p", "r")})
     return rows.withColumn("_n", _union_hits("p", "r")).select(
@@ -149,9 +152,10 @@ def rouge_lsum(pairs: DataFrame, key: list[str], stemmed: bool = False) -> DataF
 
 
 def mean_scores(parts: dict[str, DataFrame]) -> DataFrame:
-    """Mean F1 per metric over all pairs, times 100, four decimals: one row.
+    """Mean F1 per metric over all given pairs, times 100, four decimals: one row.
 
-    Each metric is averaged on its own, so pairs are never joined with themselves.
+    A pair whose prediction is missing scores 0 here; leave such pairs out before scoring to have
+    the mean of the others. Each metric is averaged on its own, so pairs are never joined with themselves.
     """
     rows = [df.select(F.lit(name).alias("metric"), F.col(f"{name}_f").alias("f"))
             for name, df in parts.items()]
@@ -159,11 +163,52 @@ def mean_scores(parts: dict[str, DataFrame]) -> DataFrame:
         as_score(F.avg(F.when(F.col("metric") == name, F.col("f")))).alias(name) for name in parts])
 
 
+def _f1(hits: int, n_p: int, n_r: int) -> float:
+    p, r = hits / n_p if n_p else 0.0, hits / n_r if n_r else 0.0
+    return 2 * p * r / (p + r) if p + r > 0 else 0.0
+
+
+def _overlap(p: list, r: list) -> int:
+    return (Counter(p) & Counter(r)).total()
+
+
+METRICS = ("rouge1", "rouge2", "rougeL", "rougeLsum")
+
+
+def pair_scores(stemmed: bool = True):
+    """UDF over token arrays per line of prediction and reference: F1 of all four metrics."""
+    @F.pandas_udf(T.StructType([T.StructField(m, T.DoubleType()) for m in METRICS]))
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        stems = _stemmer() if stemmed else list
+        for predictions, references in batches:
+            rows = []
+            for p_lines, r_lines in zip(predictions, references):
+                p_lines, r_lines = [stems(x) for x in p_lines], [stems(x) for x in r_lines]
+                p, r = [t for x in p_lines for t in x], [t for x in r_lines for t in x]
+                pairs = list(zip(p, p[1:])), list(zip(r, r[1:]))
+                rows.append((
+                    _f1(_overlap(p, r), len(p), len(r)),
+                    _f1(_overlap(*pairs), len(pairs[0]), len(pairs[1])),
+                    _f1(lcs.length(p, r), len(p), len(r)),
+                    _f1(lcs.union_hits(r_lines, p_lines), len(p), len(r))))
+            yield pd.DataFrame(rows, columns=list(METRICS))
+    return score
+
+
 def corpus_scores(pairs: DataFrame, key: list[str], stemmed: bool = True) -> DataFrame:
-    """All four metrics over a table of pairs."""
-    return mean_scores({
-        "rouge1": rouge_n(pairs, key, 1, stemmed), "rouge2": rouge_n(pairs, key, 2, stemmed),
-        "rougeL": rouge_l(pairs, key, stemmed), "rougeLsum": rouge_lsum(pairs, key, stemmed)})
+    """Means of all four metrics, times 100, over pairs with a prediction, and how many pairs and
+    missing predictions there are: one row.
+
+    A pair is tokenised, stemmed and scored once, in its own row.
+    """
+    sides = [_lines(c).alias(c[0]) for c in ("prediction", "reference")]
+    present = F.col("prediction").isNotNull()
+    rows = pairs.select(present.alias("present"), *sides)
+    scored = rows.withColumn("s", F.when(F.col("present"), pair_scores(stemmed)("p", "r")))
+    return scored.agg(
+        *[as_score(F.avg(f"s.{m}")).alias(m) for m in METRICS],
+        F.count(F.lit(1)).alias("pairs"),
+        F.coalesce(F.sum((~F.col("present")).cast("long")), F.lit(0)).alias("missing"))
 
 
 def vocabulary(df: DataFrame, text: str) -> DataFrame:

@@ -186,6 +186,30 @@ def validation(spark, sf_dir):
     return found.withColumn("unexpected_percent", F.round("unexpected_percent", 6))
 
 
+LACKING = RESULTS.replace("assets AS (", "all_assets AS (").replace("counted AS (", """assets AS (
+  SELECT * FROM all_assets WHERE dataset <> 'clean_fr'),
+counted AS (""")
+
+
+@query(f"""WITH {LACKING}, checks AS (SELECT DISTINCT check_no, expectation, "column" FROM results)
+SELECT dataset, check_no, expectation, "column", element_count, unexpected_count, success FROM results
+UNION ALL SELECT 'clean_fr', check_no, expectation, "column", 0, 0, true FROM checks""")
+def validation_of_emptied(spark, sf_dir):
+    """A cleaner that loses a whole split still has that split in its report."""
+    assets = _assets(spark, sf_dir)
+    assets["clean"] = assets["clean"].filter("split <> 'fr'")
+    return expect.evaluate(assets, by="split").select(
+        "dataset", "check_no", "expectation", "column", "element_count", "unexpected_count", "success")
+
+
+@query(f"""WITH {RESULTS} SELECT dataset, count(*) AS evaluated,
+  CAST(sum(CASE WHEN success THEN 0 ELSE 1 END) AS BIGINT) AS unsuccessful
+  FROM results WHERE dataset = 'raw_en' GROUP BY dataset""")
+def validation_first_run(spark, sf_dir):
+    """The tally of one data set only."""
+    return expect.tally(expect.evaluate(_assets(spark, sf_dir), by="split"), first_only="raw_en")
+
+
 @query(f"WITH {RESULTS} SELECT 'first' AS run, dataset, expectation, \"column\", success FROM results")
 def validation_saved(spark, sf_dir):
     """Results stored twice under one run name, and read back."""

@@ -63,7 +63,20 @@ def unmasked_labels(spark, sf_dir):
     return rows.select("doc_id", *_show("labels"))
 
 
-def _chunks_sql(source, limit, name="chunked"):
+def _words(x):
+    return f"len({sql.words(x)})"
+
+
+def _quarters(x):
+    """A counter other than words: four characters to a token."""
+    return f"((length({x}) + 3) // 4)"
+
+
+def quarters(c):
+    return F.ceil(F.length(c) / 4).cast("int")
+
+
+def _chunks_sql(source, limit, count=_words, name="chunked"):
     """Greedy packing over (doc_id, text): a fold that keeps (tokens used, chunk texts)."""
     kind = "STRUCT(used BIGINT, done VARCHAR[])"
     step = (f"CASE WHEN len(acc.done) = 0 OR acc.used + x.used > {limit} "
@@ -71,17 +84,17 @@ def _chunks_sql(source, limit, name="chunked"):
             "ELSE {'used': acc.used + x.used, 'done': list_concat(acc.done[1:len(acc.done) - 1], "
             "[acc.done[len(acc.done)] || ' ' || x.done[1]])} END")
     return f"""{name}_parts AS (SELECT doc_id, text, list_transform({sql.sentences('text')},
-    lambda s: CAST({{'used': len({sql.words('s')}), 'done': [s]}} AS {kind})) AS parts FROM {source}),
+    lambda s: CAST({{'used': {count('s')}, 'done': [s]}} AS {kind})) AS parts FROM {source}),
 {name} AS (SELECT doc_id, CASE WHEN len(parts) = 0 THEN [text] ELSE list_reduce(parts,
     lambda acc, x: {step}, CAST({{'used': 0, 'done': []}} AS {kind})).done END AS chunks
     FROM {name}_parts)"""
 
 
-def _chunk_rows_sql(limit):
-    return f"""WITH {_chunks_sql('documents', limit)}, rows AS (
+def _chunk_rows_sql(limit, count=_words):
+    return f"""WITH {_chunks_sql('documents', limit, count)}, rows AS (
   SELECT doc_id, chunks, unnest(range(1, len(chunks) + 1)) AS k FROM chunked),
 sized AS (SELECT doc_id, k - 1 AS chunk_no, chunks[k] AS chunk,
-  len({sql.words('chunks[k]')}) + 2 AS n_tokens FROM rows)
+  {count('chunks[k]')} + 2 AS n_tokens FROM rows)
 SELECT doc_id, chunk_no, chunk, n_tokens, {sql.min_len('n_tokens')} AS min_len,
   {sql.max_len('n_tokens')} AS max_len FROM sized"""
 
@@ -97,34 +110,47 @@ def chunk_table_small(spark, sf_dir):
     return chunk.chunk_table(table(spark, sf_dir, "documents", heavy=True), "doc_id", "text", 90)
 
 
-def _lead_sql(source, text, name):
+@query(_chunk_rows_sql(200, _quarters))
+def chunk_table_by_count(spark, sf_dir):
+    """Chunks sized by a counter that is not words."""
+    return chunk.chunk_table(table(spark, sf_dir, "documents", heavy=True), "doc_id", "text", 200,
+                             count=quarters)
+
+
+def _lead_sql(source, text, name, count=_words):
     """Stand-in summary of (doc_id, k, text) rows: leading sentences within the budget."""
     return f"""{name}_s AS (SELECT *, {sql.sentences(text)} AS s,
-    {sql.max_len(f"(len({sql.words(text)}) + 2)")} AS top FROM {source}),
+    {sql.max_len(f"({count(text)} + 2)")} AS top FROM {source}),
 {name}_k AS (SELECT *, len(list_filter(range(1, len(s) + 1), lambda i:
     list_sum(list_transform(s[1:i], lambda x: len({sql.words('x')}))) <= top)) AS fit FROM {name}_s),
 {name} AS (SELECT * EXCLUDE (s, top, fit), CASE WHEN fit > 0 THEN array_to_string(s[1:fit], ' ')
     ELSE array_to_string(({sql.words("coalesce(s[1], '')")})[1:top], ' ') END AS made FROM {name}_k)"""
 
 
-def summaries_sql(limit, direct):
+def _shortest_sql(source, text, name, count=_words):
+    """The model below: the first words of each text, as many as its summary has at least."""
+    return f"""{name} AS (SELECT *, array_to_string(({sql.words(f"coalesce({text}, '')")})[
+    1:{sql.min_len(f"({count(text)} + 2)")}], ' ') AS made FROM {source})"""
+
+
+def summaries_sql(limit, direct, count=_words, model=_lead_sql):
     """The whole summariser: route, chunk, summarise, combine, summarise again when long."""
-    return f"""WITH sized AS (SELECT doc_id, text, len({sql.words('text')}) + 2 AS n_tokens FROM documents),
+    return f"""WITH sized AS (SELECT doc_id, text, {count('text')} + 2 AS n_tokens FROM documents),
 routed AS (SELECT *, CASE WHEN {sql.strip('text')} = '' THEN 'blank' WHEN n_tokens <= {direct}
     THEN 'direct' ELSE 'chunked' END AS route FROM sized),
 long AS (SELECT doc_id, text FROM routed WHERE route = 'chunked'),
-{_chunks_sql('long', limit)},
+{_chunks_sql('long', limit, count)},
 units AS (SELECT doc_id, 1 AS k, text AS unit FROM routed WHERE route = 'direct' UNION ALL
   SELECT doc_id, k, chunks[k] FROM (SELECT doc_id, chunks, unnest(range(1, len(chunks) + 1)) AS k
     FROM chunked)),
-{_lead_sql('units', 'unit', 'first_pass')},
+{model('units', 'unit', 'first_pass', count)},
 joined AS (SELECT doc_id, string_agg(made, ' ' ORDER BY k) AS joined, count(*) AS n_chunks
   FROM first_pass GROUP BY doc_id),
 counted AS (SELECT r.doc_id, r.route, r.n_tokens, coalesce(j.n_chunks, 0) AS n_chunks,
     coalesce(j.joined, '') AS joined,
-    len({sql.words("coalesce(j.joined, '')")}) + 2 AS combined_tokens
+    {count("coalesce(j.joined, '')")} + 2 AS combined_tokens
   FROM routed r LEFT JOIN joined j USING (doc_id)),
-{_lead_sql('counted', 'joined', 'second_pass')}
+{model('counted', 'joined', 'second_pass', count)}
 SELECT doc_id, route, n_tokens, n_chunks, combined_tokens,
   CASE WHEN route = 'chunked' AND combined_tokens > {direct} THEN made ELSE joined END AS summary
 FROM second_pass"""
@@ -151,13 +177,20 @@ def shortest(texts, lows, highs):
     return [" ".join(t.split()[:n]) for t, n in zip(texts, lows)]
 
 
-@query(f"""WITH sized AS (SELECT doc_id, {sql.words('text')} AS w FROM documents)
-SELECT doc_id, array_to_string(w[1:{sql.min_len('(len(w) + 2)')}], ' ') AS summary FROM sized""")
+@query(summaries_sql(60, 80, model=_shortest_sql))
 def summaries_by_model(spark, sf_dir):
-    """A Python model over whole documents, every text in one pass."""
+    """A Python model over whole documents, through chunks and the second pass."""
     docs = table(spark, sf_dir, "documents", heavy=True).select("doc_id", "text")
-    return models.summarise(docs, "text", lambda: shortest, direct_limit=1 << 30).select(
-        "doc_id", "summary")
+    return models.summarise(docs, "text", lambda: shortest, max_tokens=60, direct_limit=80).select(
+        *SUMMARY_COLUMNS)
+
+
+@query(summaries_sql(100, 150, _quarters))
+def summaries_by_count(spark, sf_dir):
+    """Budgets, chunks and routes by a counter that is not words."""
+    docs = table(spark, sf_dir, "documents", heavy=True).select("doc_id", "text")
+    return models.summarise(docs, "text", max_tokens=100, direct_limit=150, count=quarters).select(
+        *SUMMARY_COLUMNS)
 
 
 def count_in_batch(batch):
@@ -172,12 +205,13 @@ def batched_map(spark, sf_dir):
 
 
 @query(f"""WITH {sql.ARTICLES} SELECT doc_id, CASE WHEN {sql.strip('highlights')} = ''
-  THEN 'invalid' ELSE 'ok' END AS status, highlights AS summary, article AS full_article FROM articles""")
+  THEN 'invalid' ELSE 'ok' END AS status, split AS title, highlights AS summary,
+  article AS full_article FROM articles""")
 def responses(spark, sf_dir):
     rows = articles(spark, sf_dir).withColumns({
         "summary": F.col("highlights"), "title": F.col("split")})
     return models.respond(rows, "title", "article").select(
-        "doc_id", "status", "summary", "full_article")
+        "doc_id", "status", "title", "summary", "full_article")
 
 
 # words of the invented prose, so that the stand-in scorer has something to find
@@ -217,6 +251,28 @@ def emotion_scores(spark, sf_dir):
     return _scored(spark, sf_dir).select("doc_id", "status", shown.alias("probabilities"))
 
 
+def shares_of_letters(texts):
+    """A scorer from outside Spark."""
+    def share(text, letters):
+        return sum(text.count(x) for x in letters) / len(text)
+    return [[{"label": "vowels", "score": share(t, "aeiou")}, {"label": "blank", "score": share(t, " ")}]
+            for t in texts]
+
+
+@query("""WITH shares AS (SELECT doc_id, length(text) AS n,
+    length(text) - length(regexp_replace(text, '[aeiou]', '', 'g')) AS vowels,
+    length(text) - length(replace(text, ' ', '')) AS blank FROM documents)
+SELECT doc_id, CASE WHEN n BETWEEN 1 AND 2000 THEN 'ok' ELSE 'error' END AS status,
+  CASE WHEN n BETWEEN 1 AND 2000 THEN CAST(vowels AS DOUBLE) / n END AS vowels,
+  CASE WHEN n BETWEEN 1 AND 2000 THEN CAST(blank AS DOUBLE) / n END AS blank FROM shares""")
+def emotion_scores_by_model(spark, sf_dir):
+    """A Python scorer over all documents; refused texts never reach it."""
+    docs = table(spark, sf_dir, "documents", heavy=True).select("doc_id", "text")
+    scored = models.score_emotions(docs, "text", lambda: shares_of_letters)
+    return scored.select("doc_id", "status", *[
+        F.element_at("probabilities", k).alias(k) for k in ("vowels", "blank")])
+
+
 @query(f"""WITH {_scores_sql()} SELECT doc_id,
     row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, emotion) AS place, emotion,
     CAST(floor(score * 100 + 0.5::DOUBLE) AS BIGINT) AS percent FROM shares

@@ -101,6 +101,18 @@ def rouge_l(spark, sf_dir):
     return _rounded(rouge.rouge_l(_pairs(spark, sf_dir), KEY))
 
 
+@query(f"""WITH {sql.PAIRS}, {_rouge_sql(1)}, {_rouge_sql(2)}, {ROUGE_L},
+means AS (SELECT round(avg(a.f) * 100, 4) AS rouge1, round(avg(b.f) * 100, 4) AS rouge2,
+    round(avg(CASE WHEN l.p + l.r > 0 THEN 2 * l.p * l.r / (l.p + l.r) ELSE 0 END) * 100, 4) AS "rougeL"
+  FROM pairs JOIN rouge1 a USING (conv_id, turn) JOIN rouge2 b USING (conv_id, turn)
+  JOIN prl l USING (conv_id, turn) WHERE status = 'ok')
+SELECT rouge1, rouge2, "rougeL", (SELECT count(*) FROM pairs) AS pairs,
+  (SELECT count(*) FROM pairs WHERE status = 'missing') AS missing FROM means""")
+def corpus_rouge_unstemmed(spark, sf_dir):
+    """The means without stemming, over pairs that have a prediction."""
+    return rouge.corpus_scores(_pairs(spark, sf_dir), KEY, stemmed=False).drop("rougeLsum")
+
+
 @query()
 def rouge_lsum(spark, sf_dir):
     return _rounded(rouge.rouge_lsum(_pairs(spark, sf_dir), KEY))

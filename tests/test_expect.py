@@ -1,3 +1,5 @@
+import pytest
+
 from newsmill.operators import clean, expect
 
 ROWS = [("1", "a" * 60, "h" * 12), ("1", "b" * 49, "h" * 12), ("2", None, "h" * 12),
@@ -91,3 +93,23 @@ def test_dataset_without_rows(spark):
     results = expect.evaluate({"full": rows, "empty": rows.limit(0)})
     tallies = {r["dataset"]: (r["evaluated"], r["unsuccessful"]) for r in expect.tally(results).collect()}
     assert tallies == {"full": (14, 7), "empty": (14, 0)}
+
+
+def test_data_sets_without_rows_and_without_a_name(spark):
+    kind = "id string, article string, highlights string, split string"
+    row = ("1", "a" * 60, "b" * 20)
+    raw = spark.createDataFrame([(*row, "x"), (*row, None)], kind)
+    clean = spark.createDataFrame([(*row, "y")], kind)
+    found = expect.evaluate({"raw": raw, "clean": clean}, by="split").collect()
+    sizes = {(r["dataset"], r["element_count"]) for r in found}
+    assert sizes == {("raw_x", 1), ("raw_y", 0), ("raw_null", 1),
+                     ("clean_x", 0), ("clean_y", 1), ("clean_null", 0)}
+    assert len(found) == 6 * len(expect.ARTICLE_SUITE)
+
+
+@pytest.mark.parametrize("mostly, good", [(0.1, True), (0.11, False), (0.07, True)])
+def test_a_share_met_exactly_is_met(spark, mostly, good):
+    df = spark.createDataFrame([(f"{i}", "long enough" if i == 0 else "s") for i in range(10)],
+                               "id string, article string")
+    check = expect.Check(expect.MIN_LENGTH, ("article",), min_value=5, mostly=mostly)
+    assert expect.evaluate({"d": df}, (check,)).first()["success"] is good

@@ -71,6 +71,39 @@ def test_scorer_model(spark):
     assert got[4][2] == "analyzer output is invalid"
 
 
+@pytest.mark.parametrize("wrong", [lambda x: x[1:], lambda x: x + x[:1], lambda x: None])
+def test_too_few_or_too_many_results_are_never_shifted(spark, wrong):
+    def scores():
+        def score(texts):
+            made = [[{"label": t, "score": 0.5}] for t in texts]
+            return wrong(made) if "break" in texts else made
+        return score
+
+    def summaries():
+        def first(texts, lows, highs):
+            made = [t.split()[0] for t in texts]
+            return wrong(made) if "break" in texts else made
+        return first
+
+    rows = [(1, "a"), (2, "bb"), (3, "break"), (4, "dd dd dd"), (5, None)]
+    df = spark.createDataFrame(rows, "k long, t string").coalesce(1)
+    got = {r["k"]: (r["status"], r["probabilities"]) for r in
+           models.score_emotions(df, "t", scores, batch_size=2).collect()}
+    assert got[1] == ("ok", {"a": 0.5}) and got[2] == ("ok", {"bb": 0.5})
+    assert got[3] == got[4] == ("error", None) and got[5][0] == "error"
+    made = {r["k"]: r["summary"] for r in models.summarise(df, "t", summaries, batch_size=2).collect()}
+    assert made == {1: "a", 2: "bb", 3: None, 4: None, 5: ""}
+    answers = models.respond(models.summarise(df.withColumn("n", F.lit("x")), "t", summaries,
+                                              batch_size=2), "n", "t")
+    assert {r["k"]: r["status"] for r in answers.collect()}[3] == "invalid"
+
+
+def test_other_counters(spark):
+    df = spark.createDataFrame([(1, "aaaa bbbb. cccc dddd. eeee.")], "k long, t string")
+    got = models.summarise(df, "t", loads_once, max_tokens=10, direct_limit=12, count=F.length).first()
+    assert (got["n_tokens"], got["n_chunks"], got["route"]) == (29, 3, "chunked")
+
+
 def test_batched_map_drops_columns(docs):
     out = models.map_batches(docs.filter("t is not null"), lambda b: b.assign(n=b.t.str.len())[["k", "n"]],
                              "k long, n long")

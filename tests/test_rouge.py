@@ -38,8 +38,23 @@ def test_stemming(pairs):
 
 def test_means(pairs):
     row = rouge.corpus_scores(pairs, ["id"], stemmed=False).first()
-    assert row["rouge1"] == round(100 * (8 / 11) / 4, 4)
-    assert set(row.asDict()) == {"rouge1", "rouge2", "rougeL", "rougeLsum"}
+    # of four pairs one has no prediction, and counts as missing instead of zero
+    assert row["rouge1"] == row["rougeL"] == row["rougeLsum"] == round(100 * (8 / 11) / 3, 4)
+    assert (row["pairs"], row["missing"]) == (4, 1)
+    plan = rouge.corpus_scores(pairs, ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("Exchange") == 1
+
+
+def test_all_metrics_at_once_equal_each_alone(pairs):
+    whole = pairs.filter("prediction is not null")
+    for stemmed in (False, True):
+        row = rouge.corpus_scores(whole, ["id"], stemmed).first()
+        alone = rouge.mean_scores({
+            "rouge1": rouge.rouge_n(whole, ["id"], 1, stemmed),
+            "rouge2": rouge.rouge_n(whole, ["id"], 2, stemmed),
+            "rougeL": rouge.rouge_l(whole, ["id"], stemmed),
+            "rougeLsum": rouge.rouge_lsum(whole, ["id"], stemmed)}).first()
+        assert {k: row[k] for k in alone.asDict()} == alone.asDict()
 
 
 def test_pairing_reports_missing(spark):
