@@ -1,5 +1,7 @@
 """Ledger queries: events as emission records and as requests."""
 
+from datetime import datetime, timezone
+
 from pyspark.sql import functions as F
 
 from newsmill.functions.times import utc_instant
@@ -36,6 +38,15 @@ def ledger_round_trip(spark, sf_dir):
         F.unix_micros("ts").alias("at"), "stage", "emissions_kg", "emissions_g")
 
 
+@query(f"WITH {RECORDS} SELECT stage, emissions_kg, true AS stamped FROM records")
+def ledger_stamped(spark, sf_dir):
+    """Records without a time of their own get the time at which they are written."""
+    path, begin = scratch(spark, "ledger"), datetime.now(timezone.utc)
+    store.append(ledger.entries(_ledger(spark, sf_dir), "stage", "emissions_kg"), path)
+    between = F.col("ts").between(F.lit(begin), F.lit(datetime.now(timezone.utc)))
+    return store.read(spark, path).select("stage", "emissions_kg", between.alias("stamped"))
+
+
 @query(f"""WITH {RECORDS} SELECT round(sum(emissions_kg), 4) AS total_kg,
   round(sum(emissions_g), 4) AS total_g, count(*) AS records FROM records""")
 def ledger_totals(spark, sf_dir):

@@ -42,7 +42,20 @@ def scratch(spark, name):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="newsmill-", dir="/tmp"))
         root = context.getCheckpointDir()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{_home(spark, root)}/{name}-{uuid.uuid4().hex}"
+
+
+def _home(spark, root):
+    return f"{root.rstrip('/')}/newsmill-{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark):
+    """Remove what this application has stored. DataFrames made from it can't be read any more."""
+    context = spark.sparkContext
+    root = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        path = context._jvm.org.apache.hadoop.fs.Path(_home(spark, root))
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df, name):

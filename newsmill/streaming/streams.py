@@ -1,7 +1,8 @@
 """Streaming forms of cleaning, page enrichment, ledger totals and request pacing.
 
 Sinks that need state across batches write one folder per batch and only ever replace that
-folder, so a batch repeated after a failure leaves the same tables. State holds keys, never texts.
+folder, so a batch repeated after a failure leaves the same tables. State holds keys, never texts,
+and is folded together now and then.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from newsmill.functions.text import keeps_corpus_text
 from newsmill.operators import clean, ledger, models, pages
 
+FOLDED = 16  # batches whose state is folded into one folder
+
 
 def read_files(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
@@ -27,11 +30,24 @@ def _write_batch(df: DataFrame, path: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
-def _before(spark: SparkSession, path: str, batch: int) -> DataFrame | None:
-    """What earlier batches wrote."""
-    if batch == 0:
+def _state(spark: SparkSession, path: str, batch: int, fold=lambda df: df) -> DataFrame | None:
+    """What earlier batches left, as one table.
+
+    After every ``FOLDED`` batches all state before is folded into one folder, so a batch reads
+    a bounded number of folders. A folder is written from those before it alone: a batch that is
+    repeated writes the same again.
+    """
+    def parts(upto):
+        base = (upto - 1) // FOLDED * FOLDED
+        found = [f"{path}/base={base}"] if base else []
+        return found + [f"{path}/batch={n}" for n in range(base, upto)]
+
+    if not batch:
         return None
-    return spark.read.parquet(path).filter(F.col("batch") < batch)
+    if batch % FOLDED == 0:
+        fold(spark.read.parquet(*parts(batch))).write.mode("overwrite").parquet(f"{path}/base={batch}")
+        return spark.read.parquet(f"{path}/base={batch}")
+    return fold(spark.read.parquet(*parts(batch)))
 
 
 def clean_batches(stream: DataFrame, order_by: str, out: str, state: str):
@@ -44,7 +60,7 @@ def clean_batches(stream: DataFrame, order_by: str, out: str, state: str):
         keys = clean.clean_keys(batch, order_by)
         fresh = keys.groupBy("id").agg(F.min(order_by).alias(order_by), *[
             F.min_by(c, order_by).alias(c) for c in ("fp_lo", "fp_hi", "fits")])
-        seen = _before(spark, state, number)
+        seen = _state(spark, state, number)
         if seen is not None:
             old = seen.select(F.col("id").alias("old_id"))
             fresh = fresh.join(old, fresh["id"].eqNullSafe(old["old_id"]), "left_anti")
@@ -119,15 +135,11 @@ def pace_batches(stream: DataFrame, key: str, ts: str, tie: str, gap_seconds: fl
     """
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        carry = None
-        if number:
-            carry = spark.read.parquet(f"{state}/batch={number - 1}")
+        carry = _state(spark, state, number, lambda df: df.groupBy(key).agg(F.max("last").alias("last")))
         made = ledger.release_times(batch, key, ts, tie, gap_seconds, unit, carry)
         _write_batch(made, out, number)
         last = spark.read.parquet(f"{out}/batch={number}").groupBy(key).agg(
             F.max("release").alias("last"))
-        if carry is not None:
-            last = last.unionByName(carry).groupBy(key).agg(F.max("last").alias("last"))
-        _write_batch(last, state, number)
+        _write_batch(last, state, number)  # keys of this batch only
 
     return stream.writeStream.foreachBatch(apply)
