@@ -50,21 +50,29 @@ def _replace_above(c: Column, floor: str, ranges: str) -> Column:
     return F.when(affected, F.regexp_replace(c, f"[{ranges}]+", "")).otherwise(c)
 
 
+# deleted characters by name, each with the least of them
+EMOJI = {"corpus": ("24C2", CORPUS_EMOJI), "page": ("2600", PAGE_EMOJI)}
+
+
+def strip_emoji(c: Column, emoji: str = "corpus") -> Column:
+    return _replace_above(c, *EMOJI[emoji])
+
+
 def strip_corpus_emoji(c: Column) -> Column:
-    return _replace_above(c, "24C2", CORPUS_EMOJI)
+    return strip_emoji(c, "corpus")
 
 
-def keeps_corpus_text(c: Column) -> Column:
-    """True when ``strip_corpus_emoji(c)`` would be neither null nor empty.
+def keeps_corpus_text(c: Column, emoji: str = "corpus") -> Column:
+    """True when ``strip_emoji(c, emoji)`` would be neither null nor empty.
 
     Stops at the first character that survives, so it is a cheap filter to push below the
     rewrite of the whole text.
     """
-    return c.isNotNull() & c.rlike(f"[^{CORPUS_EMOJI}]")
+    return c.isNotNull() & c.rlike(f"[^{EMOJI[emoji][1]}]")
 
 
 def strip_page_emoji(c: Column) -> Column:
-    return _replace_above(c, "2600", PAGE_EMOJI)
+    return strip_emoji(c, "page")
 
 
 def kept_lines(c: Column, min_length: int = LINE_MIN) -> Column:

@@ -7,26 +7,30 @@ row index), so that the same row survives whatever the partitioning or the retri
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsmill.functions.text import keeps_corpus_text, strip_corpus_emoji
+from newsmill.functions.text import keeps_corpus_text, strip_emoji
 from newsmill.session import stored
 
 MIN_ARTICLE = 50
-DROPPED_ROWS = 1_000_000  # most row keys that are broadcast, some tens of megabytes
+DROPPED_BYTES = 32 << 20  # most row keys that are broadcast
 
 
 def fingerprint(*columns: str) -> list[Column]:
-    """128 bits that stand for a tuple of texts, as two longs.
+    """120 bits of a cryptographic digest that stand for a tuple of texts, as two longs.
 
-    Nulls are told apart from each other's positions. Two fixed-width keys let Spark use hash
+    Texts are crawled and may have been chosen to collide, which a fast hash does not withstand.
+    Each is preceded by its length, nulls by none. Two fixed-width keys let Spark use hash
     aggregation and shuffle 16 bytes instead of whole articles.
     """
-    parts = [p for c in columns for p in (F.col(c).isNull(), F.col(c))]
-    return [F.xxhash64(F.lit(seed), *parts).alias(name)
-            for seed, name in ((11, "fp_lo"), (23, "fp_hi"))]
+    parts = [F.coalesce(F.concat(F.octet_length(c).cast("string"), F.lit(":"), F.col(c).cast("string")),
+                        F.lit("-")) for c in columns]
+    digest = F.sha2(F.concat(*parts), 256)
+    return [F.conv(F.substring(digest, begin, 15), 16, 10).cast("long").alias(name)
+            for begin, name in ((1, "fp_lo"), (16, "fp_hi"))]
 
 
-def remove_emoji(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: strip_corpus_emoji(F.col(c)) for c in ("article", "highlights")})
+def remove_emoji(df: DataFrame, emoji: str = "corpus") -> DataFrame:
+    """``emoji`` names the class of deleted characters; that of the corpus holds CJK too."""
+    return df.withColumns({c: strip_emoji(F.col(c), emoji) for c in ("article", "highlights")})
 
 
 def drop_missing(df: DataFrame) -> DataFrame:
@@ -71,10 +75,15 @@ def dedup_pairs(df: DataFrame, order_by: str, within=()) -> DataFrame:
     return keep_rows(df, winners, order_by)
 
 
-def clean_keys(df: DataFrame, order_by: str, within=()) -> DataFrame:
+def _with_text(df: DataFrame, emoji: str) -> DataFrame:
+    return df.filter(keeps_corpus_text(F.col("article"), emoji)
+                     & keeps_corpus_text(F.col("highlights"), emoji))
+
+
+def clean_keys(df: DataFrame, order_by: str, within=(), emoji: str = "corpus") -> DataFrame:
     """Narrow rows of the table without emoji: keys, fingerprint, and the two length tests."""
     a, h = F.col("article"), F.col("highlights")
-    text = df.filter(keeps_corpus_text(a) & keeps_corpus_text(h)).transform(remove_emoji)
+    text = remove_emoji(_with_text(df, emoji), emoji)
     fits = (F.length(a) > MIN_ARTICLE) & (F.length(h) < F.length(a))
     return text.select(*within, order_by, "id", *fingerprint("article", "highlights"),
                        fits.alias("fits"))
@@ -93,35 +102,36 @@ def survivors(keys: DataFrame, order_by: str, within=()) -> DataFrame:
             .agg(F.min(order_by).alias(order_by)).select(order_by))
 
 
-def clean_articles(df: DataFrame, order_by: str, within=()) -> DataFrame:
+def clean_articles(df: DataFrame, order_by: str, within=(), emoji: str = "corpus") -> DataFrame:
     """The whole cleaner. ``within`` names split columns that keep their own dedup scope.
 
     Article text is shuffled once, for the final fetch; both dedups run on narrow rows.
     """
-    a, h = F.col("article"), F.col("highlights")
-    kept = survivors(clean_keys(df, order_by, within), order_by, within)
-    rows = df.filter(keeps_corpus_text(a) & keeps_corpus_text(h))
-    return keep_rows(rows, kept, order_by).transform(remove_emoji)
+    kept = survivors(clean_keys(df, order_by, within, emoji), order_by, within)
+    return remove_emoji(keep_rows(_with_text(df, emoji), kept, order_by), emoji)
 
 
 def clean_articles_stored(df: DataFrame, order_by: str, within=(),
-                          max_broadcast_rows: int = DROPPED_ROWS) -> DataFrame:
+                          max_broadcast_bytes: int = DROPPED_BYTES,
+                          emoji: str = "corpus") -> DataFrame:
     """The same result in stages, for large corpora: the narrow tables are written down, and when
     few rows have to go, those are broadcast and article text is not shuffled at all.
 
-    The dropped rows are counted first; above ``max_broadcast_rows`` the survivors are fetched
-    back as in ``clean_articles``.
+    The keys of the dropped rows are measured first; above ``max_broadcast_bytes`` the survivors
+    are fetched back as in ``clean_articles``.
     """
-    keys = stored(clean_keys(df, order_by, within), "keys")
+    keys = stored(clean_keys(df, order_by, within, emoji), "keys")
     kept = stored(survivors(keys, order_by, within), "survivors")
     dropped = keys.select(order_by).join(kept, order_by, "left_anti")
-    a, h = F.col("article"), F.col("highlights")
-    rows = df.filter(keeps_corpus_text(a) & keeps_corpus_text(h))
-    if dropped.count() <= max_broadcast_rows:
+    # as text a key is no smaller than as a row of the broadcast, but for its fixed parts
+    size = dropped.agg(F.coalesce(F.sum(
+        F.octet_length(F.col(order_by).cast("string")) + 64), F.lit(0))).first()[0]
+    rows = _with_text(df, emoji)
+    if size <= max_broadcast_bytes:
         left = rows.join(F.broadcast(dropped), order_by, "left_anti")
     else:
         left = keep_rows(rows, kept, order_by)
-    return left.transform(remove_emoji)
+    return remove_emoji(left, emoji)
 
 
 def clean_articles_wide(df: DataFrame, order_by: str, within=()) -> DataFrame:

@@ -39,7 +39,7 @@ def node_table(df: DataFrame, key: str) -> DataFrame:
     at = F.sequence(F.lit(0), F.size(d["tag"]) - 1)
     node = F.transform(at, lambda i: F.struct(
         i.alias("pos"), F.get(d["parent"], i).alias("parent_pos"),
-        _grandparent(i).alias("grandparent_pos"), F.get(d["tag"], i).alias("tag"),
+        _ancestor(i, 2).alias("grandparent_pos"), F.get(d["tag"], i).alias("tag"),
         F.get(d["own"], i).alias("own_text")))
     nodes = F.when(F.size(d["tag"]) > 0, node)
     return df.select(key, F.explode(nodes).alias("n")).select(key, "n.*")
@@ -93,23 +93,28 @@ def _places(*tags: str) -> Column:
         F.array().cast("array<int>"))
 
 
-def _grandparent(i: Column) -> Column:
-    """Code of the grandparent's first equal element."""
-    d = F.col("dom")
-    up = F.get(d["parent"], i)
-    top = F.get(d["parent"], up)
-    return (F.when(up == DOCUMENT, F.lit(NOWHERE)).when(top == DOCUMENT, F.lit(DOCUMENT))
-            .otherwise(F.get(d["twin"], top)))
+def _ancestor(i: Column, level: int) -> Column:
+    """Code of the first element equal to the ancestor ``level`` steps up."""
+    up = i
+    code = None
+    for _ in range(level - 1):
+        up = F.get(F.col("dom.parent"), up)
+        code = F.when(up == DOCUMENT, F.lit(NOWHERE)) if code is None else code.when(
+            up == DOCUMENT, F.lit(NOWHERE))
+    top = F.get(F.col("dom.parent"), up)
+    found = F.when(top == DOCUMENT, F.lit(DOCUMENT)) if code is None else code.when(
+        top == DOCUMENT, F.lit(DOCUMENT))
+    return found.otherwise(F.get(F.col("dom.twin"), top))
 
 
-def _ranked(places: Column) -> Column:
+def _ranked(places: Column, level: int) -> Column:
     """Regions above ``places`` as STRUCT<k, first, region>, highest count first.
 
     Sorting (region, order seen) puts equal regions next to each other; the starts of the runs
     give the counts without comparing every pair.
     """
     seen = F.array_sort(F.transform(
-        places, lambda i, k: F.struct(_grandparent(i).alias("region"), k.alias("first"))))
+        places, lambda i, k: F.struct(_ancestor(i, level).alias("region"), k.alias("first"))))
 
     def runs(s):
         def tally(starts):
@@ -163,12 +168,17 @@ def _region_lines(region: Column) -> Column:
     ).otherwise(F.transform(strings, lambda s: kept_lines(s)))))
 
 
-def extract(df: DataFrame, method: Column | None = None) -> DataFrame:
+def extract(df: DataFrame, method: Column | None = None, ancestor_level: int = 2,
+            title_mode: str = "lines") -> DataFrame:
     """Add ``status, branch, attempt, title, text`` to pages with a ``dom``.
 
     ``method`` is the fetch method of each row, the first one when not given. A page that
-    yields nothing keeps its row; ``status`` says why.
+    yields nothing keeps its row; ``status`` says why. Regions are the ancestors of paragraphs
+    ``ancestor_level`` steps up. In the ``<article>`` branch the title passes the line filter too
+    and a short one is lost; ``title_mode="whole"`` keeps it.
     """
+    if title_mode not in ("lines", "whole") or ancestor_level < 1:
+        raise ValueError("title_mode is 'lines' or 'whole', ancestor_level at least 1")
     body = _first("article")
     heading = df.withColumns({
         "_title": _title(),
@@ -177,11 +187,11 @@ def extract(df: DataFrame, method: Column | None = None) -> DataFrame:
     direct = F.coalesce(F.length("_article") > MIN_ARTICLE_TEXT, F.lit(False))
     search = F.col("dom").isNotNull() & F.col("_title").isNotNull() & ~direct
     regions = heading.withColumn("_p", F.when(search, _places("p")))
-    regions = regions.withColumn("_first", F.when(search, _tries(_ranked(_places("p")), FIRST_POOL)))
+    regions = regions.withColumn("_first", F.when(search, _tries(_ranked(_places("p"), ancestor_level), FIRST_POOL)))
 
     # after its last paragraph-ranked region the first method ranks anew, without that region
     last = F.get("_first", F.lit(FIRST_POOL - 1))["region"]
-    others = F.filter(_ranked(_places("p", "span", "article")), lambda c: c["region"] != last)
+    others = F.filter(_ranked(_places("p", "span", "article"), ancestor_level), lambda c: c["region"] != last)
     tries = F.concat("_first", _tries(others, SECOND_POOL))
     if method is not None:
         tries = F.when(method == METHODS[0], tries).otherwise(F.slice("_first", 1, LATER_POOL))
@@ -210,7 +220,7 @@ def extract(df: DataFrame, method: Column | None = None) -> DataFrame:
     out = named.withColumns({
         "branch": F.when(good, F.when(direct, "article").otherwise("region")),
         "attempt": F.when(good & ~direct, F.col("_found.n") - 1),
-        "title": F.when(good, F.when(direct, clean_lines(title))
+        "title": F.when(good, F.when(direct & F.lit(title_mode == "lines"), clean_lines(title))
                         .otherwise(clean_title(title))),
         "text": F.when(good, F.when(direct, clean_lines(F.col("_article"))).otherwise(
             py_strip(F.array_join(_region_lines(F.col("_found.region")), "\n")))),
@@ -218,9 +228,9 @@ def extract(df: DataFrame, method: Column | None = None) -> DataFrame:
     return pin(out, "status", "branch", "attempt", "title", "text")
 
 
-def extract_pages(pages: DataFrame, keep=("page_id",)) -> DataFrame:
-    """Pages -> ``link, title, text`` with a status."""
-    return extract(with_dom(pages)).select(
+def extract_pages(pages: DataFrame, keep=("page_id",), **options) -> DataFrame:
+    """Pages -> ``link, title, text`` with a status; ``options`` are those of ``extract``."""
+    return extract(with_dom(pages), **options).select(
         *keep, F.col("url").alias("link"), "status", "branch", "attempt", "title", "text")
 
 

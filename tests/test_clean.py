@@ -20,7 +20,7 @@ def rows(spark):
 
 def fetched(df, order_by):
     """Stages with more dropped rows than may be broadcast."""
-    return clean.clean_articles_stored(df, order_by, max_broadcast_rows=1)
+    return clean.clean_articles_stored(df, order_by, max_broadcast_bytes=1)
 
 
 @pytest.mark.parametrize("cleaner", [
@@ -73,3 +73,12 @@ def test_a_third_of_all_rows_on_one_key(spark):
             seen.add(n // 2)
             want.append(n)
     assert sorted(ids) == want
+
+
+def test_other_emoji_class(spark):
+    df = spark.createDataFrame([(1, "1", "日" * 60 + "\U0001F600", "日本")],
+                               "n long, id string, article string, highlights string")
+    assert clean.clean_articles(df, "n").collect() == []
+    for cleaner in (clean.clean_articles, clean.clean_articles_stored):
+        kept = cleaner(df, "n", emoji="page").first()
+        assert (kept["article"], kept["highlights"]) == ("日" * 60, "日本")

@@ -17,6 +17,17 @@ def test_first_rows_follow_files(spark, tmp_path):
     assert sorted(r["id"] for r in firsts) == [0, 70]
 
 
+def test_first_rows_open_few_files(spark, tmp_path):
+    path = str(tmp_path / "many")
+    spark.range(400).select("id", F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias(
+        "split")).repartitionByRange(40, "id").sortWithinPartitions("id").write.parquet(path)
+    table = spark.read.parquet(path)
+    assert len(corpus._walk(table, corpus._Enough(15, None, None))) <= 3
+    assert len({f["file"] for f in corpus._walk(table, corpus._Enough(9, "split", ("a", "b")))}) <= 7
+    got = corpus.first_rows(table, 9, "split", ("a", "b")).collect()
+    assert sorted(r["id"] for r in got) == list(range(18))
+
+
 def test_splits_round_trip(spark, tmp_path):
     rows = [("1", "a", "h", "train"), ("2", "b", "h", "train"), ("3", "c", "h", "val")]
     df = spark.createDataFrame(rows, "id string, article string, highlights string, split string")
