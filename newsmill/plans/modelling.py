@@ -222,17 +222,26 @@ WORDS = {
 }
 
 
-def _scores_sql():
+def scores_sql(lexicon=WORDS, source="documents"):
+    """shares (doc_id, emotion, score) of the texts short enough to be scored."""
     counts = ", ".join(
-        f"len(list_filter(t, lambda w: w IN ({', '.join(repr(w) for w in WORDS[k])}))) + 1 AS {k}"
-        for k in sorted(WORDS))
-    total = " + ".join(sorted(WORDS))
+        f"len(list_filter(t, lambda w: w IN ({', '.join(repr(w) for w in lexicon[k])}))) + 1 AS {k}"
+        for k in sorted(lexicon))
+    total = " + ".join(sorted(lexicon))
     rows = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS emotion, CAST({k} AS DOUBLE) / ({total}) AS score "
-                              "FROM counted" for k in sorted(WORDS))
+                              "FROM counted_words" for k in sorted(lexicon))
     return f"""scored AS (SELECT doc_id, string_split(
-    regexp_replace(lower(text), '[^\\p{{L}}]+', ' ', 'g'), ' ') AS t FROM documents
+    regexp_replace(lower(text), '[^\\p{{L}}]+', ' ', 'g'), ' ') AS t FROM {source}
     WHERE length(text) BETWEEN 1 AND 2000),
-counted AS (SELECT doc_id, {counts} FROM scored), shares AS ({rows})"""
+counted_words AS (SELECT doc_id, {counts} FROM scored), shares AS ({rows}),
+shown AS (SELECT doc_id, string_agg(emotion || '=' || CAST(round(score * 100000) AS BIGINT), ' '
+  ORDER BY emotion) AS probabilities FROM shares GROUP BY doc_id)"""
+
+
+def shown_scores():
+    """Scores as text, in hundred-thousandths."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries("probabilities")), lambda e: F.concat(
+        e["key"], F.lit("="), F.round(e["value"] * 100000).cast("long").cast("string"))), " ")
 
 
 def _scored(spark, sf_dir):
@@ -240,15 +249,11 @@ def _scored(spark, sf_dir):
     return models.score_emotions(docs, "text", lexicon=WORDS)
 
 
-@query(f"""WITH {_scores_sql()}, wide AS (SELECT doc_id,
-    string_agg(emotion || '=' || CAST(round(score * 100000) AS BIGINT), ' ' ORDER BY emotion) AS probabilities
-  FROM shares GROUP BY doc_id)
+@query(f"""WITH {scores_sql()}
   SELECT d.doc_id, CASE WHEN w.doc_id IS NULL THEN 'error' ELSE 'ok' END AS status, w.probabilities
-  FROM documents d LEFT JOIN wide w USING (doc_id)""")
+  FROM documents d LEFT JOIN shown w USING (doc_id)""")
 def emotion_scores(spark, sf_dir):
-    shown = F.array_join(F.transform(F.array_sort(F.map_entries("probabilities")), lambda e: F.concat(
-        e["key"], F.lit("="), F.round(e["value"] * 100000).cast("long").cast("string"))), " ")
-    return _scored(spark, sf_dir).select("doc_id", "status", shown.alias("probabilities"))
+    return _scored(spark, sf_dir).select("doc_id", "status", shown_scores().alias("probabilities"))
 
 
 def shares_of_letters(texts):
@@ -273,7 +278,7 @@ def emotion_scores_by_model(spark, sf_dir):
         F.element_at("probabilities", k).alias(k) for k in ("vowels", "blank")])
 
 
-@query(f"""WITH {_scores_sql()} SELECT doc_id,
+@query(f"""WITH {scores_sql()} SELECT doc_id,
     row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, emotion) AS place, emotion,
     CAST(floor(score * 100 + 0.5::DOUBLE) AS BIGINT) AS percent FROM shares
   QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, emotion) <= 3""")
