@@ -49,8 +49,8 @@ class Hasher:
         while at < len(first):
             to = max(at + 1, int(np.searchsorted(last, first[at] + BLOCK, "right")))
             begin, end = int(first[at]), int(last[to - 1])
-            if end - begin > self.size:
-                self.size = max(BLOCK, end - begin)
+            if end - begin >= self.size:  # an empty word may start at the end
+                self.size = max(BLOCK, end - begin) + 1
                 self.up = _powers(STEP, self.size)
                 self.down = _powers(pow(STEP, -1, 1 << 64), self.size)
             sums = np.zeros(end - begin + 1, dtype=np.uint64)

@@ -2,8 +2,9 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 from cases import SCHEMA, odd, rows, table, words
-from newsmill.llm.quality import EVERYTHING, judge, keep_good, score
+from newsmill.llm.quality import EVERYTHING, Hasher, judge, keep_good, score
 
 
 def counted(text):
@@ -26,6 +27,13 @@ def test_counts_against_brute_force(spark):
     assert sorted([tuple(r)[:6] for r in got], key=repr) == want
 
 
+def test_equal_stretches_hash_alike_wherever_they_are():
+    data = np.frombuffer(b"abcab" * 300000, dtype=np.uint8)
+    first = np.array([0, 5, 10, 700000, 1499995, 1500000])
+    got = Hasher()(data, first, np.array([5, 10, 13, 700005, 1500000, 1500000]))
+    assert got[0] == got[1] == got[3] == got[4] and len(set(got.tolist())) == 3
+
+
 def sample(n, seed):
     """Good and bad texts, and their labels."""
     rng = random.Random(seed)
