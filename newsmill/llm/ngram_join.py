@@ -8,8 +8,9 @@ subtrees; pairs it does not rule out are verified on their sets.
 One tree over a corpus would prune little, for large nodes bound nothing. So the points are first
 dealt out without losing a pair: two linked texts differ in so few shingles that, with one more
 group than that, the contents of some group are the same in both. A text is listed under the
-contents of each of its groups, for the classes of sizes it can be linked in; texts that share a
-list are candidates, and the connected candidates are one tree.
+contents of each of its groups, for the classes of sizes it can be linked in. Points listed together
+are compared by the bound, those it allows are connected, and each connected group of texts becomes
+one tree, whose pairs are verified.
 """
 
 from hashlib import blake2b
@@ -29,11 +30,13 @@ WORDS = 4
 SHARE = 85  # linked from this percentage of common shingles
 CLASS = 1.6  # ratio of the sizes in one class
 GROUPS = 256  # coordinates of a point
+SKETCH = 128  # of the points that candidates are compared by
 LEAF = 16
 TREE, TREE_BYTES = 4000, 64 << 20  # of the sets in one tree; more are joined in parts
 PART, PART_BYTES = 2000, 32 << 20
 PIVOTS, SHARES = 2048, 64  # pivots of a group in one round, and how many windows choose them
 SEEN = 20_000
+BROADCAST_ROWS = 500_000  # of four numbers each
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -125,48 +128,126 @@ def _node(name: bytes) -> int:
     return int.from_bytes(name[:8], "little", signed=True)
 
 
-def _digests(batches):
+def _listed(batches):
+    """Rows (node, lists) of all texts."""
     hasher, lister = Hasher(), Lister()
-    for keys, _, texts in chunks(batches, 1 << 20):
+    for _, _, texts in chunks(batches, 1 << 20):
         sets = shingle_sets(texts, hasher)
-        names = [_print(s) for s in sets]
         lists = [lister(s) for s in sets]
         ends = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
         yield pa.record_batch([
-            pa.array([k["doc_id"] for k in keys], pa.int64()),
-            pa.array([k["mark"] for k in keys], pa.int64()),
-            pa.array([len(s) for s in sets], pa.int64()),
-            pa.array(names, pa.binary()), pa.array([_node(x) for x in names], pa.int64()),
+            pa.array([_node(_print(s)) for s in sets], pa.int64()),
             pa.ListArray.from_arrays(pa.array(ends, pa.int32()),
                                      pa.array(np.concatenate(lists).view(np.int64)))],
-            ["doc_id", "mark", "n_shingles", "name", "node", "lists"])
+            ["node", "lists"])
 
 
-def _candidates(passed):
-    """Sets that share a listing with others, as far as the filter can tell."""
+DIGEST = ("doc_id long, mark long, n_shingles long, name binary, node long, lists array<long>, "
+          "point binary, found binary")
+
+
+def _digests(passed):
+    """One row for each text; with its listings, point and set where it may share a listing."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()),
+             pa.binary(), pa.binary()]
+
     def found(batches):
         hasher, lister, seen = Hasher(), Lister(), set()
-        for ids, _, texts in chunks(batches, 1 << 20):
+        for keys, _, texts in chunks(batches, 1 << 20):
             rows = []
-            for one in shingle_sets(texts, hasher):
-                lists = lister(one).view(np.int64)
-                if not len(lists):
-                    continue
-                hit = may_hold(passed.value, lists)
-                name = _print(one)
-                if hit.any() and name not in seen:  # of copies in one task, one is enough
-                    if len(seen) >= SEEN:
-                        seen.clear()
-                    seen.add(name)
-                    rows.append((name, _node(name), lists[hit], one.tobytes()))
-            if rows:
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), (
-                    pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary()))],
-                    ["name", "node", "lists", "found"])
+            for key, one in zip(keys, shingle_sets(texts, hasher)):
+                lists, name = lister(one).view(np.int64), _print(one)
+                row = [key["doc_id"], key["mark"], len(one), name, _node(name), None, None, None]
+                if len(lists) and name not in seen:  # of copies in one task, one is enough
+                    hit = may_hold(passed.value, lists)
+                    if hit.any():
+                        if len(seen) >= SEEN:
+                            seen.clear()
+                        seen.add(name)
+                        row[5:] = lists[hit], packed(point_of(one, SKETCH)), one.tobytes()
+                rows.append(row)
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
+                                  [c.split()[0] for c in DIGEST.split(", ")])
 
     return found
 
 
+def packed(point: np.ndarray) -> bytes:
+    """A point in a byte for each coordinate, after the power of two they are rounded up to."""
+    shift = max(0, int(point.max()).bit_length() - 8)
+    return bytes([shift]) + np.minimum(-(-point.astype(np.int64) >> shift), 255).astype(
+        np.uint8).tobytes()
+
+
+def unpacked(points: list[bytes]) -> np.ndarray:
+    """Points that are nowhere below the packed ones."""
+    rows = np.frombuffer(b"".join(points), np.uint8).reshape(len(points), -1)
+    return rows[:, 1:].astype(np.uint32) << rows[:, :1].astype(np.uint32)
+
+
+def _meetings(batches):
+    """Rows (sig, node, n_shingles, point), sorted by sig -> candidate edges (a, b).
+
+    Of the texts listed together, those whose points allow a link are connected, by as few edges
+    as that takes. A list longer than a tree may be is connected as a whole.
+    """
+    def edges(rows):
+        firsts = []
+        sig, node, size = (np.array([r[i] for r in rows], dtype=np.int64) for i in range(3))
+        points = unpacked([r[3] for r in rows])
+        same = np.flatnonzero(sig[1:] == sig[:-1])
+        fits = np.zeros(len(rows), dtype=bool)
+        most = np.concatenate([np.minimum(points[i], points[i + 1]).sum(axis=1, dtype=np.int64)
+                               for i in np.array_split(same, len(same) // 4096 + 1)])
+        fits[same] = (100 + SHARE) * most >= SHARE * (size[same] + size[same + 1])
+        begin = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+        for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(rows)]):
+            if j - i == 2:
+                if fits[i]:
+                    firsts.append((i, i + 1))
+            elif j - i > 2:
+                labels = _connected(points[i:j], size[i:j])
+                firsts += [(i + x, i + y) for y, x in enumerate(labels.tolist()) if x != y]
+        a, b = np.array(firsts, dtype=np.int64).reshape(-1, 2).T
+        return pa.record_batch([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+
+    held, long = [], None
+    for batch in batches:
+        more = []
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if long and long[0] == row[0]:
+                more.append((long[1], row[1]))
+                continue
+            long = None
+            held.append(row)
+            if len(held) > TREE and held[-TREE][0] == row[0]:
+                first = next(i for i in range(len(held)) if held[i][0] == row[0])
+                long = row[0], held[first][1]
+                more += [(long[1], r[1]) for r in held[first + 1:]]
+                held = held[:first]
+        if more:
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*more)], ["a", "b"])
+        whole = next((i for i in range(len(held), 0, -1) if held[i - 1][0] != held[-1][0]), 0) \
+            if held else 0
+        if whole > TREE:
+            yield edges(held[:whole])
+            held = held[whole:]
+    if held:
+        yield edges(held)
+
+
+def _connected(points: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Label of each point: the first row that it is connected with by pairs that may be linked."""
+    labels = np.arange(len(points))
+    tree = Tree(points, sizes)
+    for i in range(len(points)):
+        rows = tree.search(points[i], int(sizes[i]), labels, labels[i])
+        if len(rows):
+            joined = np.unique(np.append(labels[rows], labels[i]))
+            labels[np.isin(labels, joined)] = joined[0]
+    return labels
+
+
 class Tree:
     """R-tree over count vectors, loaded at once by halving along the widest coordinate."""
 
@@ -208,10 +289,10 @@ class Tree:
         return rows[np.argsort(-most, kind="stable")]
 
 
-def point_of(found: np.ndarray) -> np.ndarray:
+def point_of(found: np.ndarray, groups: int = GROUPS) -> np.ndarray:
     """Counts of a set's hashes in each group."""
-    return np.bincount((found >> np.uint64(40)).astype(np.int64) % GROUPS,
-                       minlength=GROUPS).astype(np.uint32)
+    return np.bincount((found >> np.uint64(16)).astype(np.int64) % groups,
+                       minlength=groups).astype(np.uint32)
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -328,31 +409,34 @@ def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     doc = F.col("doc_id").cast("long").alias("doc_id")
     rows = docs.select(F.struct(doc, F.xxhash64("text").alias("mark")).alias("key"),
                        F.octet_length(text).cast("long").alias("size"), text.alias("text"))
-    digests = stored(rows.mapInArrow(
-        _digests, "doc_id long, mark long, n_shingles long, name binary, node long, "
-                  "lists array<long>"), "digests")
-    listed = digests.select("node", F.explode("lists").alias("sig"))
-    shared = stored(listed.groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter(
-        "a < b").select("sig", "a"), "shared")
-    passed = docs.sparkSession.sparkContext.broadcast(build(shared.select("sig")))  # of fixed size
-    found = stored(rows.mapInArrow(_candidates(passed), "name binary, node long, "
-                                   "lists array<long>, found binary"), "sets")
-    edges = found.select(F.col("node").alias("b"), F.explode("lists").alias("sig")).join(
-        shared, "sig").select("a", "b")
+    listed = rows.mapInArrow(_listed, "node long, lists array<long>").select(
+        "node", F.explode("lists").alias("sig"))
+    shared = listed.groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter(
+        "a < b").select("sig")
+    passed = docs.sparkSession.sparkContext.broadcast(build(shared))  # of fixed size
+    digests = stored(rows.mapInArrow(_digests(passed), DIGEST), "digests")
+    found = digests.filter("found is not null").select("name", "node", "found")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    meetings = digests.select(F.explode("lists").alias("sig"), "node", "n_shingles", "point")
+    edges = meetings.repartition(parts, "sig").sortWithinPartitions("sig").mapInArrow(
+        _meetings, "a long, b long")
     groups = components(edges).withColumnRenamed("label", "group")
-    sizes = stored(found.select("node", F.octet_length("found").alias("bytes")).dropDuplicates(
-        ["node"]).join(groups, "node").groupBy("group").agg(
-            F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")), "sizes")
-    beyond = (F.col("n") > TREE) | (F.col("bytes") > TREE_BYTES)
-    sets = found.select("name", "node", "found").join(groups, "node").join(sizes, "group").select(
-        "group", "name", "found", F.greatest(F.ceil(F.col("n") / PART), F.ceil(
-            F.col("bytes") / PART_BYTES)).alias("parts"), beyond.alias("large"))
+    nodes = digests.filter("found is not null").select("node", "n_shingles").dropDuplicates(["node"])
+    sizes = nodes.join(groups, "node").groupBy("group").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(8 * F.col("n_shingles")).alias("bytes"))
+    placed = stored(groups.join(sizes, "group").select(
+        "node", "group", F.greatest(F.ceil(F.col("n") / PART), F.ceil(
+            F.col("bytes") / PART_BYTES)).alias("parts"),
+        ((F.col("n") > TREE) | (F.col("bytes") > TREE_BYTES)).alias("large")), "placed")
+    # where the narrow side is known to be small, sets are moved to their group only
+    narrow = F.broadcast(placed) if placed.count() <= BROADCAST_ROWS else placed
+    sets = found.join(narrow, "node").select("group", "name", "found", "parts", "large")
     labels = stored(sets.filter("not large").groupBy("group").applyInArrow(
         _join_group, "name binary, label binary"), "labels")
-    if not sizes.filter(beyond).isEmpty():
+    if not placed.filter("large").isEmpty():
         labels = labels.union(_join_large(
             sets.filter("large").dropDuplicates(["name"]).drop("large")))
-    return digests.drop("node", "lists"), labels
+    return digests.select("doc_id", "mark", "n_shingles", "name"), labels
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
