@@ -373,7 +373,7 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     many = None if crowded.isEmpty() else spark.sparkContext.broadcast(build(crowded))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = keyed.mapInArrow(_stretches(repeated, many), STRETCH).repartition(
-        parts, "anchor", F.when(F.col("anchor").isNull(), F.col("k2"))).sortWithinPartitions(
+        parts, "anchor", F.when(F.col("anchor").isNull(), F.hash("k1", "first"))).sortWithinPartitions(
             "anchor").mapInArrow(_sorted, FOUND)
     if many is not None:
         windows = stored(keyed.mapInArrow(
