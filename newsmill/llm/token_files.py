@@ -9,7 +9,6 @@ place in the document; ``ids``.
 
 import re
 import zlib
-from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsmill.llm.prefix import with_prefix
+from newsmill.llm.token_counts import slices
+from newsmill.llm.worker import kept
+from newsmill.session import stored
 
 IDS_PER_ROW = 2048
 ROWS_PER_FILE = 50_000
-CACHED = 200_000
+CACHED = 400_000  # pieces whose ids a worker holds
+TOGETHER = 2000  # pieces encoded at once
+TEXT_BYTES = 1 << 20
 END = 0
 SCHEMA = "doc_id long, part int, nth long, block int, ids array<int>"
 ORC = {"compression": "zstd", "orc.create.index": "true", "orc.row.index.stride": "1000",
@@ -41,37 +45,55 @@ class Encoder:
     def __init__(self, vocabulary: bytes):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_buffer(vocabulary)
+        names = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(names.values()) + 1, dtype=bool)  # ids that begin with a space
+        self.spaced[[i for name, i in names.items() if name.startswith("\u0120")]] = True
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
 
-    def fill(self, known: dict[str, bytes], lead: str, pieces: Iterable[str]) -> None:
-        missing = list({p for p in pieces if p not in known})
+    def ids(self, text: str) -> np.ndarray:
+        one = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
+        return np.array(one.ids, dtype=np.uint32)
+
+    def fill(self, known: dict[str, bytes], lead: str, needed: set[str]) -> None:
+        """Ids of pieces not yet known. Pieces after a space are encoded together, and told apart
+        by the ids that begin with one, which only their first ids do."""
+        missing = needed - known.keys()
         if len(known) + len(missing) > CACHED:
             known.clear()
-            missing = list(set(pieces))
-        for i in range(0, len(missing), 1000):
-            names = missing[i:i + 1000]
-            found = self.tokenizer.encode_batch_fast([lead + p for p in names],
-                                                     add_special_tokens=False)
-            known.update((p, np.array(e.ids, dtype=np.uint32).tobytes())
-                         for p, e in zip(names, found))
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian 32-bit integers."""
-        if WIDE.search(text):
-            pieces = EDGE.split(text)
-            head, rest, known, lead = [], pieces, self.first, ""
-        else:
-            pieces = text.split(" ")
-            head, rest, known, lead = pieces[:1], pieces[1:], self.later, " "
-            if head[0] not in self.first:
-                self.fill(self.first, "", head)
-            head = [self.first[head[0]]]
-        try:
-            return b"".join(head + [known[p] for p in rest])
-        except KeyError:
-            self.fill(known, lead, rest)
-            return b"".join(head + [known[p] for p in rest])
+            missing = needed
+        alone = [p for p in missing if not lead and (p[:1] != " " or p[1:2].isspace() or p == " ")]
+        missing = list(missing.difference(alone, ("",)))
+        for i in range(0, len(missing), TOGETHER):
+            part = missing[i:i + TOGETHER]
+            ids = self.ids(lead + lead.join(part))
+            first = np.flatnonzero(self.spaced[ids])
+            if len(first) == len(part):
+                raw, ends = ids.tobytes(), (first * 4).tolist()
+                ends.append(len(raw))
+                known.update(zip(part, [raw[a:b] for a, b in zip(ends, ends[1:])]))
+            else:
+                alone += part
+        for piece in alone:
+            known[piece] = self.ids(lead + piece).tobytes()
+        if "" in needed:
+            known[""] = self.ids(lead).tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers."""
+        heads, rests = [], []
+        for text in texts:
+            if WIDE.search(text):
+                heads.append(EDGE.split(text))
+                rests.append([])
+            else:
+                pieces = text.split(" ")
+                heads.append(pieces[:1])
+                rests.append(pieces[1:])
+        self.fill(self.first, "", set().union(*heads))
+        self.fill(self.later, " ", set().union(*rests))
+        first, later = self.first.__getitem__, self.later.__getitem__
+        return [b"".join([*map(first, head), *map(later, rest)]) for head, rest in zip(heads, rests)]
 
 
 def _in_rows(docs: list, part: int, first: int):
@@ -95,20 +117,16 @@ def _in_rows(docs: list, part: int, first: int):
 def encode_rows(docs: DataFrame, vocabulary: bytes) -> DataFrame:
     """Rows of ids in the order of document ids, null first; rows with one id in any order."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # one file, of fixed size
+    name = zlib.crc32(vocabulary)
 
     def encode(batches):
-        part, done, encoder = TaskContext.get().partitionId(), 0, None
+        part, done = TaskContext.get().partitionId(), 0
+        encoder = kept(("encoder", name), lambda: Encoder(shared.value))
         end = np.array([END], dtype=np.uint32).tobytes()
         for batch in batches:
-            encoder = encoder or Encoder(shared.value)
-            held, size = [], 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.append((doc, encoder.encode(text) + end))
-                size += len(held[-1][1])
-                if size > 4 << 20:
-                    yield _in_rows(held, part, done)
-                    done, held, size = done + len(held), [], 0
-            if held:
+            for some in slices(batch, 1, TEXT_BYTES):
+                ids = [x + end for x in encoder.encode(some.column(2).to_pylist())]
+                held = list(zip(some.column(0).to_pylist(), ids))
                 yield _in_rows(held, part, done)
                 done += len(held)
 
@@ -118,7 +136,8 @@ def encode_rows(docs: DataFrame, vocabulary: bytes) -> DataFrame:
                        F.coalesce(F.col("text"), F.lit("")).alias("text"),
                        F.monotonically_increasing_id().alias("_tie"))
     return rows.repartitionByRange(files, "doc_id", "_tie").sortWithinPartitions(
-        "doc_id", "_tie").select("doc_id", "text").mapInArrow(encode, SCHEMA)
+        "doc_id", "_tie").select(
+            "doc_id", F.octet_length("text"), "text").mapInArrow(encode, SCHEMA)
 
 
 def write_ids(docs: DataFrame, vocabulary: bytes, path: str) -> None:
@@ -196,7 +215,7 @@ def digest(rows: DataFrame) -> DataFrame:
     runs = rows.mapInArrow(_runs, "doc_id long, part int, nth long, block int, n long, crc long")
     whole = runs.groupBy("doc_id", "part", "nth").agg(
         F.sort_array(F.collect_list(F.struct("block", "n", "crc"))).alias("runs"))
-    counted = whole.mapInArrow(
-        _join_runs, "doc_id long, part int, nth long, n_tokens long, ids_crc32 long")
+    counted = stored(whole.mapInArrow(
+        _join_runs, "doc_id long, part int, nth long, n_tokens long, ids_crc32 long"), "counted")
     return with_prefix(counted, ["part", "nth"], "n_tokens").select(
         "doc_id", F.col("_before").alias("start"), "n_tokens", "ids_crc32")
