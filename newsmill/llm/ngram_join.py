@@ -26,8 +26,8 @@ from newsmill.llm.quality import MIX, Hasher, Texts
 from newsmill.llm.token_counts import chunks
 from newsmill.session import stored
 
-WORDS = 4
-SHARE = 85  # linked from this percentage of common shingles
+WORDS = 4  # of a shingle, unless a caller asks for others
+SHARE = 85  # linked from this percentage of common shingles; above 100 / CLASS
 CLASS = 1.6  # ratio of the sizes in one class
 GROUPS = 256  # coordinates of a point
 SKETCH = 128  # of the points that candidates are compared by
@@ -65,7 +65,7 @@ def shingle_sets(texts: list[str], hasher: Hasher, words: int = WORDS) -> list[n
     return sets
 
 
-def _classes(size: int) -> list[tuple[int, int, int]]:
+def _classes(size: int, share: int) -> list[tuple[int, int, int]]:
     """Size classes a set is listed in: number, groups, and the most shingles a pair differs in.
 
     Classes are ranges of sizes. A pair across classes meets in the lower one: a set is listed in
@@ -81,9 +81,9 @@ def _classes(size: int) -> list[tuple[int, int, int]]:
     found = []
     for c in (k, k - 1):
         largest = first(c + 1) - 1
-        if c < 0 or (c < k and 100 * largest < SHARE * size):
+        if c < 0 or (c < k and 100 * largest < share * size):
             continue
-        differ = (largest + largest * 100 // SHARE) * (100 - SHARE) // (100 + SHARE)
+        differ = (largest + largest * 100 // share) * (100 - share) // (100 + share)
         found.append((c, (differ + 1) * 11 // 10 + 1, differ))
     return found
 
@@ -96,15 +96,15 @@ class Lister:
     listed under their empty groups too: of all groups one is the same in any case.
     """
 
-    def __init__(self):
-        self.known: dict[int, list] = {}
+    def __init__(self, share: int):
+        self.share, self.known = share, {}
 
     def classes(self, size: int) -> list:
         if size not in self.known:
             self.known[size] = [
                 (k, differ, np.array([(g << 64) // groups for g in range(groups)], dtype=np.uint64),
                  _mixed(np.arange(groups, dtype=np.uint64) * MIX + np.uint64(k)))
-                for k, groups, differ in _classes(size)]
+                for k, groups, differ in _classes(size, self.share)]
         return self.known[size]
 
     def __call__(self, found: np.ndarray) -> np.ndarray:
@@ -128,34 +128,37 @@ def _node(name: bytes) -> int:
     return int.from_bytes(name[:8], "little", signed=True)
 
 
-def _listed(batches):
+def _listed(words: int, share: int):
     """Rows (node, lists) of all texts."""
-    hasher, lister = Hasher(), Lister()
-    for _, _, texts in chunks(batches, 1 << 20):
-        sets = shingle_sets(texts, hasher)
-        lists = [lister(s) for s in sets]
-        ends = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
-        yield pa.record_batch([
-            pa.array([_node(_print(s)) for s in sets], pa.int64()),
-            pa.ListArray.from_arrays(pa.array(ends, pa.int32()),
-                                     pa.array(np.concatenate(lists).view(np.int64)))],
-            ["node", "lists"])
+    def found(batches):
+        hasher, lister = Hasher(), Lister(share)
+        for _, _, texts in chunks(batches, 1 << 20):
+            sets = shingle_sets(texts, hasher, words)
+            lists = [lister(s) for s in sets]
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
+            yield pa.record_batch([
+                pa.array([_node(_print(s)) for s in sets], pa.int64()),
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()),
+                                         pa.array(np.concatenate(lists).view(np.int64)))],
+                ["node", "lists"])
+
+    return found
 
 
 DIGEST = ("doc_id long, mark long, n_shingles long, name binary, node long, lists array<long>, "
           "point binary, found binary")
 
 
-def _digests(passed):
+def _digests(passed, words: int, share: int):
     """One row for each text; with its listings, point and set where it may share a listing."""
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()),
              pa.binary(), pa.binary()]
 
     def found(batches):
-        hasher, lister, seen = Hasher(), Lister(), set()
+        hasher, lister, seen = Hasher(), Lister(share), set()
         for keys, _, texts in chunks(batches, 1 << 20):
             rows = []
-            for key, one in zip(keys, shingle_sets(texts, hasher)):
+            for key, one in zip(keys, shingle_sets(texts, hasher, words)):
                 lists, name = lister(one).view(np.int64), _print(one)
                 row = [key["doc_id"], key["mark"], len(one), name, _node(name), None, None, None]
                 if len(lists) and name not in seen:  # of copies in one task, one is enough
@@ -185,7 +188,7 @@ def unpacked(points: list[bytes]) -> np.ndarray:
     return rows[:, 1:].astype(np.uint32) << rows[:, :1].astype(np.uint32)
 
 
-def _meetings(batches):
+def _meetings(share: int):
     """Rows (sig, node, n_shingles, point), sorted by sig -> candidate edges (a, b).
 
     Of the texts listed together, those whose points allow a link are connected, by as few edges
@@ -199,47 +202,50 @@ def _meetings(batches):
         fits = np.zeros(len(rows), dtype=bool)
         most = np.concatenate([np.minimum(points[i], points[i + 1]).sum(axis=1, dtype=np.int64)
                                for i in np.array_split(same, len(same) // 4096 + 1)])
-        fits[same] = (100 + SHARE) * most >= SHARE * (size[same] + size[same + 1])
+        fits[same] = (100 + share) * most >= share * (size[same] + size[same + 1])
         begin = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
         for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(rows)]):
             if j - i == 2:
                 if fits[i]:
                     firsts.append((i, i + 1))
             elif j - i > 2:
-                labels = _connected(points[i:j], size[i:j])
+                labels = _connected(points[i:j], size[i:j], share)
                 firsts += [(i + x, i + y) for y, x in enumerate(labels.tolist()) if x != y]
         a, b = np.array(firsts, dtype=np.int64).reshape(-1, 2).T
         return pa.record_batch([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
-    held, long = [], None
-    for batch in batches:
-        more = []
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if long and long[0] == row[0]:
-                more.append((long[1], row[1]))
-                continue
-            long = None
-            held.append(row)
-            if len(held) > TREE and held[-TREE][0] == row[0]:
-                first = next(i for i in range(len(held)) if held[i][0] == row[0])
-                long = row[0], held[first][1]
-                more += [(long[1], r[1]) for r in held[first + 1:]]
-                held = held[:first]
-        if more:
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*more)], ["a", "b"])
-        whole = next((i for i in range(len(held), 0, -1) if held[i - 1][0] != held[-1][0]), 0) \
-            if held else 0
-        if whole > TREE:
-            yield edges(held[:whole])
-            held = held[whole:]
-    if held:
-        yield edges(held)
-
-
-def _connected(points: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    def found(batches):
+        held, long = [], None
+        for batch in batches:
+            more = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if long and long[0] == row[0]:
+                    more.append((long[1], row[1]))
+                    continue
+                long = None
+                held.append(row)
+                if len(held) > TREE and held[-TREE][0] == row[0]:
+                    first = next(i for i in range(len(held)) if held[i][0] == row[0])
+                    long = row[0], held[first][1]
+                    more += [(long[1], r[1]) for r in held[first + 1:]]
+                    held = held[:first]
+            if more:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*more)], ["a", "b"])
+            whole = next((i for i in range(len(held), 0, -1) if held[i - 1][0] != held[-1][0]), 0) \
+                if held else 0
+            if whole > TREE:
+                yield edges(held[:whole])
+                held = held[whole:]
+        if held:
+            yield edges(held)
+
+    return found
+
+
+def _connected(points: np.ndarray, sizes: np.ndarray, share: int) -> np.ndarray:
     """Label of each point: the first row that it is connected with by pairs that may be linked."""
     labels = np.arange(len(points))
-    tree = Tree(points, sizes)
+    tree = Tree(points, sizes, share)
     for i in range(len(points)):
         rows = tree.search(points[i], int(sizes[i]), labels, labels[i])
         if len(rows):
@@ -251,8 +257,8 @@ def _connected(points: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class Tree:
     """R-tree over count vectors, loaded at once by halving along the widest coordinate."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        self.points, self.sizes = points, sizes
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, share: int):
+        self.points, self.sizes, self.share = points, sizes, share
         self.root = self.build(np.arange(len(points)))
 
     def build(self, rows: np.ndarray):
@@ -267,21 +273,21 @@ class Tree:
 
     def search(self, point: np.ndarray, size: int, labels: np.ndarray, own: int) -> np.ndarray:
         """Rows that may be linked with a point and carry another label than ``own``."""
-        found, open_ = [], [self.root]
+        found, open_, share = [], [self.root], self.share
         while open_:
             rows, upper, least, below = open_.pop()
             if (labels[rows] == own).all():
                 continue
             # shared >= t / (1 + t) (m + n), for the smallest n below this node
-            if (100 + SHARE) * int(np.minimum(point, upper).sum(dtype=np.int64)) < SHARE * (
-                    size + max(least, -(-SHARE * size // 100))):
+            if (100 + share) * int(np.minimum(point, upper).sum(dtype=np.int64)) < share * (
+                    size + max(least, -(-share * size // 100))):
                 continue
             if below:
                 open_ += below
                 continue
             rows = rows[labels[rows] != own]
             most = np.minimum(self.points[rows], point).sum(axis=1, dtype=np.int64)
-            fits = (100 + SHARE) * most >= SHARE * (size + self.sizes[rows])
+            fits = (100 + share) * most >= share * (size + self.sizes[rows])
             found.append(np.stack([most[fits], rows[fits]]))
         if not found:
             return np.zeros(0, dtype=np.int64)
@@ -295,21 +301,21 @@ def point_of(found: np.ndarray, groups: int = GROUPS) -> np.ndarray:
                        minlength=groups).astype(np.uint32)
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, share: int) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= SHARE * (len(a) + len(b) - both) and both > 0
+    return 100 * both >= share * (len(a) + len(b) - both) and both > 0
 
 
-def link(sets: list[np.ndarray]) -> np.ndarray:
+def link(sets: list[np.ndarray], share: int) -> np.ndarray:
     """Label of each set: the first row of its component. Pairs already connected are not tried."""
     labels = np.arange(len(sets))
     points = np.stack([point_of(s) for s in sets])
     sizes = np.array([len(s) for s in sets])
-    tree = Tree(points, sizes)
+    tree = Tree(points, sizes, share)
     for i, one in enumerate(sets):
         rows = tree.search(points[i], int(sizes[i]), labels, labels[i])
         while len(rows):
-            if linked(one, sets[rows[0]]):
+            if linked(one, sets[rows[0]], share):
                 joined = min(labels[i], labels[rows[0]])
                 labels[(labels == labels[i]) | (labels == labels[rows[0]])] = joined
                 rows = rows[labels[rows] != joined]
@@ -332,36 +338,42 @@ def _distinct(table: pa.Table) -> tuple[list[bytes], list[np.ndarray]]:
     return names, [np.frombuffer(rows[n], np.uint64) for n in names]
 
 
-def _join_group(table: pa.Table) -> pa.Table:
-    names, sets = _distinct(table)
-    return _labelled(names, link(sets))
-
-
-def _against_pivots(members: pa.Table, pivots: pa.Table) -> pa.Table:
-    """Links (a, b) between members of a part and the pivots of their group."""
-    pairs = []
-    if members.num_rows and pivots.num_rows:
-        pivots = pivots.rename_columns({"pivot": "name", "own": "found"})
-        names, sets = _distinct(pivots)
-        labels = dict(zip(pivots["name"].to_pylist(), pivots["reached"].to_pylist()))
-        kinds = {x: i for i, x in enumerate(sorted(set(labels.values())))}
-        label = np.array([kinds[labels[n]] for n in names])
-        tree = Tree(np.stack([point_of(s) for s in sets]), np.array([len(s) for s in sets]))
-        for name, own, raw in zip(*(members[c].to_pylist() for c in ("name", "label", "found"))):
-            one = np.frombuffer(raw, np.uint64)
-            rows = tree.search(point_of(one), len(one), label, kinds.get(own, -1))
-            while len(rows):
-                if linked(one, sets[rows[0]]):
-                    pairs.append((own, labels[names[rows[0]]]))
-                    rows = rows[label[rows] != label[rows[0]]]
-                else:
-                    rows = rows[1:]
-    pairs = sorted(set(pairs))
-    return pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()),
-                     "b": pa.array([p[1] for p in pairs], pa.binary())})
-
-
-def _join_large(sets: DataFrame) -> DataFrame:
+def _join_group(share: int):
+    def joined(table: pa.Table) -> pa.Table:
+        names, sets = _distinct(table)
+        return _labelled(names, link(sets, share))
+
+    return joined
+
+
+def _against_pivots(share: int):
+    def met(members: pa.Table, pivots: pa.Table) -> pa.Table:
+        """Links (a, b) between members of a part and the pivots of their group."""
+        pairs = []
+        if members.num_rows and pivots.num_rows:
+            pivots = pivots.rename_columns({"pivot": "name", "own": "found"})
+            names, sets = _distinct(pivots)
+            labels = dict(zip(pivots["name"].to_pylist(), pivots["reached"].to_pylist()))
+            kinds = {x: i for i, x in enumerate(sorted(set(labels.values())))}
+            label = np.array([kinds[labels[n]] for n in names])
+            tree = Tree(np.stack([point_of(s) for s in sets]), np.array([len(s) for s in sets]), share)
+            for name, own, raw in zip(*(members[c].to_pylist() for c in ("name", "label", "found"))):
+                one = np.frombuffer(raw, np.uint64)
+                rows = tree.search(point_of(one), len(one), label, kinds.get(own, -1))
+                while len(rows):
+                    if linked(one, sets[rows[0]], share):
+                        pairs.append((own, labels[names[rows[0]]]))
+                        rows = rows[label[rows] != label[rows[0]]]
+                    else:
+                        rows = rows[1:]
+        pairs = sorted(set(pairs))
+        return pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()),
+                         "b": pa.array([p[1] for p in pairs], pa.binary())})
+
+    return met
+
+
+def _join_large(sets: DataFrame, share: int) -> DataFrame:
     """Labels in candidate groups too large for one tree, from rows (name, found, group, parts).
 
     Groups are cut into parts, and each part is joined by itself. Then, round by round, members
@@ -372,7 +384,7 @@ def _join_large(sets: DataFrame) -> DataFrame:
     part = F.pmod(F.xxhash64("name"), F.col("parts"))
     members = stored(sets.withColumn("part", part), "members")
     labels = stored(members.groupBy("group", "part").applyInArrow(
-        _join_group, "name binary, label binary"), "labels")
+        _join_group(share), "name binary, label binary"), "labels")
     done = labels.select("name").limit(0)
     while True:
         state = members.select("name", "group", "parts").join(labels, "name")
@@ -381,9 +393,9 @@ def _join_large(sets: DataFrame) -> DataFrame:
             "group", F.col("m.label").alias("main"))
         left = state.join(main, "group").filter("label <> main").join(done, "name", "left_anti")
         # some of each component, so that large ones meet early
-        share = F.pmod(F.xxhash64("name"), F.lit(SHARES))
-        left = left.withColumns({"share": share, "turn": F.row_number().over(
-            Window.partitionBy("group", "label", share).orderBy("name"))})
+        window = F.pmod(F.xxhash64("name"), F.lit(SHARES))
+        left = left.withColumns({"share": window, "turn": F.row_number().over(
+            Window.partitionBy("group", "label", window).orderBy("name"))})
         left = left.withColumn("nth", F.row_number().over(
             Window.partitionBy("group", "share").orderBy("turn", "name")))
         left = left.filter(F.col("nth") <= PIVOTS // SHARES)
@@ -396,30 +408,30 @@ def _join_large(sets: DataFrame) -> DataFrame:
             F.col("name").alias("pivot"), F.col("label").alias("reached"),
             F.col("found").alias("own"))
         found = members.join(labels, "name").groupBy("group", "part").cogroup(
-            spread.groupBy("of", "at")).applyInArrow(_against_pivots, "a binary, b binary")
+            spread.groupBy("of", "at")).applyInArrow(_against_pivots(share), "a binary, b binary")
         joined = components(found)
         labels = stored(labels.join(joined.withColumnRenamed("label", "least"), F.col("label") == F.col(
             "node"), "left").select("name", F.coalesce("least", "label").alias("label")), "labels")
         done = stored(done.union(pivots.select("name")), "done")
 
 
-def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _joined(docs: DataFrame, words: int, share: int) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, mark, n_shingles, name), and rows (name, label) of linked sets."""
     text = F.coalesce(F.col("text"), F.lit(""))
     doc = F.col("doc_id").cast("long").alias("doc_id")
     rows = docs.select(F.struct(doc, F.xxhash64("text").alias("mark")).alias("key"),
                        F.octet_length(text).cast("long").alias("size"), text.alias("text"))
-    listed = rows.mapInArrow(_listed, "node long, lists array<long>").select(
+    listed = rows.mapInArrow(_listed(words, share), "node long, lists array<long>").select(
         "node", F.explode("lists").alias("sig"))
     shared = listed.groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter(
         "a < b").select("sig")
     passed = docs.sparkSession.sparkContext.broadcast(build(shared))  # of fixed size
-    digests = stored(rows.mapInArrow(_digests(passed), DIGEST), "digests")
+    digests = stored(rows.mapInArrow(_digests(passed, words, share), DIGEST), "digests")
     found = digests.filter("found is not null").select("name", "node", "found")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     meetings = digests.select(F.explode("lists").alias("sig"), "node", "n_shingles", "point")
     edges = meetings.repartition(parts, "sig").sortWithinPartitions("sig").mapInArrow(
-        _meetings, "a long, b long")
+        _meetings(share), "a long, b long")
     groups = components(edges).withColumnRenamed("label", "group")
     nodes = digests.filter("found is not null").select("node", "n_shingles").dropDuplicates(["node"])
     sizes = nodes.join(groups, "node").groupBy("group").agg(
@@ -432,21 +444,21 @@ def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     narrow = F.broadcast(placed) if placed.count() <= BROADCAST_ROWS else placed
     sets = found.join(narrow, "node").select("group", "name", "found", "parts", "large")
     labels = stored(sets.filter("not large").groupBy("group").applyInArrow(
-        _join_group, "name binary, label binary"), "labels")
+        _join_group(share), "name binary, label binary"), "labels")
     if not placed.filter("large").isEmpty():
         labels = labels.union(_join_large(
-            sets.filter("large").dropDuplicates(["name"]).drop("large")))
+            sets.filter("large").dropDuplicates(["name"]).drop("large"), share))
     return digests.select("doc_id", "mark", "n_shingles", "name"), labels
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id), one for each row of ``docs``.
 
-    Texts link when ``SHARE`` percent of their shingles are common; the component is named by the
+    Texts link when ``share`` percent of their shingles of ``words`` words are common; the component is named by the
     least id reachable. Equal sets are one node, so copies are never paired. Texts without words
     link with nothing. Null ids take part in links, and their rows have the id of the component.
     """
-    digests, labels = _joined(docs)
+    digests, labels = _joined(docs, words, share)
     nodes = digests.groupBy("name").agg(F.min("doc_id").alias("id")).join(
         labels, "name", "left").withColumn("label", F.coalesce("label", "name"))
     least = nodes.groupBy("label").agg(F.min("id").alias("component_id"))
@@ -456,13 +468,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             F.col("component_id")).alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
     """One document of each component, that with the least id, with all its columns.
 
     Rows alike in id and text are one document; texts without words all stay. A null id is the
     last choice.
     """
-    digests, labels = _joined(docs)
+    digests, labels = _joined(docs, words, share)
     labelled = digests.filter("n_shingles > 0").join(labels, "name", "left")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
     tail = "_" * max(map(len, docs.columns))  # names that the documents cannot have

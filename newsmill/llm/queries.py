@@ -143,7 +143,7 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id
 FROM d LEFT JOIN n USING (r) JOIN least USING (r)""")
 def op2_ngram_join(spark, sf_dir):
     """Documents linked by common word shingles, with the component each belongs to."""
-    return near_duplicates(documents(spark, sf_dir))
+    return near_duplicates(documents(spark, sf_dir), words=4, share=85)
 
 
 @query()

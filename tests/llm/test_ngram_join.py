@@ -85,3 +85,24 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, i) for i in range(1001, 1050)] + [(7, 7), (3, 2)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {**{i: 0 for i in range(61)}, **{i: 1000 for i in range(1000, 1050)}}
+
+
+def test_another_rule_against_brute_force(spark, found):
+    """Five words and 80 percent."""
+    def own(text):
+        have = words((text or "").translate({i: i + 32 for i in range(65, 91)}))
+        return frozenset(tuple(have[i:i + 5]) for i in range(max(len(have) - 4, min(len(have), 1))))
+
+    sets = [own(r[1]) for r in found]
+    label = list(range(len(found)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a & b and 100 * len(a & b) >= 80 * len(a | b) and label[i] != label[j]:
+                label = [label[j] if x == label[i] else x for x in label]
+    least = {}
+    for x, r in zip(label, found):
+        if r[0] is not None:
+            least[x] = min(least.get(x, r[0]), r[0])
+    want = [(r[0], len(s), least.get(x) if s else r[0]) for r, s, x in zip(found, sets, label)]
+    got = near_duplicates(table(spark, found), words=5, share=80).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)

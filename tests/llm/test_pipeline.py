@@ -1,7 +1,7 @@
 import os
 
 import corpus_pipeline
-from cases import words
+from cases import rows, table, words
 from newsmill.llm.queries import MIX
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
@@ -24,3 +24,16 @@ def test_stages_act_on_what_is_left(spark):
     assert abs(sum(len(words(r.text)) for r in mixed) - MIX["share"] * total) < 0.1 * total
     assert sorted(r.doc_id for r in mixed) == sorted(r.doc_id for r in sharded)
     assert {r.shard for r in sharded} == set(range(24))
+
+
+def test_near_duplicates_by_five_words_and_four_fifths(spark):
+    def text(tag, changed=0):  # no word occurs twice; five shingles go with each changed one
+        own = [f"{tag}{i}" for i in range(1000)]
+        for i in range(changed):
+            own[20 + 40 * i] = f"{tag}new{i}"
+        return " ".join(own)
+
+    # 0.809 and 0.793 of five words, 0.845 and 0.831 of four
+    found = rows([text("a"), text("a", 21), text("b"), text("b", 23)])
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    assert sorted(r.doc_id for r in stage(spark, table(spark, found), SF_DIR).collect()) == [0, 2, 3]
