@@ -2,10 +2,11 @@
 
 Sentences are normalised and looked up among known licence sentences, each of which has an
 identifier. A licence is an ordered rule of identifiers: they have to follow each other in a text,
-with only a few other sentences between.
+with only a few other sentences between. Where a sentence names a holder, any name will do.
 """
 
 import re
+from bisect import bisect_right
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GAP = 4  # other sentences allowed between those of one rule
+RUN = 1000  # characters after which text without a stop counts as one more sentence
 
 # Sentences of licences in the wording of their publishers, and licence names.
 SENTENCES = {
@@ -208,6 +210,24 @@ BREAK = re.compile(STOP + r"|\n[^\S\n]*\n\s*")
 LINE = re.compile(STOP + r"|\n")
 WORD = re.compile(r"[a-z0-9]+")
 DROPPED = {"the", "a", "an"}
+LETTERS = re.compile(r"[^\W\d_]{2}")  # numbers and letters of list items are no sentences
+
+#: What stands before and after the holder's name, and both around the known one, normalised.
+HOLDERS = (
+    (r"neither\W+the\W+names?\W+of", r"nor\W+the\W+names?\W+of",
+     r"neither names? of .+ nor names? of (?:(?:its|their|any|other) )?contributors",
+     "neither name of copyright holder nor names of its contributors"),
+    (r"this\W+software\W+is\W+provided\W+by", r"as\W+is\W+and\W+any",
+     r"this software is provided by .+ as is and any",
+     "this software is provided by copyright holders and contributors as is and any"),
+    (r"software\W+is\W+provided\W+as\W+is\W+and", r"disclaims?\W+all\W+warranties",
+     r"software is provided as is and .+ disclaims? all warranties",
+     "software is provided as is and author disclaims all warranties"),
+)
+NAMED = [(re.compile(rf"^{full}\b"), known) for _, _, full, known in HOLDERS]
+AROUND = re.compile("|".join([rf"(?P<to{i}>\b{after}\b)" for i, (_, after, _, _) in enumerate(HOLDERS)] + [
+    rf"(?P<of{i}>\b{before}\b)" for i, (before, _, _, _) in enumerate(HOLDERS)] + [
+    r"(?P<empty>\n[^\S\n]*\n)"]), re.IGNORECASE)
 
 
 def normalised(sentence: str) -> str:
@@ -216,6 +236,13 @@ def normalised(sentence: str) -> str:
     return " ".join(w for w in words if w not in DROPPED)
 
 
+def with_known_holder(words: str) -> str:
+    """A normalised sentence with the holder that the known sentence has."""
+    for full, known in NAMED:
+        words = full.sub(known, words)
+    return words
+
+
 def _table() -> dict[str, str]:
     """Normalised sentence -> identifier: the listed ones, and references to licences by name."""
     found = {normalised(s): key for key, listed in SENTENCES.items() for s in listed}
@@ -235,6 +262,7 @@ class Found(NamedTuple):
     start: int
     end: int
     key: str
+    nth: int = 0  # among all sentences of the text, known or not
 
 
 def _pieces(text: str, breaks: re.Pattern):
@@ -245,25 +273,57 @@ def _pieces(text: str, breaks: re.Pattern):
     yield begin, len(text)
 
 
+def _around_names(text: str, pieces: list[tuple[int, int]]):
+    """Pieces joined where a stop between them is inside of a holder's name, as after "Inc."."""
+    starts, begin, kind = [p[0] for p in pieces], None, None
+    for m in AROUND.finditer(text):
+        group = m.lastgroup
+        if group.startswith("of"):
+            begin, kind = m.start(), group[2:]
+        elif group == "empty":
+            begin = None
+        elif begin is not None and group[2:] == kind:
+            first, last = (bisect_right(starts, i) - 1 for i in (begin, m.start()))
+            if first < last:
+                yield pieces[first][0], pieces[last][1]
+            begin = None
+
+
+def _others(text: str, pieces: list[tuple[int, int]], starts: list[int], a: int, b: int) -> int:
+    """How many sentences there are from a to b."""
+    n = 0
+    for i in range(max(bisect_right(starts, a) - 1, 0), bisect_right(starts, b)):
+        start, end = max(a, pieces[i][0]), min(b, pieces[i][1])
+        if start < end and LETTERS.search(text, start, end):
+            n += 1 + (end - start) // RUN
+    return n
+
+
 def sentences(text: str, table: dict[str, str]) -> list[Found]:
     """Known sentences in order, as they stand between sentence ends or empty lines, or, where
-    that finds none, on single lines."""
-    found, kept = [], []
-    for breaks in (BREAK, LINE):
-        for start, end in _pieces(text, breaks):
+    that finds none, on single lines. Each has its number among all sentences of the text."""
+    whole, found, kept = list(_pieces(text, BREAK)), [], []
+    for pieces in (_around_names(text, whole), whole, _pieces(text, LINE)):
+        for start, end in pieces:
             low = text[start:end].lower()
             if any(m in low for m in MARKS):
-                key = table.get(normalised(low))
+                words = normalised(low)
+                key = table.get(words) or table.get(with_known_holder(words))
                 if key:
                     found.append(Found(start, end, key))
     for one in found:  # the wider reading came first
         if not any(k.start < one.end and one.start < k.end for k in kept):
             kept.append(one)
-    return sorted(kept)
+    starts, at, nth, numbered = [p[0] for p in whole], 0, 0, []
+    for one in sorted(kept):
+        nth += 1 + _others(text, whole, starts, at, one.start)
+        numbered.append(one._replace(nth=nth))
+        at = one.end
+    return numbered
 
 
 def licences(found: list[Found]) -> list[Found]:
-    """Rules that match: their sentences in order, each at most ``GAP`` known ones apart."""
+    """Rules that match: their sentences in order, at most ``GAP`` others between two of them."""
     free, matched = list(range(len(found))), []
     for name, keys in RULES:
         begin = 0
@@ -273,9 +333,11 @@ def licences(found: list[Found]) -> list[Found]:
                 continue
             taken, at = [begin], begin
             for key in keys[1:]:
-                at = next((i for i in range(at + 1, min(at + 2 + GAP, len(free)))
-                           if found[free[i]].key == key), None)
-                if at is None:
+                last = found[free[at]].nth + 1 + GAP
+                at = next((i for i in range(at + 1, len(free)) if found[free[i]].key == key
+                           or found[free[i]].nth > last), None)
+                if at is None or found[free[at]].nth > last:
+                    at = None
                     break
                 taken.append(at)
             if at is None:

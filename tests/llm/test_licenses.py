@@ -40,6 +40,34 @@ def test_order_and_gaps_matter():
     assert of(f"{grant}\n\n{between}\n\n{notice}") == []
 
 
+def test_holders_by_name():
+    keys = next(k for name, k in RULES if name == "BSD-3-Clause")
+    for holder in ("Foo Inc.", "the University of Bar, Baz", "Dr. A. Person Ltd.", "<organization>"):
+        parts = [SENTENCES[k][0] for k in keys]
+        parts[3] = parts[3].replace("the copyright holder", holder)
+        parts[4] = parts[4].replace("THE COPYRIGHT HOLDERS", holder.upper())
+        for text in ("\n\n".join(parts), "\n".join(textwrap.fill(p, 50) for p in parts),
+                     "Some prose first.\n" + "\n".join(f" * {p}" for p in parts)):
+            assert [f.key for f in sentences(text, TABLE)] == list(keys), text
+            assert of(text) == ["BSD-3-Clause"], text
+    isc = [SENTENCES["isc-grant"][0], SENTENCES["isc-warranty"][0].replace("THE AUTHOR", "FOO INC.")]
+    assert [f.key for f in sentences(" ".join(isc), TABLE)] == ["isc-grant", "isc-warranty"]
+    other = "Neither the name of the rose. Released under the MIT License. Nor the names of others."
+    assert of(other) == ["MIT"]
+
+
+def test_unknown_sentences_count_for_gaps():
+    grant, notice = SENTENCES["mit-grant"][0], SENTENCES["mit-notice"][0]
+    def some(n):
+        return " ".join(["Prose goes on here."] * n)
+
+    assert of(f"{grant}\n\n{some(4)}\n\n{notice}") == ["MIT"]
+    assert of(f"{grant}\n\n{some(5)}\n\n{notice}") == []
+    assert of(f"{grant}\n\n1. 2. 3. 4. 5. 6. {notice}") == ["MIT"]
+    assert of(f"{grant}\n\n{'no stop at all ' * 1000}\n\n{notice}") == []
+    assert of(f"{grant}\n\n{some(5000)}\n\n{notice}\n\n{grant}\n\n{notice}") == ["MIT"]
+
+
 def test_rows(spark):
     found = rows(["x.\nReleased under the MIT License.", "Licensed under CC BY-NC 4.0."], 50) + odd()
     got = scan_licences(table(spark, found)).collect()
