@@ -426,28 +426,30 @@ def _joined(docs: DataFrame, words: int, share: int) -> tuple[DataFrame, DataFra
     shared = listed.groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter(
         "a < b").select("sig")
     passed = docs.sparkSession.sparkContext.broadcast(build(shared))  # of fixed size
-    digests = stored(rows.mapInArrow(_digests(passed, words, share), DIGEST), "digests")
-    found = digests.filter("found is not null").select("name", "node", "found")
+    digests = stored(rows.mapInArrow(_digests(passed, words, share), DIGEST).withColumn(
+        "at", F.monotonically_increasing_id()), "digests")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     meetings = digests.select(F.explode("lists").alias("sig"), "node", "n_shingles", "point")
     edges = meetings.repartition(parts, "sig").sortWithinPartitions("sig").mapInArrow(
         _meetings(share), "a long, b long")
     groups = components(edges).withColumnRenamed("label", "group")
-    nodes = digests.filter("found is not null").select("node", "n_shingles").dropDuplicates(["node"])
-    sizes = nodes.join(groups, "node").groupBy("group").agg(
+    # tasks and what they forget make rows with the same set; the first of them stands for all
+    found = digests.filter("found is not null")
+    once = found.groupBy("name").agg(F.min("at").alias("at"), F.first("node").alias("node"),
+                                     F.first("n_shingles").alias("n_shingles")).join(groups, "node")
+    sizes = once.groupBy("group").agg(
         F.count(F.lit(1)).alias("n"), F.sum(8 * F.col("n_shingles")).alias("bytes"))
-    placed = stored(groups.join(sizes, "group").select(
-        "node", "group", F.greatest(F.ceil(F.col("n") / PART), F.ceil(
+    placed = stored(once.join(sizes, "group").select(
+        "at", "group", F.greatest(F.ceil(F.col("n") / PART), F.ceil(
             F.col("bytes") / PART_BYTES)).alias("parts"),
         ((F.col("n") > TREE) | (F.col("bytes") > TREE_BYTES)).alias("large")), "placed")
     # where the narrow side is known to be small, sets are moved to their group only
     narrow = F.broadcast(placed) if placed.count() <= BROADCAST_ROWS else placed
-    sets = found.join(narrow, "node").select("group", "name", "found", "parts", "large")
+    sets = found.select("at", "name", "found").join(narrow, "at").drop("at")
     labels = stored(sets.filter("not large").groupBy("group").applyInArrow(
         _join_group(share), "name binary, label binary"), "labels")
     if not placed.filter("large").isEmpty():
-        labels = labels.union(_join_large(
-            sets.filter("large").dropDuplicates(["name"]).drop("large"), share))
+        labels = labels.union(_join_large(sets.filter("large").drop("large"), share))
     return digests.select("doc_id", "mark", "n_shingles", "name"), labels
 
 

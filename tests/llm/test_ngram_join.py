@@ -106,3 +106,26 @@ def test_another_rule_against_brute_force(spark, found):
     want = [(r[0], len(s), least.get(x) if s else r[0]) for r, s, x in zip(found, sets, label)]
     got = near_duplicates(table(spark, found), words=5, share=80).collect()
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("tree", [4000, 2])
+def test_sets_are_joined_once(spark, monkeypatch, tree):
+    """Copies in several partitions come as one set to where their group is joined."""
+    join = ngram_join._join_group
+
+    def once(share):
+        joined = join(share)
+
+        def checked(table):
+            names = table["name"].to_pylist()
+            assert len(names) == len(set(names)), len(names)
+            return joined(table)
+
+        return checked
+
+    monkeypatch.setattr(ngram_join, "TREE", tree)
+    monkeypatch.setattr(ngram_join, "_join_group", once)
+    base = [f"w{i}" for i in range(300)]
+    near = [" ".join(base[:i] + ["new"] + base[i + 1:]) for i in (50, 150, 250)]
+    docs = spark.createDataFrame(rows(near * 12), SCHEMA).repartition(6)
+    assert {r.component_id for r in near_duplicates(docs).collect()} == {0}
