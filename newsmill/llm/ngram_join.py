@@ -177,9 +177,10 @@ def _digests(passed, words: int, share: int):
 
 def packed(point: np.ndarray) -> bytes:
     """A point in a byte for each coordinate, after the power of two they are rounded up to."""
-    shift = max(0, int(point.max()).bit_length() - 8)
-    return bytes([shift]) + np.minimum(-(-point.astype(np.int64) >> shift), 255).astype(
-        np.uint8).tobytes()
+    most = int(point.max())
+    shift = max(0, most.bit_length() - 8)
+    shift += -(-most >> shift) > 255  # rounding up may take one bit more
+    return bytes([shift]) + (-(-point.astype(np.int64) >> shift)).astype(np.uint8).tobytes()
 
 
 def unpacked(points: list[bytes]) -> np.ndarray:

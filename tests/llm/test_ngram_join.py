@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from cases import SCHEMA, odd, rows, table, words
 from newsmill.llm import ngram_join
@@ -129,3 +130,11 @@ def test_sets_are_joined_once(spark, monkeypatch, tree):
     near = [" ".join(base[:i] + ["new"] + base[i + 1:]) for i in (50, 150, 250)]
     docs = spark.createDataFrame(rows(near * 12), SCHEMA).repartition(6)
     assert {r.component_id for r in near_duplicates(docs).collect()} == {0}
+
+
+def test_packed_points_are_nowhere_below():
+    for most in (0, 1, 255, 256, 509, 510, 511, 512, 1021, 1022, 1023, 65535, 2 ** 31 - 1, 2 ** 31):
+        point = np.array([most, 0, 1, most // 2, most // 3], dtype=np.uint32)
+        back = ngram_join.unpacked([ngram_join.packed(point)])[0]
+        assert (back >= point).all(), most
+        assert (back[point < 256] == point[point < 256]).all() or most > 255
