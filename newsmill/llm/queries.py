@@ -5,7 +5,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsmill.llm.audit import audit
+from newsmill.llm.clusters import cluster
 from newsmill.llm.decontaminate import contamination
+from newsmill.llm.exact_dedup import copies
 from newsmill.llm.licenses import scan_licences
 from newsmill.llm.mixing import curriculum
 from newsmill.llm.ngram_join import near_duplicates
@@ -228,3 +231,106 @@ def op9_decontaminate(spark, sf_dir):
 def op10_license_scans(spark, sf_dir):
     """Known licence sentences in all documents, and the licences they make."""
     return scan_licences(documents(spark, sf_dir))
+
+
+@query("""
+WITH t AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+           regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words
+    FROM documents),
+known AS (
+    SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good,
+           max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+    FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+d AS (
+    SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+           CASE WHEN len(words) < 200 THEN 1 ELSE 0 END
+           + CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END
+           + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 3 * length(text)
+                  THEN 4 ELSE 0 END
+           + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+           + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS mask
+    FROM t LEFT JOIN known USING (doc_id)),
+m AS (
+    SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic
+    FROM d GROUP BY part, mask),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (
+    SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f a, f b, f c, f d, f e
+    WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (
+    SELECT filter_order, step, 1 << (ascii(filter_order[step]) - 65) AS bit,
+           list_sum(list_transform(range(1, step), lambda i:
+               1 << (ascii(filter_order[i]) - 65))) AS before
+    FROM (SELECT filter_order, unnest(range(1, 6)) AS step FROM o)),
+c AS (
+    SELECT part, filter_order, step, bit,
+           sum(CASE WHEN mask & (bit | coalesce(before, 0)::BIGINT) = 0 THEN n ELSE 0 END) AS kept,
+           sum(CASE WHEN mask & coalesce(before, 0)::BIGINT = 0 AND mask & bit <> 0
+               THEN n ELSE 0 END) AS removed,
+           sum(CASE WHEN mask & coalesce(before, 0)::BIGINT <> 0 AND mask & bit <> 0
+               THEN n ELSE 0 END) AS redundant,
+           sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+           sum(CASE WHEN mask & coalesce(before, 0)::BIGINT = 0 AND mask & bit <> 0
+               THEN good ELSE 0 END) AS good_lost,
+           sum(CASE WHEN mask & coalesce(before, 0)::BIGINT = 0 AND mask & bit <> 0
+               THEN toxic ELSE 0 END) AS toxic_lost
+    FROM m, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+       redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+       good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM c""")
+def op11_filter_audit(spark, sf_dir):
+    """What five filters remove in all their orders, with their Shapley values, per language."""
+    return audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def _rounds(n: int) -> str:
+    """Assignments and centroids of the rounds of a clustering, as common table expressions."""
+    near = """a{i} AS (
+    SELECT r, min({{'d': list_sum(list_transform(list_zip(kept.v, c.v), lambda p:
+               (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, 'k': c.k}}) AS b
+    FROM kept, c{i} c GROUP BY r)"""
+    mean = """c{j} AS (
+    SELECT c.k, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN (
+        SELECT k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM (
+            SELECT a.b.k AS k, i, sum(kept.v[i]) AS s, count(*) AS n
+            FROM a{i} a JOIN kept USING (r), range(1, 65) t(i) GROUP BY a.b.k, i)
+        GROUP BY k) m ON m.k = c.k)"""
+    steps = [part.format(i=i, j=i + 1) for i in range(n) for part in (near, mean)]
+    return ",\n".join([*steps, near.format(i=n)])
+
+
+@query(f"""
+WITH kept AS (
+    SELECT row_number() OVER () AS r, vec_id,
+           list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
+    FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+c0 AS (
+    SELECT row_number() OVER (ORDER BY mark, v) - 1 AS k, v
+    FROM (SELECT sha256('1:' || coalesce(vec_id::VARCHAR, '')) AS mark, v FROM kept
+          ORDER BY mark, v LIMIT 16)),
+{_rounds(3)}
+SELECT vec_id, b.k::INTEGER AS cluster, b.d AS distance,
+       (sum(b.d) OVER (PARTITION BY b.k))::BIGINT AS cluster_inertia,
+       (sum(b.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a3 JOIN kept USING (r) JOIN c3 c ON c.k = b.k""")
+def op12_centroid_clusters(spark, sf_dir):
+    """All vectors in 16 clusters, after three rounds in whole numbers."""
+    return cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query("""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, length(coalesce(text, '')) AS size,
+           sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', '', 'g')) AS text_sha256
+    FROM documents)
+SELECT doc_id, first_value(doc_id) OVER best AS keep_id,
+       count(*) OVER (PARTITION BY text_sha256) AS group_size,
+       row_number() OVER best = 1 AS kept, text_sha256
+FROM d WINDOW best AS (PARTITION BY text_sha256 ORDER BY size DESC, doc_id NULLS LAST, r)""")
+def op13_exact_dedup(spark, sf_dir):
+    """Copies among all documents, by two passes over a counting Bloom filter."""
+    return copies(documents(spark, sf_dir))
