@@ -234,24 +234,30 @@ def extract_pages(pages: DataFrame, keep=("page_id",), **options) -> DataFrame:
         *keep, F.col("url").alias("link"), "status", "branch", "attempt", "title", "text")
 
 
-def cascade(attempts: DataFrame) -> DataFrame:
-    """One row per URL from ``(url, method, html, error)``: the first method that yields an
-    article, otherwise the last method's error.
-
-    Attempts are reduced by a minimum, combined before the shuffle, so a URL with very many
-    attempts is no hot group.
-    """
+def judged_attempts(attempts: DataFrame) -> DataFrame:
+    """Attempts ``(url, method, html, error)`` with what each yields: the columns of ``extract``,
+    ``_rank`` of its method from 1, and ``detail``, why it yields nothing."""
     known = F.array_position(F.array(*[F.lit(m) for m in METHODS]), F.col("method")).cast("int")
     # a method that is not known comes after those that are
     rank = F.coalesce(F.nullif(known, F.lit(0)), F.lit(len(METHODS) + 1))
     usable = attempts.withColumn("html", F.when(F.col("error").isNull(), F.col("html")))
     made = extract(with_dom(usable), F.col("method")).withColumn("_rank", rank)
-    good = F.col("status") == "ok"
     before, after = NOT_POSSIBLE
     failed = F.when(F.col("dom").isNull(), F.concat(
         F.lit(before), F.col("url"), F.lit(after))).otherwise(F.col("status"))
+    return made.withColumn("detail", F.when(F.col("status") != "ok", failed))
+
+
+def cascade(attempts: DataFrame) -> DataFrame:
+    """One row per URL from ``(url, method, html, error)``: the first method that yields an
+    article, otherwise the last method's error.
+
+    Attempts are reduced by a minimum, combined before the shuffle, so a URL with very many
+    attempts is no hot group.
+    """
+    made, good = judged_attempts(attempts), F.col("status") == "ok"
     best = F.min(F.when(good, F.struct("_rank", "method", "title", "text")))
-    worst = F.max(F.when(~good, F.struct("_rank", failed.alias("detail"))))
+    worst = F.max(F.when(~good, F.struct("_rank", "detail")))
     out = made.groupBy("url").agg(best.alias("b"), worst.alias("w"))
     return out.select(
         F.col("url").alias("link"),

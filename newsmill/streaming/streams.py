@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 
 from newsmill.functions.text import keeps_corpus_text
 from newsmill.operators import clean, ledger, models, pages
+from newsmill.streaming import keyed
 
+FILE = "_file"  # where an arriving row stands
 FOLDED = 16  # batches whose state is folded into one folder
 
 
-def read_files(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(schema)
+def read_files(spark: SparkSession, path: str, schema, files_per_batch: int | None = None,
+               **options) -> DataFrame:
+    reader = spark.readStream.schema(schema).options(**options)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(path)
@@ -75,6 +78,31 @@ def clean_batches(stream: DataFrame, order_by: str, out: str, state: str):
     return stream.writeStream.foreachBatch(apply)
 
 
+def clean_files(spark: SparkSession, path: str, schema, order_by: str, out: str,
+                files_per_batch: int | None = None, prepare=lambda df: df, **options):
+    """Clean the Parquet files that arrive in a folder with the batch cleaner's rules; the first
+    arrival survives, whenever a copy comes.
+
+    Only keys pass through the stream's state; of the files of a batch, the rows that survive are
+    then read once more. ``prepare`` makes articles of the rows of a file, with the row key
+    ``order_by``. Returns a stream writer.
+    """
+    arriving = read_files(spark, path, schema, files_per_batch, **options)
+    keys = keyed.surviving_keys(
+        prepare(arriving.withColumn(FILE, F.col("_metadata.file_path"))), order_by, carry=[FILE])
+
+    def apply(batch: DataFrame, number: int) -> None:
+        _write_batch(batch, f"{out}-keys", number)
+        kept = spark.read.schema(batch.schema).parquet(f"{out}-keys/batch={number}")
+        files = [r[0] for r in kept.select(FILE).distinct().collect()]  # those of one batch at most
+        rows = prepare(spark.read.schema(schema).parquet(*files)) if files else \
+            prepare(spark.createDataFrame([], schema))
+        _write_batch(clean.remove_emoji(clean.keep_rows(rows, kept, order_by)), out, number)
+
+    keyed.with_keyed_state(spark)
+    return keys.writeStream.foreachBatch(apply)
+
+
 def clean_within(stream: DataFrame, ts: str, delay: str) -> DataFrame:
     """Clean arriving articles with bounded state: copies further apart than ``delay`` in ``ts``
     are not recognised. Article rows carry no time of their own, so ``ts`` is when they arrived."""
@@ -126,15 +154,30 @@ def windowed_totals(stream: DataFrame, width: str = "1 hour", delay: str = "1 ho
             .transform(lambda s: ledger.totals(s, by=[F.window("ts", width), "stage"])))
 
 
+def pace_arrivals(stream: DataFrame, key: str, ts: str, tie: str, gap_seconds: float, delay: str,
+                  out: str, state: str, **options):
+    """Release times of requests that arrive in any order, at most ``delay`` behind later ones.
+
+    Requests are held until the watermark has passed them (``keyed.in_time_order``, which takes
+    the ``options``) and then paced as by ``pace_batches``.
+    """
+    keyed.with_keyed_state(stream.sparkSession)
+    held = keyed.in_time_order(stream, ts, delay, **options)
+    return pace_batches(held, key, ts, tie, gap_seconds, out, state)
+
+
 def pace_batches(stream: DataFrame, key: str, ts: str, tie: str, gap_seconds: float,
                  out: str, state: str, unit: str | None = None):
     """Release times of arriving requests, each batch going on from the last release per key.
 
     A batch is paced by the two-level scan, so a busy key is spread over tasks. Batches must
-    arrive in time order, as the requests themselves do.
+    arrive in time order, as the requests themselves do; ``pace_arrivals`` puts them in order.
     """
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        # a batch is read several times, and may come out of a stateful step
+        batch.write.mode("overwrite").parquet(f"{state}-now")
+        batch = spark.read.schema(batch.schema).parquet(f"{state}-now")
         carry = _state(spark, state, number, lambda df: df.groupBy(key).agg(F.max("last").alias("last")))
         made = ledger.release_times(batch, key, ts, tie, gap_seconds, unit, carry)
         _write_batch(made, out, number)
