@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from newsmill.functions import lcs
 from newsmill.functions.stem import remembering, stem
 from newsmill.functions.text import as_score
+from newsmill.operators import bootstrap
 from newsmill.session import stored
 
 STEM_ABOVE = 3  # fixed value: shorter tokens are not stemmed
@@ -195,22 +196,36 @@ def pair_scores(stemmed: bool = True):
     return score
 
 
-def corpus_scores(pairs: DataFrame, key: list[str], stemmed: bool = True) -> DataFrame:
-    """Means of all four metrics, times 100, over pairs with a prediction, and how many pairs and
-    missing predictions there are: one row.
+def scored_pairs(pairs: DataFrame, key: list[str], stemmed: bool = True) -> DataFrame:
+    """Rows (key, ``present``, ``s``): whether a pair has a prediction, and its F1 of all metrics.
 
-    A pair is tokenised, stemmed and scored once, in its own row.
+    A pair is tokenised, stemmed and scored once, in its own row; without a prediction ``s`` is null.
     """
     sides = [_lines(c).alias(c[0]) for c in ("prediction", "reference")]
     present = F.col("prediction").isNotNull()
-    rows = pairs.select(present.alias("present"), *sides)
-    scored = rows.withColumn("s", F.when(F.col("present"), pair_scores(stemmed)("p", "r")))
-    return scored.agg(
+    rows = pairs.select(*key, present.alias("present"), *sides)
+    return rows.select(*key, "present", F.when(
+        F.col("present"), pair_scores(stemmed)("p", "r")).alias("s"))
+
+
+def corpus_scores(pairs: DataFrame, key: list[str], stemmed: bool = True) -> DataFrame:
+    """Means of all four metrics, times 100, over pairs with a prediction, and how many pairs and
+    missing predictions there are: one row."""
+    return scored_pairs(pairs, key, stemmed).agg(
         *[as_score(F.avg(f"s.{m}")).alias(m) for m in METRICS],
         F.count(F.lit(1)).alias("pairs"),
         F.coalesce(F.sum((~F.col("present")).cast("long")), F.lit(0)).alias("missing"))
 
 
+def interval_scores(pairs: DataFrame, key: list[str], stemmed: bool = True,
+                    metrics=METRICS, **options) -> DataFrame:
+    """Low, middle and high corpus score of each metric over resampled corpora, times 100, four
+    decimals: rows (metric, low, mid, high). ``options`` are those of ``bootstrap.intervals``."""
+    scored = scored_pairs(pairs, key, stemmed).filter("present").select(*key, "s.*")
+    found = bootstrap.intervals(scored, key, list(metrics), **options)
+    return found.select("metric", *[as_score(F.col(c)).alias(c) for c in ("low", "mid", "high")])
+
+
 def vocabulary(df: DataFrame, text: str) -> DataFrame:
     """Every distinct token with its stem; each is stemmed once."""
     words = df.select(F.explode(tokens(F.col(text))).alias("token")).distinct()
