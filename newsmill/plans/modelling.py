@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from newsmill.functions import tokens
 from newsmill.functions.emotions import from_label_scores, top_emotions
 from newsmill.functions.text import as_percent
-from newsmill.operators import chunk, features, models
+from newsmill.operators import chunk, features, models, spans
 from newsmill.plans import sql
 from newsmill.plans.articles import articles, table
 from newsmill.plans.registry import query
@@ -110,6 +110,16 @@ def chunk_table_small(spark, sf_dir):
     return chunk.chunk_table(table(spark, sf_dir, "documents", heavy=True), "doc_id", "text", 90)
 
 
+@query(_chunk_rows_sql(90))
+def chunk_table_of_parts(spark, sf_dir):
+    """Texts in parts of 1000 characters, packed over blocks of four budgets."""
+    docs = table(spark, sf_dir, "documents", heavy=True)
+    places = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(1000))
+    parts = docs.select("doc_id", F.posexplode(F.transform(
+        places, lambda p: F.substring("text", p + 1, F.lit(1000)))).alias("part", "piece"))
+    return spans.chunk_parts(parts, "doc_id", "part", "piece", 90, span=4)
+
+
 @query(_chunk_rows_sql(200, _quarters))
 def chunk_table_by_count(spark, sf_dir):
     """Chunks sized by a counter that is not words."""
