@@ -234,8 +234,8 @@ def shard_hits(texts: list[str], parts: list[Phrases]) -> list[tuple[int, list,
 
 
 def _shared(docs: DataFrame, benchmark: DataFrame) -> list:
-    """The query set in blocks of bounded size."""
-    return [docs.sparkSession.sparkContext.broadcast(b) for b in blocks(benchmark)]
+    """The query set in blocks of bounded size, as plain tuples: a worker need not know this package."""
+    return [docs.sparkSession.sparkContext.broadcast(tuple(b)) for b in blocks(benchmark)]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -251,7 +251,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     def scan(batches):
         for batch in batches:
             for shard in slices(batch, 1, SHARD_BYTES):
-                found = shard_hits(shard.column(2).to_pylist(), [p.value for p in parts])
+                found = shard_hits(shard.column(2).to_pylist(), [Phrases(*p.value) for p in parts])
                 hit = [sum(b - a for a, b in spans) for _, spans, _ in found]
                 yield pa.record_batch([
                     shard.column(0), pa.array([n for n, _, _ in found], pa.int64()),
@@ -297,7 +297,7 @@ def remove_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         for batch in batches:
             for shard in slices(batch, n, SHARD_BYTES):
                 texts = shard.column(at).to_pylist()
-                found = shard_hits([t or "" for t in texts], [p.value for p in parts])
+                found = shard_hits([t or "" for t in texts], [Phrases(*p.value) for p in parts])
                 gone = [bool(w) and sum(b - a for a, b in spans) == w for w, spans, _ in found]
                 texts = [_without(t, spans) if spans else t
                          for t, (_, spans, _) in zip(texts, found)]

@@ -242,17 +242,19 @@ def _features(batches):
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on labelled texts: ``sample_rows`` of them at most, the first by a hash of the id.
 
-    An id labelled more than once counts with its worst label; labels without a document, and
-    null ids and labels, are left out. Without both kinds of label every text is taken as good.
+    An id labelled more than once counts with its worst label, of rows that share an id the one
+    whose text hashes lowest; labels without a document, and null ids and labels, are left out.
+    Without both kinds of label every text is taken as good.
     """
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(
         F.min("quality").cast("int").alias("good"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     # at most sample_rows ids and labels
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(
-        F.broadcast(chosen), "doc_id").select("doc_id", "good", "text")
+        F.broadcast(chosen), "doc_id").groupBy("doc_id", "good").agg(
+        F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     found = rows.mapInArrow(_features, "doc_id long, good int, at binary, share binary")
-    found = sorted(found.limit(2 * sample_rows).collect(), key=lambda r: (r.doc_id * 0x9E3779B1 % (
+    found = sorted(found.collect(), key=lambda r: (r.doc_id * 0x9E3779B1 % (
         1 << 32), bytes(r.at), bytes(r.share)))
     return fit([(np.frombuffer(r.at, np.int32).astype(np.int64),
                  np.frombuffer(r.share, np.float32).astype(np.float64), int(r.good > 0))
@@ -264,13 +266,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     Null and empty texts count nothing.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 3 * DIM numbers
+    # 3 * DIM numbers, as a plain tuple: a worker need not know this package
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
 
     def scored(batches):
-        hasher = Hasher()
+        hasher, model = Hasher(), Model(*shared.value)
         for ids, _, texts in chunks(batches, BLOCK):
             found = Texts([t.encode() for t in texts], hasher)
-            probability = shared.value.probability(found.scores(shared.value.weights))
+            probability = model.probability(found.scores(model.weights))
             yield pa.record_batch(
                 [pa.array(ids, pa.int64()), *[pa.array(c, pa.int64()) for c in found.base()],
                  pa.array(probability, pa.float64())],
@@ -300,18 +303,18 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = MIN_PROBABILITY
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = MIN_PROBABILITY,
               sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The documents that ``judge`` keeps, with all their columns, without moving any."""
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample_rows))
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(train(docs, labels, sample_rows)))
     at, n = docs.columns.index("text"), len(docs.columns)
     # columns go by number, since names may hold dots
     numbered = [f"c{i}" for i in range(n)]
 
     def good(batches):
-        hasher = Hasher()
+        hasher, model = Hasher(), Model(*shared.value)
         for batch in batches:
             for part in slices(batch, n, BLOCK):
                 found = Texts([(t or "").encode() for t in part.column(at).to_pylist()], hasher)
                 words, repeated = found.n_words, found.repeated()
-                chance = shared.value.probability(found.scores(shared.value.weights))
+                chance = model.probability(found.scores(model.weights))
                 kept = (words >= MIN_WORDS) & (100 * repeated <= int(100 * MAX_REPEATED) * words) \
                     & (chance >= threshold)
                 yield pa.record_batch(part.columns[:n], numbered).filter(pa.array(kept))
