@@ -116,15 +116,16 @@ def _stack(datasets: dict[str, DataFrame], columns, by: str | None) -> DataFrame
     return reduce(DataFrame.unionByName, parts)
 
 
+def schema_allows(check: Check, df: DataFrame) -> bool:
+    """Whether the schema alone does not fail the check."""
+    present = all(c in df.columns for c in check.columns)
+    return present and (check.kind != IS_STRING or all(
+        isinstance(df.schema[c].dataType, T.StringType) for c in check.columns))
+
+
 def _schema_result(check: Check, datasets) -> Column | None:
     """Per dataset: False where the schema alone fails the check."""
-    failing = []
-    for name, df in datasets.items():
-        present = all(c in df.columns for c in check.columns)
-        typed = present and all(isinstance(df.schema[c].dataType, T.StringType)
-                                for c in check.columns)
-        if not present or (check.kind == IS_STRING and not typed):
-            failing.append(name)
+    failing = [name for name, df in datasets.items() if not schema_allows(check, df)]
     return ~F.col("source").isin(failing) if failing else F.lit(True)
 
 
@@ -176,12 +177,13 @@ def evaluate(datasets: dict[str, DataFrame], suite=ARTICLE_SUITE,
         base = (table.select(*GROUP, *[c.alias(n) for n, c in sums.items()])
                 .groupBy(*GROUP).agg(F.count(F.lit(1)).alias("elements"), *outputs))
     wanted = row_level + ([carrier] if carrier else [])
-    results.append(_unpivot(_with_empty(base, every), wanted, carrier, datasets))
+    shapes = [_schema_result(check, datasets) for check in suite]
+    results.append(_unpivot(_with_empty(base, every), wanted, carrier, shapes))
     for item in unique:
         if item != carrier:
             groups = _per_group(table, item[1], {})
             base = groups.groupBy(*GROUP).agg(F.sum("n").alias("elements"), *_unique_counts())
-            results.append(_unpivot(_with_empty(base, every), [item], item, datasets))
+            results.append(_unpivot(_with_empty(base, every), [item], item, shapes))
     return reduce(DataFrame.unionByName, results)
 
 
@@ -206,7 +208,8 @@ def _with_empty(base: DataFrame, every: DataFrame) -> DataFrame:
     return every.join(base, list(GROUP), "left").na.fill(0)
 
 
-def _unpivot(base, wanted, carrier, datasets) -> DataFrame:
+def _unpivot(base, wanted, carrier, shapes) -> DataFrame:
+    """One row per dataset and wanted check; ``shapes`` has the schema's verdict on every check."""
     rows = []
     for i, check in wanted:
         own = carrier and i == carrier[0]
@@ -216,7 +219,7 @@ def _unpivot(base, wanted, carrier, datasets) -> DataFrame:
             F.lit(check.target).alias("column"), F.lit(check.severity).alias("severity"),
             F.col("elements").alias("element_count"), missing.alias("missing_count"),
             bad.alias("unexpected_count"), F.lit(check.mostly).alias("mostly"),
-            _schema_result(check, datasets).alias("schema_ok")))
+            shapes[i].alias("schema_ok")))
     flat = base.select(*GROUP, F.explode(F.array(*rows)).alias("r")).select("dataset", "r.*")
     looked_at = F.col("element_count") - F.col("missing_count")
     share = F.when(looked_at > 0, F.col("unexpected_count") / looked_at).otherwise(F.lit(0.0))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from newsmill.operators import clean, expect
+from newsmill.operators import clean, expect, expect_state
 from newsmill.plans import sql
 from newsmill.plans.articles import articles, table
 from newsmill.plans.registry import query
@@ -186,6 +186,17 @@ def validation(spark, sf_dir):
     return found.withColumn("unexpected_percent", F.round("unexpected_percent", 6))
 
 
+@query(f"WITH {RESULTS} SELECT * FROM results")
+def validation_of_appended(spark, sf_dir):
+    """The same checks over tables that come in three parts, one of them twice."""
+    path, assets = scratch(spark, "checks"), _assets(spark, sf_dir)
+    turn = F.pmod(F.xxhash64("id"), F.lit(3))
+    for part in (0, 1, 2, 1):
+        expect_state.append({n: df.filter(turn == part) for n, df in assets.items()}, path, f"p{part}", by="split")
+    found = expect_state.results(spark, path)
+    return found.withColumn("unexpected_percent", F.round("unexpected_percent", 6))
+
+
 LACKING = RESULTS.replace("assets AS (", "all_assets AS (").replace("counted AS (", """assets AS (
   SELECT * FROM all_assets WHERE dataset <> 'clean_fr'),
 counted AS (""")
@@ -210,14 +221,17 @@ def validation_first_run(spark, sf_dir):
     return expect.tally(expect.evaluate(_assets(spark, sf_dir), by="split"), first_only="raw_en")
 
 
-@query(f"WITH {RESULTS} SELECT 'first' AS run, dataset, expectation, \"column\", success FROM results")
+@query(f"""WITH {RESULTS} SELECT 'first' AS run, dataset, check_no, expectation, "column", element_count,
+  missing_count, unexpected_count, success FROM results""")
 def validation_saved(spark, sf_dir):
     """Results stored twice under one run name, and read back."""
     path = scratch(spark, "results")
     found = expect.evaluate(_assets(spark, sf_dir), by="split")
     results.save(found, path, "first")
     results.save(results.load(spark, path).drop("run").transform(lambda df: stored(df, "again")), path, "first")
-    return results.load(spark, path).select("run", "dataset", "expectation", "column", "success")
+    return results.load(spark, path).select(
+        "run", "dataset", "check_no", "expectation", "column", "element_count", "missing_count",
+        "unexpected_count", "success")
 
 
 @query(f"""WITH {RESULTS} SELECT dataset, count(*) AS evaluated,

@@ -10,6 +10,7 @@ from newsmill.plans.articles import table
 from newsmill.plans.registry import query
 from newsmill.session import scratch
 from newsmill.sources import ledger as store
+from newsmill.sources import reports
 
 # failed runs leave no measurement
 MEASURED = "CASE WHEN event_type = 'error' THEN NULL ELSE value END"
@@ -38,6 +39,19 @@ def ledger_round_trip(spark, sf_dir):
         F.unix_micros("ts").alias("at"), "stage", "emissions_kg", "emissions_g")
 
 
+@query(f"""WITH {RECORDS} SELECT CAST(epoch_us(ts) AS BIGINT) AS at, stage, emissions_kg,
+  round(emissions_g, 6) AS emissions_g FROM records""")
+def report_round_trip(spark, sf_dir):
+    """Append the records to a report in two runs, read the report back."""
+    path, rows = scratch(spark, "report"), _ledger(spark, sf_dir)
+    report = reports.register(spark)
+    for part in (F.col("stage") == "view", F.col("stage") != "view"):
+        made = ledger.entries(rows.filter(part), "stage", "emissions_kg", F.col("ts"))
+        made.write.format(report).option("project", "news").mode("append").save(path)
+    return spark.read.format(report).load(path).select(
+        F.unix_micros("ts").alias("at"), "stage", "emissions_kg", F.round("emissions_g", 6).alias("emissions_g"))
+
+
 @query(f"WITH {RECORDS} SELECT stage, emissions_kg, true AS stamped FROM records")
 def ledger_stamped(spark, sf_dir):
     """Records without a time of their own get the time at which they are written."""
@@ -83,10 +97,13 @@ def running_totals_by_stage(spark, sf_dir):
 
 
 def _release_sql(key, gap):
-    return f"""WITH a AS (SELECT event_id, {key}, epoch_us(ts) AS arrival, row_number() OVER (
-    PARTITION BY {key} ORDER BY ts, event_id) AS i FROM events)
-  SELECT event_id, {key}, arrival, CAST(i * {gap} + max(arrival - i * {gap}) OVER (
-    PARTITION BY {key} ORDER BY i) AS BIGINT) AS release FROM a"""
+    """The rule itself, request by request: a release waits for the one before it."""
+    return f"""WITH RECURSIVE a AS (SELECT event_id, {key}, epoch_us(ts) AS arrival, row_number() OVER (
+    PARTITION BY {key} ORDER BY ts, event_id) AS i FROM events),
+walk AS (SELECT event_id, {key}, arrival, i, arrival AS release FROM a WHERE i = 1
+  UNION ALL SELECT a.event_id, a.{key}, a.arrival, a.i, greatest(a.arrival, walk.release + {gap})
+  FROM walk JOIN a ON a.{key} = walk.{key} AND a.i = walk.i + 1)
+SELECT event_id, {key}, arrival, CAST(release AS BIGINT) AS release FROM walk"""
 
 
 @query(_release_sql("user_id", 21_600_000_000))

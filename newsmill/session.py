@@ -1,7 +1,10 @@
 """Session defaults and the shared scratch folder."""
 
+import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -54,16 +57,54 @@ def clear_scratch(spark):
     context = spark.sparkContext
     root = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if root:
-        path = context._jvm.org.apache.hadoop.fs.Path(_home(spark, root))
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _home(spark, root))
 
 
-def stored(df, name):
+def _delete(spark, path):
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_PASSING = ContextVar("passing", default=())
+
+
+@contextmanager
+def passing(spark):
+    """Tables stored inside are removed at the end; those stored with ``last`` belong to the scope
+    around it, and stay where there is none.
+
+    Shuffle files go when the JVM has forgotten the DataFrames they belong to, so it is asked to
+    look; keep no other DataFrame of the inside.
+    """
+    paths = []
+    token = _PASSING.set((*_PASSING.get(), paths))
+    try:
+        yield
+    finally:
+        _PASSING.reset(token)
+        for path in paths:
+            _delete(spark, path)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
+def stored(df, name, last=False):
     """Write a table that is read more than once, and read it back.
 
-    It lives in the shared folder, so losing an executor costs no recomputation.
+    It lives in the shared folder, so losing an executor costs no recomputation. A scope opened
+    with ``passing`` removes it.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
+    scopes = _PASSING.get()[:-1] if last else _PASSING.get()
+    if scopes:
+        scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(df):
+    """Remove the files of a stored table that nothing reads any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _delete(df.sparkSession, folder)
