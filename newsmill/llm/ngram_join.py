@@ -24,7 +24,7 @@ from newsmill.llm.bloom import build, may_hold
 from newsmill.llm.components import components
 from newsmill.llm.quality import MIX, Hasher, Texts
 from newsmill.llm.token_counts import chunks
-from newsmill.session import stored
+from newsmill.session import passing, stored
 
 WORDS = 4  # of a shingle, unless a caller asks for others
 SHARE = 85  # linked from this percentage of common shingles; above 100 / CLASS
@@ -471,21 +471,40 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, share: int = SHARE) ->
             F.col("component_id")).alias("component_id"))
 
 
+def _set_aside(docs: DataFrame, words: int, share: int) -> DataFrame:
+    """Rows (doc_id, mark, stays) of documents with words: those that don't stay, and those that
+    are there more than once."""
+    digests, labels = _joined(docs, words, share)
+    labelled = digests.filter("n_shingles > 0").join(labels, "name", "left").withColumn(
+        "label", F.coalesce("label", "name"))
+    keys = labelled.groupBy("label", "doc_id", "mark").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
+    chosen = keys.groupBy("label").agg(first.alias("f")).select(
+        F.col("label").alias("of"), F.col("f.doc_id").alias("id"), F.col("f.mark").alias("by"))
+    same = (F.col("label") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")) & (
+        F.col("mark") == F.col("by"))
+    return keys.join(chosen, same, "left").select(
+        "doc_id", "mark", F.col("of").isNotNull().alias("stays"), "n").filter("not stays or n > 1")
+
+
 def drop_near_duplicates(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
     """One document of each component, that with the least id, with all its columns.
 
     Rows alike in id and text are one document; texts without words all stay. A null id is the
-    last choice.
+    last choice. Documents are not moved where the keys of those that go can be broadcast; what
+    the join has stored is removed, but for these keys.
     """
-    digests, labels = _joined(docs, words, share)
-    labelled = digests.filter("n_shingles > 0").join(labels, "name", "left")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
+    with passing(docs.sparkSession):
+        aside = stored(_set_aside(docs, words, share), "set_aside", last=True)
     tail = "_" * max(map(len, docs.columns))  # names that the documents cannot have
-    chosen = labelled.groupBy(F.coalesce("label", "name").alias("label")).agg(
-        first.alias("f")).select(F.col("f.doc_id").alias("id" + tail),
-                                 F.col("f.mark").alias("of" + tail))
-    filled = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    rows = docs.filter(filled).withColumn("mark" + tail, F.xxhash64("text"))
-    once = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("id" + tail)) & (
-        F.col("mark" + tail) == F.col("of" + tail))).dropDuplicates(["doc_id", "mark" + tail])
-    return once.select(*[F.col(f"`{c}`") for c in docs.columns]).union(docs.filter(~filled))
+    known = aside.select(*[F.col(c).alias(c + tail) for c in ("doc_id", "mark", "stays")])
+    narrow = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
+    mark = "of" + tail
+    rows = docs.withColumn(mark, F.xxhash64("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("doc_id" + tail)) & (
+        F.col(mark) == F.col("mark" + tail))
+    left = rows.join(narrow, same, "left_anti")
+    if not aside.filter("stays").isEmpty():
+        again = rows.join(narrow.filter("stays" + tail), same, "left_semi")
+        left = left.unionAll(again.dropDuplicates(["doc_id", mark]))
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
