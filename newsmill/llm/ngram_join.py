@@ -31,7 +31,8 @@ SHARE = 85  # linked from this percentage of common shingles; above 100 / CLASS
 CLASS = 1.6  # ratio of the sizes in one class
 GROUPS = 256  # coordinates of a point
 SKETCH = 128  # of the points that candidates are compared by
-LEAF = 16
+FINE = 1024  # of the points that tell long sets of large groups apart
+LEAF = 256
 TREE, TREE_BYTES = 4000, 64 << 20  # of the sets in one tree; more are joined in parts
 PART, PART_BYTES = 2000, 32 << 20
 PIVOTS, SHARES = 2048, 64  # pivots of a group in one round, and how many windows choose them
@@ -374,6 +375,59 @@ def _against_pivots(share: int):
     return met
 
 
+def _finer(rows):
+    """Points of ``FINE`` counts for rows (group, name, found)."""
+    for batch in rows:
+        sets = [np.frombuffer(raw, np.uint64) for raw in batch.column(2).to_pylist()]
+        yield pa.record_batch([
+            batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()),
+            pa.array([packed(point_of(s, FINE)) for s in sets], pa.binary())],
+            ["group", "name", "n", "point"])
+
+
+def _deal_out(share: int):
+    def dealt(table: pa.Table) -> pa.Table:
+        """The members of a group with the least name that they are connected with."""
+        rows = sorted(dict(zip(table["name"].to_pylist(), zip(
+            table["n"].to_pylist(), table["point"].to_pylist()))).items())
+        names = [name for name, _ in rows]
+        labels = _connected(unpacked([point for _, (_, point) in rows]),
+                            np.array([n for _, (n, _) in rows]), share)
+        return _labelled(names, labels)
+
+    return dealt
+
+
+def _split_large(sets: DataFrame, share: int) -> DataFrame:
+    """Large candidate groups, as rows (name, found, group, parts, large), cut where finer points
+    allow no link.
+
+    The coarse points of sets of thousands of shingles bound little, so unrelated long texts that
+    have a passage in common make up groups that hardly link. Finer points are read for the
+    members of such groups only, a byte for each count. Groups with so many members that these are
+    more than a tree may hold stay as they are.
+    """
+    sets = stored(sets, "large")
+    fits = sets.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter(
+        F.col("n") <= TREE_BYTES // FINE // 4).select("group")
+    points = sets.join(F.broadcast(fits), "group").select("group", "name", "found").mapInArrow(
+        _finer, "group long, name binary, n long, point binary")
+    dealt = points.groupBy("group").applyInArrow(
+        _deal_out(share), "name binary, label binary").withColumnRenamed("label", "of")
+    named = sets.join(dealt, "name", "left").withColumn("group", F.coalesce(
+        F.xxhash64("of"), "group")).select("name", "group", F.octet_length("found").alias("size"))
+    sizes = named.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    placed = named.join(sizes, "group").select(
+        "name", "group", *_parts(F.col("n"), F.col("bytes")))
+    return sets.select("name", "found").join(stored(placed, "split"), "name")
+
+
+def _parts(n, size) -> list:
+    """Into how many parts a group goes, and whether it is too large for one tree."""
+    return [F.greatest(F.ceil(n / PART), F.ceil(size / PART_BYTES)).alias("parts"),
+            ((n > TREE) | (size > TREE_BYTES)).alias("large")]
+
+
 def _join_large(sets: DataFrame, share: int) -> DataFrame:
     """Labels in candidate groups too large for one tree, from rows (name, found, group, parts).
 
@@ -441,16 +495,19 @@ def _joined(docs: DataFrame, words: int, share: int) -> tuple[DataFrame, DataFra
     sizes = once.groupBy("group").agg(
         F.count(F.lit(1)).alias("n"), F.sum(8 * F.col("n_shingles")).alias("bytes"))
     placed = stored(once.join(sizes, "group").select(
-        "at", "group", F.greatest(F.ceil(F.col("n") / PART), F.ceil(
-            F.col("bytes") / PART_BYTES)).alias("parts"),
-        ((F.col("n") > TREE) | (F.col("bytes") > TREE_BYTES)).alias("large")), "placed")
+        "at", "group", *_parts(F.col("n"), F.col("bytes"))), "placed")
     # where the narrow side is known to be small, sets are moved to their group only
     narrow = F.broadcast(placed) if placed.count() <= BROADCAST_ROWS else placed
     sets = found.select("at", "name", "found").join(narrow, "at").drop("at")
-    labels = stored(sets.filter("not large").groupBy("group").applyInArrow(
-        _join_group(share), "name binary, label binary"), "labels")
+    joined = sets.filter("not large").groupBy("group").applyInArrow(
+        _join_group(share), "name binary, label binary")
+    labels = stored(joined, "labels")
     if not placed.filter("large").isEmpty():
-        labels = labels.union(_join_large(sets.filter("large").drop("large"), share))
+        split = stored(_split_large(sets.filter("large"), share), "split_sets")
+        labels = labels.union(stored(split.filter("not large").groupBy("group").applyInArrow(
+            _join_group(share), "name binary, label binary"), "labels"))
+        if not split.filter("large").isEmpty():
+            labels = labels.union(_join_large(split.filter("large").drop("large"), share))
     return digests.select("doc_id", "mark", "n_shingles", "name"), labels
 
 
