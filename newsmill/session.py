@@ -66,6 +66,12 @@ def _delete(spark, path):
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def forget(spark):
+    """Let the JVM find DataFrames that nothing refers to, which is when their shuffle files go."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 _PASSING = ContextVar("passing", default=())
 
 
@@ -74,8 +80,7 @@ def passing(spark):
     """Tables stored inside are removed at the end; those stored with ``last`` belong to the scope
     around it, and stay where there is none.
 
-    Shuffle files go when the JVM has forgotten the DataFrames they belong to, so it is asked to
-    look; keep no other DataFrame of the inside.
+    Keep no other DataFrame of the inside: its shuffle files stay as long as it does.
     """
     paths = []
     token = _PASSING.set((*_PASSING.get(), paths))
@@ -85,8 +90,7 @@ def passing(spark):
         _PASSING.reset(token)
         for path in paths:
             _delete(spark, path)
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        forget(spark)
 
 
 def stored(df, name, last=False):
