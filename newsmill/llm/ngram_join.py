@@ -24,7 +24,7 @@ from newsmill.llm.bloom import build, may_hold
 from newsmill.llm.components import components
 from newsmill.llm.quality import MIX, Hasher, Texts
 from newsmill.llm.token_counts import chunks
-from newsmill.session import passing, stored
+from newsmill.session import forget, passing, stored
 
 WORDS = 4  # of a shingle, unless a caller asks for others
 SHARE = 85  # linked from this percentage of common shingles; above 100 / CLASS
@@ -414,12 +414,17 @@ def _split_large(sets: DataFrame, share: int) -> DataFrame:
         _finer, "group long, name binary, n long, point binary")
     dealt = points.groupBy("group").applyInArrow(
         _deal_out(share), "name binary, label binary").withColumnRenamed("label", "of")
-    named = sets.join(dealt, "name", "left").withColumn("group", F.coalesce(
-        F.xxhash64("of"), "group")).select("name", "group", F.octet_length("found").alias("size"))
+    named = sets.select("name", "group", F.octet_length("found").alias("size")).join(
+        dealt, "name", "left").withColumn("group", F.coalesce(F.xxhash64("of"), "group"))
     sizes = named.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
     placed = named.join(sizes, "group").select(
         "name", "group", *_parts(F.col("n"), F.col("bytes")))
-    return sets.select("name", "found").join(stored(placed, "split"), "name")
+    return sets.select("name", "found").join(_small(stored(placed, "split")), "name")
+
+
+def _small(narrow: DataFrame) -> DataFrame:
+    """A stored table of a few numbers a row, to be broadcast where it is known to be small."""
+    return F.broadcast(narrow) if narrow.count() <= BROADCAST_ROWS else narrow
 
 
 def _parts(n, size) -> list:
@@ -470,17 +475,22 @@ def _join_large(sets: DataFrame, share: int) -> DataFrame:
         done = stored(done.union(pivots.select("name")), "done")
 
 
+def _shared_lists(rows: DataFrame, words: int, share: int) -> np.ndarray:
+    """Bloom filter of the lists that more than one set is on."""
+    listed = rows.mapInArrow(_listed(words, share), "node long, lists array<long>").select(
+        "node", F.explode("lists").alias("sig"))
+    return build(listed.groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter(
+        "a < b").select("sig"))
+
+
 def _joined(docs: DataFrame, words: int, share: int) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, mark, n_shingles, name), and rows (name, label) of linked sets."""
     text = F.coalesce(F.col("text"), F.lit(""))
     doc = F.col("doc_id").cast("long").alias("doc_id")
     rows = docs.select(F.struct(doc, F.xxhash64("text").alias("mark")).alias("key"),
                        F.octet_length(text).cast("long").alias("size"), text.alias("text"))
-    listed = rows.mapInArrow(_listed(words, share), "node long, lists array<long>").select(
-        "node", F.explode("lists").alias("sig"))
-    shared = listed.groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter(
-        "a < b").select("sig")
-    passed = docs.sparkSession.sparkContext.broadcast(build(shared))  # of fixed size
+    passed = docs.sparkSession.sparkContext.broadcast(_shared_lists(rows, words, share))  # of fixed size
+    forget(docs.sparkSession)  # the listings that were shuffled for it
     digests = stored(rows.mapInArrow(_digests(passed, words, share), DIGEST).withColumn(
         "at", F.monotonically_increasing_id()), "digests")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -497,8 +507,7 @@ def _joined(docs: DataFrame, words: int, share: int) -> tuple[DataFrame, DataFra
     placed = stored(once.join(sizes, "group").select(
         "at", "group", *_parts(F.col("n"), F.col("bytes"))), "placed")
     # where the narrow side is known to be small, sets are moved to their group only
-    narrow = F.broadcast(placed) if placed.count() <= BROADCAST_ROWS else placed
-    sets = found.select("at", "name", "found").join(narrow, "at").drop("at")
+    sets = found.select("at", "name", "found").join(_small(placed), "at").drop("at")
     joined = sets.filter("not large").groupBy("group").applyInArrow(
         _join_group(share), "name binary, label binary")
     labels = stored(joined, "labels")
@@ -555,8 +564,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = WORDS, share: int = SHARE
         aside = stored(_set_aside(docs, words, share), "set_aside", last=True)
     tail = "_" * max(map(len, docs.columns))  # names that the documents cannot have
     known = aside.select(*[F.col(c).alias(c + tail) for c in ("doc_id", "mark", "stays")])
-    narrow = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
-    mark = "of" + tail
+    narrow, mark = _small(known), "of" + tail
     rows = docs.withColumn(mark, F.xxhash64("text"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("doc_id" + tail)) & (
         F.col(mark) == F.col("mark" + tail))
