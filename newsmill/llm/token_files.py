@@ -12,6 +12,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,9 +24,9 @@ from newsmill.session import stored
 
 IDS_PER_ROW = 2048
 ROWS_PER_FILE = 50_000
-CACHED = 400_000  # pieces whose ids a worker holds
+CACHED = 600_000  # pieces whose ids a worker holds
 TOGETHER = 2000  # pieces encoded at once
-TEXT_BYTES = 1 << 20
+TEXT_BYTES = 8 << 20
 END = 0
 SCHEMA = "doc_id long, part int, nth long, block int, ids array<int>"
 ORC = {"compression": "zstd", "orc.create.index": "true", "orc.row.index.stride": "1000",
@@ -35,11 +36,53 @@ WIDE = re.compile(r"\s ")
 EDGE = re.compile(r"(?<=\S)(?= )")
 
 
+class Pieces:
+    """Ids of pieces that have been seen, one after the other, and where those of each are.
+
+    ``lead`` stands in front of every piece. At most ``CACHED`` pieces are held; when more come,
+    half of that stays, those that most chunks of texts have used.
+    """
+
+    def __init__(self, lead: str):
+        self.lead = lead
+        self.known: dict[str, int] = {}
+        self.starts, self.sizes, self.used = (np.zeros(0, dtype=np.int64) for _ in range(3))
+        self.ids = np.zeros(0, dtype=np.uint32)
+
+    def make_room(self, more: int) -> None:
+        """Forget pieces so that ``more`` can come; all of them if need be."""
+        keep = min(CACHED // 2, max(0, CACHED - more))
+        names = list(self.known)
+        places = np.argsort(-self.used, kind="stable")[:keep]
+        self.ids, self.sizes = self.gather(places)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.used = self.used[places] // 2
+        self.known = dict(zip([names[i] for i in places.tolist()], range(len(places))))
+
+    def add(self, pieces: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        n = len(self.known)
+        self.known.update(zip(pieces, range(n, n + len(pieces))))
+        self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(sizes) - sizes))
+        self.sizes = np.concatenate((self.sizes, sizes))
+        self.used = np.concatenate((self.used, np.zeros(len(pieces), dtype=np.int64)))
+        self.ids = np.concatenate((self.ids, ids))
+
+    def gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces at these places, and how many each has."""
+        sizes = self.sizes[places]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        at = np.repeat(self.starts[places] - (ends - sizes), sizes) + np.arange(total)
+        return self.ids[at], sizes
+
+
 class Encoder:
     """Ids of whole texts, from ids of the pieces between single spaces, kept once seen.
 
     A byte-level tokenizer never merges across a space that follows another character: a text may
-    be cut in front of every space whose left neighbour is no white space.
+    be cut in front of every space whose left neighbour is no white space. The pieces of many texts
+    are numbered together, the distinct ones among them are looked up, and ids are gathered by
+    number, so that no step of Python is taken for a piece that has occurred before.
     """
 
     def __init__(self, vocabulary: bytes):
@@ -48,69 +91,86 @@ class Encoder:
         names = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(names.values()) + 1, dtype=bool)  # ids that begin with a space
         self.spaced[[i for name, i in names.items() if name.startswith("\u0120")]] = True
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.first, self.later = Pieces(""), Pieces(" ")
 
     def ids(self, text: str) -> np.ndarray:
         one = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
         return np.array(one.ids, dtype=np.uint32)
 
-    def fill(self, known: dict[str, bytes], lead: str, needed: set[str]) -> None:
-        """Ids of pieces not yet known. Pieces after a space are encoded together, and told apart
-        by the ids that begin with one, which only their first ids do."""
-        missing = needed - known.keys()
-        if len(known) + len(missing) > CACHED:
-            known.clear()
-            missing = needed
-        alone = [p for p in missing if not lead and (p[:1] != " " or p[1:2].isspace() or p == " ")]
-        missing = list(missing.difference(alone, ("",)))
-        for i in range(0, len(missing), TOGETHER):
-            part = missing[i:i + TOGETHER]
-            ids = self.ids(lead + lead.join(part))
-            first = np.flatnonzero(self.spaced[ids])
+    def fill(self, store: Pieces, needed: list[str]) -> None:
+        """Ids of distinct pieces, of which some may be known. Pieces after a space are encoded
+        together, and told apart by the ids that begin with one, which only their first ids do."""
+        lead, missing = store.lead, [p for p in needed if p not in store.known]
+        if len(store.known) + len(missing) > CACHED:
+            store.make_room(len(needed))
+            missing = [p for p in needed if p not in store.known]
+        alone = [p for p in missing if not p or (not lead and (p[:1] != " " or p[1:2].isspace() or p == " "))]
+        apart = set(alone)
+        together = [p for p in missing if p not in apart] if apart else missing
+        names, sizes, ids = [], [], []
+        for i in range(0, len(together), TOGETHER):
+            part = together[i:i + TOGETHER]
+            found = self.ids(lead + lead.join(part))
+            first = np.flatnonzero(self.spaced[found])
             if len(first) == len(part):
-                raw, ends = ids.tobytes(), (first * 4).tolist()
-                ends.append(len(raw))
-                known.update(zip(part, [raw[a:b] for a, b in zip(ends, ends[1:])]))
+                names += part
+                sizes.append(np.diff(first, append=len(found)))
+                ids.append(found)
             else:
                 alone += part
         for piece in alone:
-            known[piece] = self.ids(lead + piece).tobytes()
-        if "" in needed:
-            known[""] = self.ids(lead).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        heads, rests = [], []
-        for text in texts:
-            if WIDE.search(text):
-                heads.append(EDGE.split(text))
-                rests.append([])
-            else:
-                pieces = text.split(" ")
-                heads.append(pieces[:1])
-                rests.append(pieces[1:])
-        self.fill(self.first, "", set().union(*heads))
-        self.fill(self.later, " ", set().union(*rests))
-        first, later = self.first.__getitem__, self.later.__getitem__
-        return [b"".join([*map(first, head), *map(later, rest)]) for head, rest in zip(heads, rests)]
+            found = self.ids(lead + piece)
+            names.append(piece)
+            sizes.append(np.array([len(found)]))
+            ids.append(found)
+        if names:
+            store.add(names, np.concatenate(sizes), np.concatenate(ids))
+
+    def pieces(self, store: Pieces, found: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all these pieces in a row, and how many each has."""
+        coded = found.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        self.fill(store, names)
+        places = np.fromiter(map(store.known.__getitem__, names), np.int64, len(names))
+        store.used[places] += 1
+        return store.gather(places[coded.indices.to_numpy()])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        out = [None] * len(texts)
+        wide = [i for i, t in enumerate(texts) if WIDE.search(t)]
+        plain = sorted(set(range(len(texts))).difference(wide))
+        if plain:
+            split = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
+            ends, words = split.offsets.to_numpy().astype(np.int64), split.values
+            begin = np.zeros(len(words), dtype=bool)
+            begin[ends[:-1]] = True
+            heads, n_heads = self.pieces(self.first, words.filter(pa.array(begin)))
+            rests, n_rests = self.pieces(self.later, words.filter(pa.array(~begin)))
+            head_ends, rest_ends = np.cumsum(n_heads), np.concatenate(([0], np.cumsum(n_rests)))
+            for k, i in enumerate(plain):
+                # words before this text, less the first ones of the texts up to it
+                a, b = rest_ends[ends[k] - k], rest_ends[ends[k + 1] - k - 1]
+                out[i] = np.concatenate((heads[head_ends[k] - n_heads[k]:head_ends[k]], rests[a:b]))
+        for i in wide:
+            out[i] = self.pieces(self.first, pa.array(EDGE.split(texts[i]), pa.large_string()))[0]
+        return out
 
 
 def _in_rows(docs: list, part: int, first: int):
-    """A record batch of documents given as (id, bytes of ids)."""
-    step = IDS_PER_ROW * 4
-    rows = [-(-len(ids) // step) for _, ids in docs]
-    ends = [min(len(ids), i + step) for _, ids in docs for i in range(0, len(ids), step)]
-    starts = [i for _, ids in docs for i in range(0, len(ids), step)]
-    data = b"".join(ids for _, ids in docs)
-    offsets = np.concatenate(([0], np.cumsum((np.array(ends) - np.array(starts)) // 4)))
-    ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()),
-                                   pa.array(np.frombuffer(data, np.int32)))
-    nth = np.repeat(np.arange(first, first + len(docs)), rows)
+    """A record batch of documents given as (id, token ids)."""
+    sizes = np.array([len(ids) for _, ids in docs], dtype=np.int64)
+    rows = -(-sizes // IDS_PER_ROW)
+    nth = np.repeat(np.arange(len(docs)), rows)
+    block = np.arange(len(nth)) - np.repeat(np.cumsum(rows) - rows, rows)
+    length = np.minimum(IDS_PER_ROW, sizes[nth] - block * IDS_PER_ROW)
+    offsets = np.concatenate(([0], np.cumsum(length)))
+    ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(
+        np.concatenate([ids for _, ids in docs]).view(np.int32)))
+    keys = pa.array([doc for doc, _ in docs], pa.int64())
     return pa.record_batch([
-        pa.array([doc for (doc, _), n in zip(docs, rows) for _ in range(n)], pa.int64()),
-        pa.array(np.full(len(nth), part), pa.int32()), pa.array(nth, pa.int64()),
-        pa.array(np.array(starts) // step, pa.int32()), ids],
+        keys.take(pa.array(nth)), pa.array(np.full(len(nth), part), pa.int32()),
+        pa.array(nth + first, pa.int64()), pa.array(block, pa.int32()), ids],
         ["doc_id", "part", "nth", "block", "ids"])
 
 
@@ -122,10 +182,10 @@ def encode_rows(docs: DataFrame, vocabulary: bytes) -> DataFrame:
     def encode(batches):
         part, done = TaskContext.get().partitionId(), 0
         encoder = kept(("encoder", name), lambda: Encoder(shared.value))
-        end = np.array([END], dtype=np.uint32).tobytes()
+        end = np.array([END], dtype=np.uint32)
         for batch in batches:
             for some in slices(batch, 1, TEXT_BYTES):
-                ids = [x + end for x in encoder.encode(some.column(2).to_pylist())]
+                ids = [np.concatenate((x, end)) for x in encoder.encode(some.column(2).to_pylist())]
                 held = list(zip(some.column(0).to_pylist(), ids))
                 yield _in_rows(held, part, done)
                 done += len(held)

@@ -5,6 +5,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from cases import SCHEMA, odd, table
+from newsmill.llm import token_files
 from newsmill.llm.queries import vocabulary
 from newsmill.llm.token_counts import count_tokens
 from newsmill.llm.token_files import digest, joined_crc, read_ids, write_ids
@@ -58,6 +59,50 @@ def test_lookups_skip_by_metadata(spark, found):
     assert "PushedFilters: [In(doc_id, [7])]" in plan or "EqualTo(doc_id,7)" in plan
 
 
+def test_few_pieces_held_give_the_same_ids(found, monkeypatch):
+    monkeypatch.setattr(token_files, "CACHED", 40)
+    monkeypatch.setattr(token_files, "TOGETHER", 7)
+    encoder, texts = token_files.Encoder(vocabulary("byte_bpe_50k.json")), [r[1] or "" for r in found]
+    want = [ids for _, _, ids in library("byte_bpe_50k.json", found)]
+    for size in (1, 13, 200):
+        got = [x for i in range(0, len(texts), size) for x in encoder.encode(texts[i:i + size])]
+        assert [x.tolist() for x in got] == want
+
+
+def test_files_have_bloom_filters_and_skip_row_groups(spark):
+    docs = spark.range(30_000).selectExpr("id * 2 as doc_id", "concat('text ', id) as text")
+    path = scratch(spark, "ids")
+    write_ids(docs, vocabulary("byte_bpe_50k.json"), path)
+    orc, hadoop = spark._jvm.org.apache.orc, spark._jvm.org.apache.hadoop
+    files = hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(
+        hadoop.fs.Path(path + "/*.orc"))
+    for file in files:
+        reader = orc.OrcFile.createReader(file.getPath(), orc.OrcFile.readerOptions(spark._jsc.hadoopConfiguration()))
+        rows = reader.rows()
+        for stripe in reader.getStripes():
+            kinds = [(s.getKind().toString(), s.getColumn()) for s in rows.readStripeFooter(stripe).getStreamsList()]
+            assert ("BLOOM_FILTER_UTF8", 1) in kinds and ("ROW_INDEX", 1) in kinds
+        rows.close()
+
+    def read(doc_id):
+        """Rows that come out of the scan, before they are filtered."""
+        df = read_ids(spark, path, [doc_id])
+        found = df.collect()
+        nodes, scans = [df._jdf.queryExecution().executedPlan()], []
+        while nodes:
+            node = nodes.pop()
+            if node.nodeName().startswith("Scan"):
+                scans.append(node.metrics().apply("numOutputRows").value())
+            children = node.children()
+            nodes += [children.apply(i) for i in range(children.size())]
+        return len(found), sum(scans)
+
+    some, scanned = read(20_000)
+    assert some == 1 and 0 < scanned <= 2000  # a group of 1000 rows, or two
+    none, scanned = read(20_001)  # between the ids of a group: only the Bloom filter can tell
+    assert none == 0 and scanned == 0
+
+
 def test_checksums_of_parts_join():
     data = bytes(range(256)) * 9
     for cut in (0, 1, 5, 700, len(data)):
