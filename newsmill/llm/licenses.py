@@ -6,7 +6,7 @@ with only a few other sentences between. Where a sentence names a holder, any na
 """
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -311,11 +311,13 @@ def sentences(text: str, table: dict[str, str]) -> list[Found]:
                 key = table.get(words) or table.get(with_known_holder(words))
                 if key:
                     found.append(Found(start, end, key))
-    for one in found:  # the wider reading came first
-        if not any(k.start < one.end and one.start < k.end for k in kept):
-            kept.append(one)
+    for one in found:  # the wider reading came first; those kept don't overlap and are in order
+        place = bisect_left(kept, one)
+        if (place == 0 or kept[place - 1].end <= one.start) and (
+                place == len(kept) or one.end <= kept[place].start):
+            kept.insert(place, one)
     starts, at, nth, numbered = [p[0] for p in whole], 0, 0, []
-    for one in sorted(kept):
+    for one in kept:
         nth += 1 + _others(text, whole, starts, at, one.start)
         numbered.append(one._replace(nth=nth))
         at = one.end
@@ -323,28 +325,27 @@ def sentences(text: str, table: dict[str, str]) -> list[Found]:
 
 
 def licences(found: list[Found]) -> list[Found]:
-    """Rules that match: their sentences in order, at most ``GAP`` others between two of them."""
-    free, matched = list(range(len(found))), []
+    """Rules that match: their sentences in order, at most ``GAP`` others between two of them.
+
+    A rule takes one pass: what follows a sentence is looked for among those close to it only.
+    """
+    used, matched = [False] * len(found), []
     for name, keys in RULES:
-        begin = 0
-        while begin < len(free):
-            if found[free[begin]].key != keys[0]:
-                begin += 1
+        for begin, one in enumerate(found):
+            if used[begin] or one.key != keys[0]:
                 continue
-            taken, at = [begin], begin
+            taken = [begin]
             for key in keys[1:]:
-                last = found[free[at]].nth + 1 + GAP
-                at = next((i for i in range(at + 1, len(free)) if found[free[i]].key == key
-                           or found[free[i]].nth > last), None)
-                if at is None or found[free[at]].nth > last:
-                    at = None
+                at, last = taken[-1] + 1, found[taken[-1]].nth + 1 + GAP
+                while at < len(found) and found[at].nth <= last and (used[at] or found[at].key != key):
+                    at += 1
+                if at == len(found) or found[at].nth > last:
                     break
                 taken.append(at)
-            if at is None:
-                begin += 1
-                continue
-            matched.append(Found(found[free[taken[0]]].start, found[free[taken[-1]]].end, name))
-            free = [x for i, x in enumerate(free) if i not in taken]
+            if len(taken) == len(keys):
+                matched.append(Found(found[begin].start, found[taken[-1]].end, name))
+                for i in taken:
+                    used[i] = True
     return sorted(matched)
 
 

@@ -1,7 +1,10 @@
+import random
 import textwrap
+import time
 
 from cases import SCHEMA, odd, rows, table
-from newsmill.llm.licenses import MARKS, RULES, SENTENCES, _table, licences, scan_licences, sentences
+from newsmill.llm.licenses import (
+    GAP, MARKS, RULES, SENTENCES, Found, _table, licences, scan_licences, sentences)
 
 TABLE = _table()
 
@@ -75,3 +78,70 @@ def test_rows(spark):
     assert {r.doc_id: (r.n_sentences, r.licenses, r.spans) for r in got if r.n_sentences} == {
         50: (1, "MIT", "MIT:3:34"), 51: (1, "CC-BY-NC-4.0", "CC-BY-NC-4.0:0:28")}
     assert scan_licences(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def plainly(found):
+    """Rules over the list of sentences that are still free, which is made anew after every match."""
+    free, matched = list(range(len(found))), []
+    for name, keys in RULES:
+        again = True
+        while again:
+            again = False
+            for i in range(len(free)):
+                taken, at = [], i
+                for key in keys:
+                    if not taken:
+                        hits = [i] if found[free[i]].key == key else []
+                    else:
+                        last = found[free[taken[-1]]].nth + 1 + GAP
+                        hits = [j for j in range(taken[-1] + 1, len(free))
+                                if found[free[j]].nth <= last and found[free[j]].key == key]
+                    if not hits:
+                        break
+                    taken.append(hits[0])
+                if len(taken) == len(keys):
+                    matched.append((found[free[taken[0]]].start, found[free[taken[-1]]].end, name))
+                    free = [x for j, x in enumerate(free) if j not in taken]
+                    again = True
+                    break
+    return sorted(matched)
+
+
+def test_rules_against_brute_force():
+    rng = random.Random(6)
+    used = sorted({k for _, keys in RULES for k in keys})
+    for _ in range(400):
+        keys = rng.choice(RULES)[1] + rng.choice(RULES)[1] + tuple(rng.choice(used) for _ in range(rng.randrange(6)))
+        keys = [k for k in keys if rng.random() < 0.9]
+        if rng.random() < 0.3:
+            rng.shuffle(keys)
+        nth, found = 0, []
+        for i, key in enumerate(keys):
+            nth += rng.choice((1, 1, 1, 2, 3, 7))
+            found.append(Found(10 * i, 10 * i + 9, key, nth))
+        assert [(f.start, f.end, f.key) for f in licences(found)] == plainly(found)
+
+
+def test_sentences_against_brute_force():
+    """Every known sentence of a text made of known ones and others, with its place."""
+    rng = random.Random(7)
+    listed = [(key, s) for key, some in SENTENCES.items() for s in some]
+    for _ in range(60):
+        parts = [rng.choice(listed) if rng.random() < 0.6 else (None, "Some words that say nothing at all.")
+                 for _ in range(rng.randrange(12))]
+        text, want = "", []
+        for key, part in parts:
+            if key:
+                want.append((len(text), key))
+            text += part + rng.choice(("\n\n", "\n \n", "\n\n\n"))
+        got = [(f.start, f.key) for f in sentences(text, TABLE)]
+        assert [k for _, k in got] == [k for _, k in want]
+        assert all(a <= b for (a, _), (b, _) in zip(want, got))
+
+
+def test_very_many_licences_in_one_text(spark):
+    notice = f"{SENTENCES['mit-grant'][0]}\n\n{SENTENCES['mit-notice'][0]}\n\n"
+    began = time.perf_counter()
+    row = scan_licences(table(spark, rows([notice * 20_000]))).first()
+    assert row.n_sentences == 40_000 and row.spans.count("MIT:") == 20_000
+    assert time.perf_counter() - began < 60
