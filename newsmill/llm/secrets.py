@@ -21,6 +21,7 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
 MIN_VALUE = 6
+BLOCK = 128  # matches that are placed together
 
 SYMBOLS = "abcdefghijklmnopqrstuvwxyz"
 DIGITS = "0123456789"
@@ -39,29 +40,52 @@ FALSE_SHARE = 0.01
 FINEST = 90  # smallest chance told apart, in tenths of powers of ten
 
 
+def _once(value: Column, use) -> Column:
+    """``use`` applied to a value that is computed one time only."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def places(text: Column, pattern: str, group: int = 0) -> Column:
     """Matches from left to right: start and end in characters, and the value of ``group``.
 
-    What lies between the matches tells where they start.
+    What lies between the matches tells where they start. Matches are placed ``BLOCK`` by
+    ``BLOCK`` from the start of their block, and blocks after each other, so that no fold drags a
+    long array along: the work grows with the matches, however many a text has.
     """
-    lists = F.struct(F.split(text, pattern, -1).alias("gaps"),
-                     F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("all"),
-                     F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("values"))
     span = "struct<start:int,end:int,value:string>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("found"),
-                     lists.alias("m"))
+    none = F.array().cast(f"array<{span}>")
+
+    def block(m, number):
+        def step(done, i):
+            begin = done["at"] + F.length(F.get(m["gaps"], i))
+            end = begin + F.length(F.get(m["all"], i))
+            one = F.struct(begin.alias("start"), end.alias("end"), F.get(m["values"], i).alias("value"))
+            return F.struct(end.alias("at"), F.array_append(done["found"], one).alias("found"))
+
+        first = number * BLOCK
+        last = F.least(first + BLOCK, F.size(m["all"])) - 1
+        return F.aggregate(F.sequence(first, last), F.struct(
+            F.lit(0).alias("at"), none.alias("found")), step)
 
-    def step(done, i):
-        begin = done["at"] + F.length(F.get(done["m"]["gaps"], i))
-        end = begin + F.length(F.get(done["m"]["all"], i))
-        one = F.struct(begin.alias("start"), end.alias("end"),
-                       F.get(done["m"]["values"], i).alias("value"))
-        return F.struct(end.alias("at"), F.array_append(done["found"], one).alias("found"),
-                        done["m"].alias("m"))
+    def follow(done, made):
+        return F.struct((done["at"] + made["at"]).alias("at"),
+                        F.array_append(done["starts"], done["at"]).alias("starts"))
 
-    n = F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    found = F.aggregate(F.sequence(F.lit(0), n - 1), start, step, lambda done: done["found"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<{span}>"))
+    def shifted(blocks):
+        starts = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast(
+            "array<int>").alias("starts")), follow, lambda done: done["starts"])
+        return F.flatten(F.zip_with(blocks, starts, lambda made, at: F.transform(
+            made["found"], lambda s: F.struct(
+                (s["start"] + at).alias("start"), (s["end"] + at).alias("end"), s["value"].alias("value")))))
+
+    def found(m):
+        numbers = F.sequence(F.lit(0), F.floor((F.size(m["all"]) - 1) / BLOCK).cast("int"))
+        return _once(F.transform(numbers, lambda number: block(m, number)), shifted)
+
+    matches = F.struct(F.split(text, pattern, -1).alias("gaps"),
+                       F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("all"),
+                       F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("values"))
+    return F.when(text.rlike(pattern), _once(matches, found)).otherwise(none)
 
 
 def known(text: Column) -> Column:
@@ -84,11 +108,6 @@ def _phi(z: Column) -> Column:
     return F.when(z > 0, 1 - tail).otherwise(tail)
 
 
-def _once(value: Column, use) -> Column:
-    """``use`` applied to a value that is computed one time only."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def _encoding(candidate: Column) -> Column:
     """What is known of the first encoding that fits; null if none does."""
     found = F.lit(None)

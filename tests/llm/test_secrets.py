@@ -1,6 +1,7 @@
 import random
 import re
 import string
+import time
 
 from cases import SCHEMA, odd, rows, table
 from newsmill.llm.secrets import find_secrets, written
@@ -49,6 +50,21 @@ def test_random_strings_are_found_and_words_are_not(spark):
     assert hit >= 190 and false == 0
 
 
+def test_very_many_matches_in_one_text(spark):
+    text = "".join(f"token={i:06d}x é " for i in range(100_000))
+    began = time.perf_counter()
+    row = find_secrets(table(spark, rows([text]))).first()
+    assert [tuple(s) for s in row.base] == known(text) and len(row.base) == 100_000
+    assert time.perf_counter() - began < 60
+
+
+def test_matches_at_the_ends_of_blocks(spark):
+    found = rows(["token=abcdef " * n + "end" for n in (1, 127, 128, 129, 256, 257)])
+    texts = {i: t for i, t, *_ in found}
+    for r in find_secrets(table(spark, found)).collect():
+        assert [tuple(s) for s in r.base] == known(texts[r.doc_id])
+
+
 def test_odd_rows_and_empty_table(spark):
     got = find_secrets(table(spark, odd())).select("doc_id", written("base").alias("w")).collect()
     assert len(got) == len(odd()) and all(r.w == "" for r in got)
