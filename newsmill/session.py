@@ -67,7 +67,10 @@ def _delete(spark, path):
 
 
 def forget(spark):
-    """Let the JVM find DataFrames that nothing refers to, which is when their shuffle files go."""
+    """Let the JVM find DataFrames that nothing refers to, which is when their shuffle files go.
+
+    What reports on a job may hold it for a moment after it has ended, so call this some work later.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
