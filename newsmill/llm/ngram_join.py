@@ -490,14 +490,15 @@ def _joined(docs: DataFrame, words: int, share: int) -> tuple[DataFrame, DataFra
     rows = docs.select(F.struct(doc, F.xxhash64("text").alias("mark")).alias("key"),
                        F.octet_length(text).cast("long").alias("size"), text.alias("text"))
     passed = docs.sparkSession.sparkContext.broadcast(_shared_lists(rows, words, share))  # of fixed size
-    forget(docs.sparkSession)  # the listings that were shuffled for it
     digests = stored(rows.mapInArrow(_digests(passed, words, share), DIGEST).withColumn(
         "at", F.monotonically_increasing_id()), "digests")
+    forget(docs.sparkSession)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     meetings = digests.select(F.explode("lists").alias("sig"), "node", "n_shingles", "point")
     edges = meetings.repartition(parts, "sig").sortWithinPartitions("sig").mapInArrow(
         _meetings(share), "a long, b long")
     groups = components(edges).withColumnRenamed("label", "group")
+    forget(docs.sparkSession)
     # tasks and what they forget make rows with the same set; the first of them stands for all
     found = digests.filter("found is not null")
     once = found.groupBy("name").agg(F.min("at").alias("at"), F.first("node").alias("node"),
