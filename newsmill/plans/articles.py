@@ -3,6 +3,13 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SMALL_BYTES = 64 << 20  # a larger file has splits enough
+
+
+def scanned_bytes(df: DataFrame) -> int:
+    """Size of the files under a table, as the optimizer knows it; no job, and no row is made."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
 
 def spread(df: DataFrame) -> DataFrame:
     """Redistribute rows of a table that comes in fewer splits than there are cores.
@@ -11,7 +18,7 @@ def spread(df: DataFrame) -> DataFrame:
     left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if scanned_bytes(df) >= SMALL_BYTES else df.repartition(cores)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:

@@ -127,7 +127,22 @@ def first_rows(df: DataFrame, n: int, split: str | None = None, values=None) ->
     return ranked.withColumn("_n", place).filter(F.col("_n") <= n).drop("_f", "_r", "_n")
 
 
+def first_row_of_each(df: DataFrame, split: str) -> DataFrame:
+    """The first row in file order of every value of ``split``.
+
+    One aggregation over the split column alone finds where these rows are, one row for each
+    value; they are then read at their places, from their own files.
+    """
+    path, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    firsts = df.groupBy(split).agg(F.min(F.struct(path.alias("file"), row.alias("row"))).alias("at")).collect()
+    if not firsts:
+        return df.limit(0)
+    return df.filter(reduce(lambda a, b: a | b, [
+        (path == f["at"]["file"]) & (row == f["at"]["row"]) for f in firsts]))
+
+
 def first_row_complete(df: DataFrame, columns, split: str, values=None) -> DataFrame:
     """Per split: does the first row hold a value in every expected column?"""
     full = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
-    return first_rows(df, 1, split, values).select(split, full.alias("complete"))
+    rows = first_row_of_each(df, split) if values is None else first_rows(df, 1, split, values)
+    return rows.select(split, full.alias("complete"))

@@ -136,11 +136,13 @@ def enrich(page_rows: DataFrame, keep=("page_id",), summariser=None, scorer=None
 
 
 def enrich_pages(stream: DataFrame, out: str, **options):
-    """Good and bad rows land in separate folders of one write, so pages are parsed once."""
-    def apply(batch: DataFrame, number: int) -> None:
-        (enrich(batch, **options).write.mode("overwrite").partitionBy("outcome")
-         .parquet(f"{out}/batch={number}"))
-    return stream.writeStream.foreachBatch(apply)
+    """Good and bad rows land in separate folders of one write, so pages are parsed once.
+
+    The rows of a batch need no other, so the plan is made once and serves every batch; the sink's
+    log has the files of each batch once, however often it is tried.
+    """
+    rows = enrich(stream, **options)
+    return rows.writeStream.format("parquet").partitionBy("outcome").option("path", out)
 
 
 def stage_totals(stream: DataFrame) -> DataFrame:
