@@ -4,11 +4,13 @@ Rows need an ``order_by`` column that is unique and fixed by the data (a number,
 row index), so that the same row survives whatever the partitioning or the retries.
 """
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsmill.functions.text import keeps_corpus_text, strip_emoji
-from newsmill.session import stored
+from newsmill.session import scratch, stored
 
 MIN_ARTICLE = 50
 DROPPED_BYTES = 32 << 20  # most row keys that are broadcast
@@ -134,6 +136,29 @@ def clean_articles_stored(df: DataFrame, order_by: str, within=(),
     return remove_emoji(left, emoji)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """Store rows in ``buckets`` by ``key`` in the shared folder, and read them back.
+
+    Tables stored so by the same key and number join on it where they are read.
+    """
+    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    (df.repartition(buckets, key).write.option("path", scratch(spark, name))
+     .bucketBy(buckets, key).sortBy(key).saveAsTable(table))
+    return spark.table(table)
+
+
+def clean_articles_bucketed(df: DataFrame, order_by: str, buckets: int, within=(),
+                            emoji: str = "corpus") -> DataFrame:
+    """The same result over a table that ``bucketed`` has stored by ``order_by`` in ``buckets``.
+
+    The survivors, which are narrow, are stored in the same buckets, so no text is moved. Cleaning
+    such a table anew, with other splits or another emoji class, moves none either.
+    """
+    kept = survivors(clean_keys(df, order_by, within, emoji), order_by, within)
+    kept = bucketed(kept, order_by, buckets, "survivors")
+    return remove_emoji(keep_rows(_with_text(df, emoji), kept.hint("merge"), order_by), emoji)
+
+
 def clean_articles_wide(df: DataFrame, order_by: str, within=()) -> DataFrame:
     """The same result as a chain of single steps; kept to measure the narrow form against."""
     steps = df.transform(remove_emoji).transform(drop_missing)

@@ -11,6 +11,8 @@ from newsmill.sources import corpus, results
 
 EMOJI = "😀日🤖☀️"  # the given texts hold none, so the emoji queries append some
 
+BUCKETS = 16
+
 
 @query(f"WITH {sql.ARTICLES}, {sql.cleaned()} SELECT doc_id, id, article, highlights, split FROM cleaned")
 def clean_articles(spark, sf_dir):
@@ -43,6 +45,13 @@ def clean_articles_in_stages(spark, sf_dir):
     return clean.clean_articles_stored(articles(spark, sf_dir), "doc_id")
 
 
+@query(f"WITH {sql.ARTICLES}, {sql.cleaned()} SELECT doc_id, id, article, highlights, split FROM cleaned")
+def clean_articles_bucketed(spark, sf_dir):
+    """Articles stored in buckets by row key; the survivors come to them without moving a text."""
+    stored_rows = clean.bucketed(articles(spark, sf_dir), "doc_id", BUCKETS, "articles")
+    return clean.clean_articles_bucketed(stored_rows, "doc_id", BUCKETS)
+
+
 @query(f"""SELECT doc_id, {sql.corpus_emoji(f"text || '{EMOJI}'")} AS article,
        {sql.corpus_emoji(f"'{EMOJI}' || lang")} AS highlights FROM documents""")
 def remove_corpus_emoji(spark, sf_dir):

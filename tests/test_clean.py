@@ -23,8 +23,12 @@ def fetched(df, order_by):
     return clean.clean_articles_stored(df, order_by, max_broadcast_bytes=1)
 
 
+def in_buckets(df, order_by):
+    return clean.clean_articles_bucketed(clean.bucketed(df, order_by, 3, "rows"), order_by, 3)
+
+
 @pytest.mark.parametrize("cleaner", [
-    clean.clean_articles, clean.clean_articles_wide, clean.clean_articles_stored, fetched])
+    clean.clean_articles, clean.clean_articles_wide, clean.clean_articles_stored, fetched, in_buckets])
 def test_cleaner_keeps_the_expected_rows(rows, cleaner):
     kept = {r["n"]: r["article"] for r in cleaner(rows, "n").collect()}
     assert kept == {0: L, 4: M, 10: L5 + "🤖", 12: "T" * 60}
@@ -82,3 +86,11 @@ def test_other_emoji_class(spark):
     for cleaner in (clean.clean_articles, clean.clean_articles_stored):
         kept = cleaner(df, "n", emoji="page").first()
         assert (kept["article"], kept["highlights"]) == ("日" * 60, "日本")
+
+
+def test_texts_in_buckets_are_not_moved(spark, rows):
+    table = clean.bucketed(rows, "n", 3, "rows")
+    made = clean.clean_articles_bucketed(table, "n", 3)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert sorted(made.collect()) == sorted(clean.clean_articles(rows, "n").collect())
