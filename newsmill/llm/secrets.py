@@ -151,7 +151,8 @@ def _uneven_runs(value: Column, n: Column, symbols: Column, size: Column) -> Col
         spread = (mean - 1) * (mean - 2) / (n - 1)
         return F.when(spread > 0, (1 + turns - mean) / F.sqrt(spread)).otherwise(9.0)
 
-    return _once(F.call_function("translate", value, symbols, marks), normal)
+    # one symbol, all padding after it, has no runs to tell of
+    return F.when(n > 1, _once(F.call_function("translate", value, symbols, marks), normal)).otherwise(9.0)
 
 
 def _correlated(value: Column, n: Column, symbols: Column) -> Column:
@@ -256,6 +257,12 @@ def find_secrets(docs: DataFrame, share: float = FALSE_SHARE) -> DataFrame:
         c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end"))).alias("random"))
 
 
+def count_kind(spans: Column, kind: int) -> Column:
+    """How many of the spans are of that kind."""
+    # a second parameter of the lambda, default or not, would be the index of the span
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def written(spans: Column) -> Column:
     """Spans as text: ``kind:start:end``, joined by commas."""
     names = F.array(*[F.lit(k) for k in KINDS])

@@ -1,10 +1,12 @@
+import hashlib
 import random
 import re
 import string
 import time
 
 from cases import SCHEMA, odd, rows, table
-from newsmill.llm.secrets import find_secrets, written
+from newsmill.llm.queries import op3_secret_scans
+from newsmill.llm.secrets import KINDS, find_secrets, written
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
                     r"([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
@@ -69,3 +71,26 @@ def test_odd_rows_and_empty_table(spark):
     got = find_secrets(table(spark, odd())).select("doc_id", written("base").alias("w")).collect()
     assert len(got) == len(odd()) and all(r.w == "" for r in got)
     assert find_secrets(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_query_columns_against_brute_force(spark, tmp_path):
+    """Counts are by kind, wherever a span stands in its text."""
+    access, hexes = "AKIA" + "ABCDEFGH12345678", "0123456789abcdef0123456789abcdef"
+    found = rows([access, hexes, f"{hexes} {access}", f"token=abcdef {access} {hexes} {hexes}",
+                  f"token=abcdef secret: 'abcdef' passwd=short password=x {access}", "none", "", None])
+    table(spark, found).write.parquet(f"{tmp_path}/documents.parquet")
+    got = op3_secret_scans(spark, str(tmp_path))
+    assert got.columns[:6] == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+    texts = {i: t for i, t, *_ in found}
+    for r in got.collect():
+        base = known(texts[r.doc_id])
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == kind for _, k, _ in base) for kind in range(3)]
+        line = ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in base)
+        assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest()
+
+
+def test_padding_after_one_symbol(spark):
+    found = rows(["x" + "=" * 30, "A" + "=" * 19 + " token=abcdef", "0" + "=" * 200])
+    texts = {i: t for i, t, *_ in found}
+    for r in find_secrets(table(spark, found)).collect():
+        assert [tuple(s) for s in r.base] == known(texts[r.doc_id]) and not r.random
