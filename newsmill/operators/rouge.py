@@ -11,8 +11,9 @@ from pyspark.sql import types as T
 
 from newsmill.functions import lcs
 from newsmill.functions.stem import remembering, stem
-from newsmill.functions.text import as_score
+from newsmill.functions.text import as_score, bind
 from newsmill.operators import bootstrap
+from newsmill.operators.pin import pin
 from newsmill.session import stored
 
 STEM_ABOVE = 3  # fixed value: shorter tokens are not stemmed
@@ -83,9 +84,9 @@ def scores(overlap: Column, n_prediction: Column, n_reference: Column, name: str
 def rouge_n(pairs: DataFrame, key: list[str], n: int, stemmed: bool = False) -> DataFrame:
     """Clipped n-gram overlap per pair; ``key`` must identify a pair.
 
-    Rows are placed by ``key`` once; Spark leaves that out where a join on it has just done so.
-    Both the (key, n-gram) counts and the per-pair sums are clustered by it already, so n-grams
-    are counted where they are made and never shuffled.
+    Rows are placed by ``key`` once, which spreads the pairs of a small file; Spark leaves that out
+    where a join on it has just done so. A pair's n-grams are counted in its own row: a task holds
+    those of one pair at a time, however many pairs it has.
     """
     rows = pairs.select(*key, "prediction", "reference")
     if stemmed:
@@ -94,15 +95,38 @@ def rouge_n(pairs: DataFrame, key: list[str], n: int, stemmed: bool = False) ->
         rows = tokenised(rows, stemmed).select(*key, *[
             F.array_join(s, " ").alias(name) for s, name in (("p", "prediction"), ("r", "reference"))])
     rows = tokenised(rows.repartition(*key))
-    sides = F.concat(
-        F.transform(ngrams(F.col("p"), n), lambda g: F.struct(g.alias("g"), F.lit(1).alias("a"), F.lit(0).alias("b"))),
-        F.transform(ngrams(F.col("r"), n), lambda g: F.struct(g.alias("g"), F.lit(0).alias("a"), F.lit(1).alias("b"))))
-    grams = rows.select(*key, F.explode_outer(sides).alias("x")).select(*key, "x.*")
-    counts = grams.groupBy(*key, "g").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    sums = counts.groupBy(*key).agg(
-        F.coalesce(F.sum(F.least("a", "b")), F.lit(0)).alias("overlap"),
-        F.coalesce(F.sum("a"), F.lit(0)).alias("n_p"), F.coalesce(F.sum("b"), F.lit(0)).alias("n_r"))
-    return sums.select(*key, *scores(F.col("overlap"), F.col("n_p"), F.col("n_r"), f"rouge{n}"))
+    counted = pin(rows.select(
+        *key, clipped_overlap(ngrams(F.col("p"), n), ngrams(F.col("r"), n)).alias("overlap"),
+        *[F.greatest(F.size(side) - (n - 1), F.lit(0)).alias(f"n_{side}") for side in ("p", "r")]),
+        "overlap", "n_p", "n_r")
+    return counted.select(*key, *scores(F.col("overlap"), F.col("n_p"), F.col("n_r"), f"rouge{n}"))
+
+
+def clipped_overlap(p: Column, r: Column) -> Column:
+    """How many entries two arrays share, each counted as often as both have it.
+
+    Sorting the entries of both with their side puts equal ones next to each other, those of ``p``
+    first; the starts of the runs give the counts.
+    """
+    def side(entries, of):
+        return F.transform(entries, lambda g: F.struct(g.alias("g"), F.lit(of).alias("of")))
+
+    def runs(s):
+        def shared(starts):
+            def length(k):
+                return F.coalesce(F.get(starts, k + 1), F.size(s)) - F.get(starts, k)
+
+            def both(k):
+                return F.when(F.get(s, F.get(starts, k))["g"] == F.get(s, F.get(starts, k + 1))["g"],
+                              F.least(length(k), length(k + 1))).otherwise(0)
+            return F.when(F.size(starts) > 1, F.aggregate(
+                F.sequence(F.lit(0), F.size(starts) - 2), F.lit(0), lambda n, k: n + both(k))).otherwise(0)
+
+        at = F.sequence(F.lit(0), F.size(s) - 1)
+        starts = F.filter(at, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return F.when(F.size(s) > 0, bind(starts, shared)).otherwise(0)
+
+    return bind(F.sort_array(F.concat(side(p, 0), side(r, 1))), runs)
 
 
 def overlap_by_join(predicted: DataFrame, reference: DataFrame, key: list[str]) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 
@@ -70,6 +71,25 @@ def test_no_shuffle_of_ngrams(pairs):
         assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
 
 
+def test_ngrams_are_counted_in_their_row(spark):
+    """No hash table over the n-grams of a whole task, and the counts of plain Counters."""
+    rng = random.Random(5)
+    text = lambda: None if rng.random() < 0.1 else " ".join(rng.choice("a b c d e".split()) for _ in range(rng.randint(0, 30)))
+    rows = [(i, text(), text()) for i in range(300)]
+    table = spark.createDataFrame(rows, SCHEMA)
+    for n in (1, 2, 3):
+        made = rouge.rouge_n(table, ["id"], n)
+        assert "HashAggregate" not in made._jdf.queryExecution().executedPlan().toString()
+        got = {r["id"]: r for r in made.collect()}
+        assert len(got) == len(rows)
+        for i, *sides in rows:
+            ts = [(x or "").split() for x in sides]
+            p, r = [Counter(tuple(t[k:k + n]) for k in range(len(t) - n + 1)) for t in ts]
+            hits = (p & r).total()
+            assert got[i][f"rouge{n}_p"] == (hits / p.total() if p else 0)
+            assert got[i][f"rouge{n}_r"] == (hits / r.total() if r else 0)
+
+
 def table(a, b):
     t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a, 1):
