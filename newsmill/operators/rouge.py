@@ -18,6 +18,7 @@ from newsmill.session import stored
 
 STEM_ABOVE = 3  # fixed value: shorter tokens are not stemmed
 VOCABULARY_BYTES = 64 << 20  # largest stem table that is broadcast
+OFTEN = 1_000_000  # rows of a token that one task takes
 
 
 def tokens(c: Column) -> Column:
@@ -257,18 +258,30 @@ def vocabulary(df: DataFrame, text: str) -> DataFrame:
 
 
 def attach_stems(rows: DataFrame, stems: DataFrame, max_bytes: int = VOCABULARY_BYTES,
-                 salts: int = 64) -> DataFrame:
+                 salts: int = 64, often: int = OFTEN) -> DataFrame:
     """Join stems to a (…, token) table.
 
     The stem table is stored once and measured: below ``max_bytes`` it is broadcast. Above, both sides are
-    shuffled, and since a few words make up much of any text, tokens are spread over ``salts``
-    copies of the stem table.
+    shuffled, and since a few words make up much of any text, tokens with over ``often`` rows are
+    spread over ``salts`` copies of their stem. All others have one.
     """
     stems = stored(stems, "stems")
     size = stems.agg(F.coalesce(
         F.sum(F.octet_length("token") + F.octet_length("stem") + 64), F.lit(0))).first()[0]
     if size <= max_bytes:
         return rows.join(F.broadcast(stems), "token", "left")
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
-    copies = stems.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted, copies = _salted(stored(rows, "tokens"), stems, salts, often)
     return salted.join(copies, ["token", "_salt"], "left").drop("_salt")
+
+
+def _salted(rows: DataFrame, stems: DataFrame, salts: int, often: int) -> tuple[DataFrame, DataFrame]:
+    """Both tables with ``_salt``, which is 0 for tokens of at most ``often`` rows."""
+    hot = F.broadcast(rows.groupBy("token").count().filter(F.col("count") > often).select(
+        F.col("token").alias("_hot")))  # at most one for each ``often`` rows
+    is_hot, every = F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")
+    salted = rows.join(hot, F.col("token") == F.col("_hot"), "left").withColumn(
+        "_salt", F.when(is_hot, salt).otherwise(0)).drop("_hot")
+    copies = stems.join(hot, F.col("token") == F.col("_hot"), "left").withColumn(
+        "_salt", F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0))))).drop("_hot")
+    return salted, copies

@@ -143,3 +143,18 @@ def test_stem_join_by_broadcast_and_by_salt(spark):
         got = rouge.attach_stems(rows, rouge.vocabulary(texts, "t"), limit, salts=4)
         assert {(r["token"], r["stem"], r["count"]) for r in got.groupBy("token", "stem").count().collect()} == {
             ("running", "run", 200), ("dogs", "dog", 100)}
+
+
+def test_only_frequent_tokens_are_salted(spark):
+    words = ["running"] * 200 + ["dogs"] * 100 + [f"w{i}" for i in range(50)] + [None]
+    rows = spark.createDataFrame(list(enumerate(words)), "n long, token string").repartition(5)
+    texts = spark.createDataFrame([("running dogs " + " ".join(f"w{i}" for i in range(50)),)], "t string")
+    stems = rouge.vocabulary(texts, "t")
+    salted, copies = rouge._salted(rows, stems, 64, 150)
+    assert copies.count() == 51 + 64 and salted.count() == len(words)
+    assert salted.filter("token = 'running'").select("_salt").distinct().count() > 16
+    for often in (0, 150, 1000):
+        got = rouge.attach_stems(rows, stems, 0, often=often)
+        assert got.columns == ["token", "n", "stem"]
+        assert sorted((r.n, r.token, r.stem) for r in got.collect()) == [
+            (n, t, t and {"running": "run", "dogs": "dog"}.get(t, t)) for n, t in enumerate(words)]
