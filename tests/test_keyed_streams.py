@@ -1,9 +1,12 @@
 import datetime as dt
 import os
 import random
+from unittest.mock import Mock
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsmill.operators import clean, ledger, pages
 from newsmill.streaming import keyed, streams
@@ -164,3 +167,23 @@ def test_an_open_choice_ends_with_its_wait(spark, tmp_path):
     got = sorted((r for batch in seen for r in batch), key=repr)
     assert [r for r in got if r[0] != "closing"] == [r for r in want if r[0] != "closing"]
     assert not seen[0]
+
+
+def test_held_rows_are_few_values_of_the_state():
+    """Rows of a group that come together go to the store together, and come back as they were."""
+    class Store(list):
+        exists, appendValue, get = list.__len__, list.append, list.__iter__
+
+    handle, store, timers = Mock(), Store(), []
+    handle.getListState.return_value = store
+    handle.registerTimer.side_effect = timers.append
+    names = T.StructType.fromDDL("event_id long, ts timestamp, kind string")
+    rows = [Row(event_id=None if i % 5 == 0 else 2 ** 60 + i, ts=T0 + dt.timedelta(microseconds=i),
+                kind=None if i % 3 else "é") for i in range(25_000)]
+    hold = keyed._Hold(names)
+    hold.init(handle)
+    for part in (rows[:24_000], rows[24_000:]):
+        assert list(hold.handleInputRows((3_600_000, 1), iter(part), None)) == []
+    assert len(store) == 4 and timers == [3_600_000]
+    assert [tuple(r) for r in hold.handleExpiredTimer((3_600_000, 1), None, None)] == [tuple(r) for r in rows]
+    assert not store
