@@ -32,7 +32,8 @@ SCHEMA = "doc_id long, part int, nth long, block int, ids array<int>"
 ORC = {"compression": "zstd", "orc.create.index": "true", "orc.row.index.stride": "1000",
        "orc.stripe.size": str(32 << 20), "orc.bloom.filter.columns": "doc_id",
        "orc.bloom.filter.fpp": "0.01"}
-WIDE = re.compile(r"\s ")
+BLANK = "\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WIDE = f"[{BLANK}] "
 EDGE = re.compile(r"(?<=\S)(?= )")
 
 
@@ -40,28 +41,31 @@ class Pieces:
     """Ids of pieces that have been seen, one after the other, and where those of each are.
 
     ``lead`` stands in front of every piece. At most ``CACHED`` pieces are held; when more come,
-    half of that stays, those that most chunks of texts have used.
+    half of that stays, those that most chunks of texts have used. Names are an Arrow array, so
+    that no piece is an object of Python.
     """
 
     def __init__(self, lead: str):
         self.lead = lead
-        self.known: dict[str, int] = {}
+        self.names = pa.array([], pa.large_string())
         self.starts, self.sizes, self.used = (np.zeros(0, dtype=np.int64) for _ in range(3))
         self.ids = np.zeros(0, dtype=np.uint32)
 
+    def find(self, pieces: pa.Array) -> np.ndarray:
+        """Place of each piece, -1 for those not held."""
+        return pc.index_in(pieces, value_set=self.names).fill_null(-1).to_numpy().astype(np.int64)
+
     def make_room(self, more: int) -> None:
         """Forget pieces so that ``more`` can come; all of them if need be."""
         keep = min(CACHED // 2, max(0, CACHED - more))
-        names = list(self.known)
         places = np.argsort(-self.used, kind="stable")[:keep]
         self.ids, self.sizes = self.gather(places)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.used = self.used[places] // 2
-        self.known = dict(zip([names[i] for i in places.tolist()], range(len(places))))
+        self.names = self.names.take(pa.array(places))
 
-    def add(self, pieces: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
-        n = len(self.known)
-        self.known.update(zip(pieces, range(n, n + len(pieces))))
+    def add(self, pieces: pa.Array, sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.names = pa.concat_arrays([self.names, pieces])
         self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(sizes) - sizes))
         self.sizes = np.concatenate((self.sizes, sizes))
         self.used = np.concatenate((self.used, np.zeros(len(pieces), dtype=np.int64)))
@@ -71,8 +75,8 @@ class Pieces:
         """Ids of the pieces at these places, and how many each has."""
         sizes = self.sizes[places]
         ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.repeat(self.starts[places] - (ends - sizes), sizes) + np.arange(total)
+        at = np.repeat(self.starts[places] - (ends - sizes), sizes)
+        at += np.arange(len(at))
         return self.ids[at], sizes
 
 
@@ -82,7 +86,7 @@ class Encoder:
     A byte-level tokenizer never merges across a space that follows another character: a text may
     be cut in front of every space whose left neighbour is no white space. The pieces of many texts
     are numbered together, the distinct ones among them are looked up, and ids are gathered by
-    number, so that no step of Python is taken for a piece that has occurred before.
+    number, so that no step of Python is taken for a piece.
     """
 
     def __init__(self, vocabulary: bytes):
@@ -93,67 +97,86 @@ class Encoder:
         self.spaced[[i for name, i in names.items() if name.startswith("\u0120")]] = True
         self.first, self.later = Pieces(""), Pieces(" ")
 
-    def ids(self, text: str) -> np.ndarray:
-        one = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
-        return np.array(one.ids, dtype=np.uint32)
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(one.ids, dtype=np.uint32) for one in
+                self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def fill(self, store: Pieces, needed: list[str]) -> None:
-        """Ids of distinct pieces, of which some may be known. Pieces after a space are encoded
+    def fill(self, store: Pieces, needed: pa.Array) -> np.ndarray:
+        """Places of distinct pieces; ids of those not held are made. Pieces after a space are encoded
         together, and told apart by the ids that begin with one, which only their first ids do."""
-        lead, missing = store.lead, [p for p in needed if p not in store.known]
-        if len(store.known) + len(missing) > CACHED:
+        lead, places = store.lead, store.find(needed)
+        if len(store.names) + np.count_nonzero(places < 0) > CACHED:
             store.make_room(len(needed))
-            missing = [p for p in needed if p not in store.known]
-        alone = [p for p in missing if not p or (not lead and (p[:1] != " " or p[1:2].isspace() or p == " "))]
-        apart = set(alone)
-        together = [p for p in missing if p not in apart] if apart else missing
-        names, sizes, ids = [], [], []
-        for i in range(0, len(together), TOGETHER):
-            part = together[i:i + TOGETHER]
-            found = self.ids(lead + lead.join(part))
-            first = np.flatnonzero(self.spaced[found])
-            if len(first) == len(part):
-                names += part
-                sizes.append(np.diff(first, append=len(found)))
-                ids.append(found)
-            else:
-                alone += part
-        for piece in alone:
-            found = self.ids(lead + piece)
-            names.append(piece)
-            sizes.append(np.array([len(found)]))
-            ids.append(found)
-        if names:
-            store.add(names, np.concatenate(sizes), np.concatenate(ids))
+            places = store.find(needed)
+        at = np.flatnonzero(places < 0)
+        if not len(at):
+            return places
+        if lead:
+            apart = pc.equal(pc.binary_length(needed), 0).to_numpy(zero_copy_only=False)[at]
+        else:
+            apart = np.array([p[:1] != " " or p[1:2].isspace() or p == " "
+                              for p in needed.take(pa.array(at)).to_pylist()])
+        alone, together = [at[apart]], at[~apart]
+        order, sizes, ids = [], [], []
+        if len(together):
+            cuts = np.append(np.arange(0, len(together), TOGETHER), len(together))
+            joined = pc.binary_join(
+                pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), needed.take(pa.array(together))),
+                pa.scalar(lead, pa.large_string()))
+            for begin, end, text in zip(cuts.tolist(), cuts[1:].tolist(), joined):
+                found = self.ids([lead + text.as_py()])[0]
+                first = np.flatnonzero(self.spaced[found])
+                if len(first) == end - begin:
+                    order.append(together[begin:end])
+                    sizes.append(np.diff(first, append=len(found)))
+                    ids.append(found)
+                else:
+                    alone.append(together[begin:end])
+        alone = np.concatenate(alone)
+        for i in range(0, len(alone), TOGETHER):
+            part = alone[i:i + TOGETHER]
+            found = self.ids([lead + p for p in needed.take(pa.array(part)).to_pylist()])
+            order.append(part)
+            sizes.append(np.array([len(x) for x in found]))
+            ids += found
+        order, n = np.concatenate(order), len(store.names)
+        store.add(needed.take(pa.array(order)), np.concatenate(sizes), np.concatenate(ids))
+        places[order] = n + np.arange(len(order))
+        return places
 
     def pieces(self, store: Pieces, found: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all these pieces in a row, and how many each has."""
         coded = found.dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        self.fill(store, names)
-        places = np.fromiter(map(store.known.__getitem__, names), np.int64, len(names))
+        places = self.fill(store, coded.dictionary)
         store.used[places] += 1
         return store.gather(places[coded.indices.to_numpy()])
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
         """Ids of each text."""
+        kind = pa.large_string()
+        texts = texts.cast(kind) if isinstance(texts, pa.Array) else pa.array(texts, kind)
         out = [None] * len(texts)
-        wide = [i for i, t in enumerate(texts) if WIDE.search(t)]
-        plain = sorted(set(range(len(texts))).difference(wide))
+        cut = pc.match_substring_regex(texts, WIDE).to_numpy(zero_copy_only=False)
+        plain = np.flatnonzero(~cut).tolist()
         if plain:
-            split = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
+            split = pc.split_pattern(texts.filter(pa.array(~cut)) if cut.any() else texts, " ")
             ends, words = split.offsets.to_numpy().astype(np.int64), split.values
             begin = np.zeros(len(words), dtype=bool)
             begin[ends[:-1]] = True
             heads, n_heads = self.pieces(self.first, words.filter(pa.array(begin)))
             rests, n_rests = self.pieces(self.later, words.filter(pa.array(~begin)))
             head_ends, rest_ends = np.cumsum(n_heads), np.concatenate(([0], np.cumsum(n_rests)))
-            for k, i in enumerate(plain):
-                # words before this text, less the first ones of the texts up to it
-                a, b = rest_ends[ends[k] - k], rest_ends[ends[k + 1] - k - 1]
-                out[i] = np.concatenate((heads[head_ends[k] - n_heads[k]:head_ends[k]], rests[a:b]))
-        for i in wide:
-            out[i] = self.pieces(self.first, pa.array(EDGE.split(texts[i]), pa.large_string()))[0]
+            # words before a text, less the first ones of the texts up to it
+            rest_ends = rest_ends[ends - np.arange(len(ends))].tolist()
+            for k, (i, a, b) in enumerate(zip(plain, (head_ends - n_heads).tolist(), head_ends.tolist())):
+                out[i] = np.concatenate((heads[a:b], rests[rest_ends[k]:rest_ends[k + 1]]))
+        wide = np.flatnonzero(cut).tolist()
+        if wide:
+            each = [EDGE.split(texts[i].as_py()) for i in wide]
+            found, sizes = self.pieces(self.first, pa.array([p for some in each for p in some], kind))
+            ends = np.cumsum(sizes)[np.cumsum([len(some) for some in each]) - 1]
+            for i, ids in zip(wide, np.split(found, ends[:-1])):
+                out[i] = ids
         return out
 
 
@@ -185,7 +208,7 @@ def encode_rows(docs: DataFrame, vocabulary: bytes) -> DataFrame:
         end = np.array([END], dtype=np.uint32)
         for batch in batches:
             for some in slices(batch, 1, TEXT_BYTES):
-                ids = [np.concatenate((x, end)) for x in encoder.encode(some.column(2).to_pylist())]
+                ids = [np.concatenate((x, end)) for x in encoder.encode(some.column(2))]
                 held = list(zip(some.column(0).to_pylist(), ids))
                 yield _in_rows(held, part, done)
                 done += len(held)

@@ -1,4 +1,5 @@
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -69,6 +70,19 @@ def test_few_pieces_held_give_the_same_ids(found, monkeypatch):
         assert [x.tolist() for x in got] == want
 
 
+def test_pieces_are_no_objects_of_python():
+    encoder = token_files.Encoder(vocabulary("byte_bpe_50k.json"))
+    texts, calls = [f"{i}x " + " ".join(f"w{i}.{k}" for k in range(20)) for i in range(3000)], []
+    encoder.tokenizer = type("Counted", (), {"encode_batch_fast": lambda self, some, real=encoder.tokenizer, **how: (
+        calls.append(len(some)), real.encode_batch_fast(some, **how))[1]})()
+    encoder.encode(texts[:10])
+    before = sys.getallocatedblocks()
+    got = encoder.encode(texts[10:])
+    assert sys.getallocatedblocks() - before < 20_000 and len(calls) < 100
+    assert [x.tolist() for x in got] == [ids for _, _, ids in library(
+        "byte_bpe_50k.json", [(0, t) for t in texts[10:]])]
+
+
 def test_files_have_bloom_filters_and_skip_row_groups(spark):
     docs = spark.range(30_000).selectExpr("id * 2 as doc_id", "concat('text ', id) as text")
     path = scratch(spark, "ids")
