@@ -1,91 +1,136 @@
 """Greedy packing of texts that no single task has to hold.
 
-``chunk`` folds over the sentences of a text in its own row. Here a text comes in parts, its
-sentences are rows, and a chunk's end follows from its start alone: with running sums of sizes,
-the next chunk starts at the first sentence that would go over the budget. Those next-pointers
-are found in blocks of bounded size; from block to block they are composed by pointer doubling,
-so a text of B blocks takes log2(B) joins of narrow rows. Chunks are those of ``chunk``.
+``chunk`` folds over the sentences of a text in its own row. Here a text comes in parts, and a
+chunk's end follows from its start alone: with running sums of sizes, the next chunk starts at the
+first sentence that would go over the budget. Those next-pointers are found in blocks of bounded
+size; from block to block they are composed by pointer doubling, so a text of B blocks takes
+log2(B) joins of narrow rows. Sentences stay together in the row of the part they start in; only
+their sizes and numbers are rows of their own. Chunks are those of ``chunk``.
 """
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsmill.functions.text import CHUNK_LIMIT, count_tokens, count_words, py_strip, summary_budget
+from newsmill.functions.text import (
+    CHUNK_LIMIT, WHITESPACE, bind, count_tokens, count_words, py_strip, summary_budget)
+from newsmill.operators.pin import pin
 from newsmill.operators.scan import running_sums
-from newsmill.session import stored
+from newsmill.session import passing, stored
 
 STOPS = ("!", "?", ".")
+SOME = f"[^|{WHITESPACE}]"
 SPAN = 64  # budgets in a block
+LONGS = T.ArrayType(T.LongType())
 
 
-def sentence_rows(parts: DataFrame, key: str, part: str, text: str) -> DataFrame:
-    """Rows (key, ``at``, ``sentence``) of texts that come in parts, ``part`` giving their order.
+def cut_parts(parts: DataFrame, key: str, part: str, text: str) -> DataFrame:
+    """Stored rows (key, part, head, rest, first, last, blank): the pieces of each part.
 
-    A sentence may run over any number of parts, and a stop may end one part while its space
-    begins the next. Where a part's sentences stand follows from counts of those before it, one
-    narrow row a part; only the pieces of one sentence are brought together. Blank sentences are
-    left out, ``at`` grows within a key.
+    ``key`` is a struct from here on, in which nulls compare as equal. ``blank`` is the text of a
+    part that has nothing but white space in it.
     """
     marked = F.col(text)
     for stop in STOPS:
         marked = F.replace(marked, F.lit(f"{stop} "), F.lit(f"{stop}|"))
-    rows = parts.filter(F.col(text) != "").select(
-        F.col(key).alias("key"), F.col(part).alias("part"), F.split(marked, r"\|").alias("pieces"),
-        F.substring(text, 1, 1).alias("first"), F.substring(text, -1, 1).alias("last"))
-    rows = stored(rows, "pieces")
+    rows = parts.filter(F.col(text).isNotNull()).select(
+        F.struct(F.col(key).alias("key")).alias("key"), F.col(part).alias("part"),
+        F.split(marked, r"\|").alias("pieces"),
+        F.substring(text, 1, 1).alias("first"), F.substring(text, -1, 1).alias("last"),
+        F.when(~F.col(text).rlike(SOME), F.col(text)).alias("blank"))
+    rows = pin(rows, "pieces")
+    return stored(rows.select("key", "part", F.get("pieces", F.lit(0)).alias("head"), F.slice(
+        "pieces", 2, F.size("pieces")).alias("rest"), "first", "last", "blank"), "pieces")
+
+
+def sentence_parts(cut: DataFrame) -> DataFrame:
+    """Rows (key, part, ``sentences``): the sentences that start in each part, blank ones left out.
+
+    A sentence may run over any number of parts, and a stop may end one part while its space
+    begins the next. Which part a piece belongs to follows from one narrow row a part; only first
+    pieces of parts are brought to the part their sentence starts in.
+    """
+    rows = cut.filter("first <> ''")
     order = Window.partitionBy("key").orderBy("part")
-    split_here = F.lag("last").over(order).isin(*STOPS) & (F.col("first") == " ")
-    counts = rows.select("key", "part", "first", "last", (F.size("pieces") - 1).cast("long").alias("inner"))
-    counts = counts.withColumn("border", F.coalesce(split_here.cast("long"), F.lit(0).cast("long")))
-    before = F.sum(F.col("inner") + F.col("border")).over(order) - F.col("inner")
-    offsets = counts.select(F.col("key").alias("k"), F.col("part").alias("p"), before.alias("before"))
-    placed = rows.join(offsets, F.col("key").eqNullSafe(F.col("k")) & (F.col("part") == F.col("p")))
-    pieces = placed.select("key", "part", "before", F.posexplode("pieces").alias("j", "piece"))
-    whole = pieces.groupBy("key", (F.col("before") + F.col("j")).alias("at")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "piece"))),
-                                 lambda x: x["piece"]), "").alias("sentence"))
-    return whole.select("key", "at", py_strip(F.col("sentence")).alias("sentence")).filter("sentence <> ''")
-
-
-def next_starts(rows: DataFrame, max_tokens: int, span: int = SPAN) -> DataFrame:
-    """Rows (key, block, i, next, entry) from rows (key, i, start, n): where the chunk after one
-    that starts at sentence ``i`` starts, the number of sentences where there is none.
+    opens = F.lag("last").over(order).isNull() | (
+        F.lag("last").over(order).isin(*STOPS) & (F.col("first") == " "))
+    narrow = rows.select("key", "part", "first", "last", (F.size("rest") > 0).alias("many")).withColumn("opens", opens)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    owner = F.last(F.when(F.col("many") | F.col("opens"), F.col("part")), True).over(before)
+    places = stored(narrow.select("key", "part", "opens", owner.alias("owner")), "places")
+    more = rows.select("key", "part", "head").join(places.filter("not opens"), ["key", "part"]).groupBy(
+        "key", F.col("owner").alias("part")).agg(F.array_join(F.transform(F.array_sort(
+            F.collect_list(F.struct("part", "head"))), lambda x: x["head"]), "").alias("more"))
+    placed = rows.select("key", "part", "head", "rest").join(
+        places.select("key", "part", "opens").join(more, ["key", "part"], "left"), ["key", "part"])
+    own = F.when(F.col("opens"), F.concat(F.array("head"), "rest")).otherwise(F.col("rest"))
+    whole = bind(own, lambda x: F.transform(x, lambda piece, j: py_strip(F.when(
+        j == F.size(x) - 1, F.concat(piece, F.coalesce("more", F.lit("")))).otherwise(piece))))
+    found = placed.select("key", "part", F.filter(whole, lambda x: x != "").alias("sentences"))
+    return pin(found, "sentences").filter(F.size("sentences") > 0)
+
+
+def sentence_rows(parts: DataFrame, key: str, part: str, text: str) -> DataFrame:
+    """Rows (key, ``at``, ``sentence``) of texts that come in parts, ``part`` giving their order."""
+    rows = sentence_parts(cut_parts(parts, key, part, text)).select(
+        "key.key", "part", F.posexplode("sentences").alias("j", "sentence"))
+    return rows.select("key", F.struct("part", "j").alias("at"), "sentence")
+
+
+@F.arrow_udf(LONGS)
+def sums_before(sizes: pa.Array) -> pa.Array:
+    """For each number in an array, the sum of those before it."""
+    ends = sizes.offsets.to_numpy()
+    flat = sizes.values.to_numpy()[ends[0]:ends[-1]]
+    ends = ends - ends[0]
+    upto = np.concatenate(([0], np.cumsum(flat)))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(
+        upto[:-1] - np.repeat(upto[ends[:-1]], np.diff(ends)), pa.int64()))
+
+
+def pointers(max_tokens: int, length: int):
+    """What ``blocks`` asks of a block, from the starts and sizes of the sentences it sees."""
+    @F.pandas_udf("nexts array<long>, exits array<long>, entries long")
+    def find(block: pd.Series, first: pd.Series, starts: pd.Series, sizes: pd.Series) -> pd.DataFrame:
+        found = []
+        for b, f, start, size in zip(block, first, starts, sizes):
+            own = int(np.searchsorted(start, (b + 1) * length, "left"))
+            over = np.searchsorted(start + size, start[:own] + max_tokens, "right")
+            ahead = np.maximum(np.arange(1, own + 1), over)  # within the block, by place
+            out = ahead.tolist()
+            for place in range(own - 1, -1, -1):
+                if out[place] < own:
+                    out[place] = out[out[place]]
+            near = int(np.searchsorted(start[:own], b * length + max_tokens, "right"))
+            found.append((ahead + f, np.array(out, dtype=np.int64) + f, max(near, 1)))
+        return pd.DataFrame(found, columns=["nexts", "exits", "entries"])
+
+    return find
+
+
+def blocks(rows: DataFrame, max_tokens: int, span: int = SPAN) -> DataFrame:
+    """Rows (key, block, first, parts, js, nexts, exits, entries) from rows (key, part, j, i, start, n).
 
     A block holds the sentences that start within ``span`` budgets, and looks ahead at those that
-    start within one budget of its end. ``entry`` says that a chunk of an earlier block may end
-    just before the sentence.
+    start within one budget of its end. ``nexts`` says where the chunk after one that starts at a
+    sentence starts, ``exits`` the first start beyond the block that this leads to; the number of
+    sentences where there is none. A chunk of an earlier block may end just before each of the
+    first ``entries`` sentences.
     """
     length = span * max_tokens
-    end = rows.groupBy("key").agg(F.max(F.col("i") + 1).alias("i"), F.sum("n").alias("start")).select(
-        "key", "i", "start", F.lit(0).cast("long").alias("n"), F.lit(True).alias("end"))
     block = F.expr(f"start div {length}")
-    every = rows.select("key", "i", "start", "n", F.lit(False).alias("end")).unionByName(end)
     near = F.col("start") - block * length <= max_tokens
-    seen = every.select("*", F.explode(F.when(near & (block > 0), F.array(block, block - 1)).otherwise(
-        F.array(block))).alias("block")).withColumn("own", F.col("block") == block)
-    here = Window.partitionBy("key", "block")
-    upto = here.orderBy("start").rangeBetween(Window.unboundedPreceding, max_tokens)
-    first = F.min(F.when(F.col("own"), F.col("i"))).over(here)
-    over = first + F.count(F.lit(1)).over(upto) - 1  # the first sentence that goes over the budget
-    made = seen.withColumns({"first": first, "next": F.greatest(F.col("i") + 1, over)})
-    entry = (F.col("start") - F.col("block") * length <= max_tokens) | (F.col("i") == F.col("first"))
-    return made.filter("own and not end").select("key", "block", "i", "next", entry.alias("entry"))
-
-
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def exits(firsts: pd.Series, nexts: pd.Series) -> pd.Series:
-    """For each sentence of a block, the first start beyond the block that its chunk leads to."""
-    found = []
-    for first, ahead in zip(firsts, nexts):
-        out = [int(n) for n in ahead]
-        for place in range(len(out) - 1, -1, -1):
-            inside = out[place] - first
-            if inside < len(out):
-                out[place] = out[inside]
-        found.append(out)
-    return pd.Series(found)
+    seen = rows.select("*", F.explode(F.when(near & (block > 0), F.array(block, block - 1)).otherwise(
+        F.array(block))).alias("block"))
+    met = seen.groupBy("key", "block").agg(F.array_sort(F.collect_list(
+        F.struct("i", "start", "n", "part", "j"))).alias("seen"))
+    met = met.filter(F.get("seen", F.lit(0))["start"] < (F.col("block") + 1) * length)
+    made = met.withColumn("first", F.get("seen", F.lit(0))["i"]).withColumn(
+        "found", pointers(max_tokens, length)("block", "first", "seen.start", "seen.n"))
+    return made.select("key", "block", "first", F.col("seen.part").alias("parts"), F.col("seen.j").alias("js"), "found.*")
 
 
 def _reached(entries: DataFrame) -> DataFrame:
@@ -97,45 +142,81 @@ def _reached(entries: DataFrame) -> DataFrame:
     jumps = stored(entries.select(F.col("key").alias("k"), F.col("i").alias("from"), F.col("exit").alias("to")), "jumps")
     met = stored(entries.filter("i = 0").select("key", "i"), "met")
     while not jumps.isEmpty():
-        same = F.col("key").eqNullSafe(F.col("k")) & (F.col("i") == F.col("from"))
+        same = (F.col("key") == F.col("k")) & (F.col("i") == F.col("from"))
         met = stored(met.unionByName(met.join(jumps, same).select("key", F.col("to").alias("i"))), "met")
         after = jumps.select(*[F.col(c).alias(f"{c}2") for c in names])
-        jumps = stored(jumps.join(after, F.col("k").eqNullSafe(F.col("k2")) & (
+        jumps = stored(jumps.join(after, (F.col("k") == F.col("k2")) & (
             F.col("to") == F.col("from2"))).select("k", "from", F.col("to2").alias("to")), "jumps")
     return met
 
 
-def _starts(first: Column, nexts: Column, entry: Column) -> Column:
-    """Starts of chunks in a block, from its entry on."""
-    def step(acc, n):
-        here = acc["i"] == acc["at"]
-        return F.struct(
-            (acc["i"] + 1).alias("i"), F.when(here, n).otherwise(acc["at"]).alias("at"),
-            F.when(here, F.array_append(acc["starts"], acc["i"])).otherwise(acc["starts"]).alias("starts"))
-
-    zero = F.struct(first.alias("i"), F.coalesce(entry, F.lit(-1).cast("long")).alias("at"),
-                    F.array().cast("array<bigint>").alias("starts"))
-    return F.aggregate(nexts, zero, step, lambda acc: acc["starts"])
-
-
-def chunk_starts(pointers: DataFrame) -> DataFrame:
-    """Rows (key, i): the sentences that start a chunk, from the rows of ``next_starts``."""
-    blocks = pointers.groupBy("key", "block").agg(
-        F.min("i").alias("first"),
-        F.array_sort(F.collect_list(F.struct("i", "next", "entry"))).alias("rows"))
-    blocks = stored(blocks, "blocks")
-    far = blocks.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(
-        F.col("key").alias("k"))
-    long = blocks.join(far, F.col("key").eqNullSafe(F.col("k")), "left_semi")
-    led = long.select("key", "rows", exits("first", "rows.next").alias("exits"))
-    entries = led.select("key", F.explode(F.arrays_zip("rows", "exits")).alias("x")).filter(
-        "x.rows.entry").select("key", F.col("x.rows.i").alias("i"), F.col("x.exits").alias("exit"))
-    met = _reached(entries).select(F.col("key").alias("k"), F.col("i").alias("entry"))
-    inside = F.col("entry").between(F.col("first"), F.col("first") + F.size("rows") - 1)
-    known = blocks.join(met, F.col("key").eqNullSafe(F.col("k")) & inside, "left")
-    entry = F.coalesce("entry", F.when(F.col("first") == 0, F.lit(0)))
-    return known.select("key", F.explode(_starts(
-        F.col("first"), F.col("rows.next"), entry)).alias("i"))
+@F.pandas_udf(LONGS)
+def chunks_opened(firsts: pd.Series, nexts: pd.Series, entries: pd.Series) -> pd.Series:
+    """For each sentence of a block, how many chunks have started in the block, its own included.
+    Without an entry (-1) none do."""
+    found = []
+    for first, ahead, entry in zip(firsts, nexts, entries):
+        opened, place = np.zeros(len(ahead), dtype=np.int64), entry - first
+        while 0 <= place < len(ahead):
+            opened[place] = 1
+            place = ahead[place] - first
+        found.append(np.cumsum(opened))
+    return pd.Series(found)
+
+
+def chunk_numbers(made: DataFrame) -> DataFrame:
+    """Rows (key, part, chunk numbers of the part's sentences), from the rows of ``blocks``."""
+    made = stored(made, "blocks")
+    far = made.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    entries = made.join(far, "key", "left_semi").select("key", "block", F.posexplode(
+        F.slice("exits", 1, F.col("entries").cast("int"))).alias("p", "exit"), "first").select(
+        "key", "block", (F.col("first") + F.col("p")).alias("i"), "exit")
+    entries = stored(entries, "entries")
+    # the way from block to block enters each at one sentence, if at all
+    entered = entries.join(_reached(entries), ["key", "i"]).select("key", "block", F.col("i").alias("entry"))
+    known = made.join(entered, ["key", "block"], "left")
+    entry = F.coalesce("entry", F.when(F.col("first") == 0, F.lit(0)).otherwise(F.lit(-1))).cast("long")
+    known = known.select("key", "block", "parts", "js", chunks_opened("first", "nexts", entry).alias("opened"))
+    known = stored(known.withColumn("n", F.element_at("opened", -1)), "opened")
+    before = running_sums(known, ["key"], "block", "block", {"through": F.col("n")}, along=["parts", "js", "opened", "n"])
+    rows = before.select("key", F.explode(F.arrays_zip(
+        F.slice("parts", 1, F.size("opened")).alias("part"), F.slice("js", 1, F.size("opened")).alias("j"),
+        F.transform("opened", lambda x: F.col("through") - F.col("n") + x - 1).alias("no"))).alias("x"))
+    return rows.groupBy("key", F.col("x.part").alias("part")).agg(F.transform(F.array_sort(
+        F.collect_list(F.struct("x.j", "x.no"))), lambda x: x["no"]).alias("nos"))
+
+
+def _runs(sentences, nos):
+    """Sentences of one chunk in a row, joined: ARRAY<STRUCT<chunk_no, text>>."""
+    begins = F.filter(F.sequence(F.lit(0), F.size(nos) - 1), lambda k: (k == 0) | (
+        F.get(nos, k) != F.get(nos, k - 1)))
+    return bind(begins, lambda at: F.transform(at, lambda b, q: F.struct(
+        F.get(nos, b).alias("chunk_no"), F.array_join(F.slice(
+            sentences, b + 1, F.coalesce(F.get(at, q + 1), F.size(nos)) - b), " ").alias("text"))))
+
+
+def _texts(parts: DataFrame, key: str, part: str, text: str, count) -> tuple[DataFrame, DataFrame]:
+    """Stored sentences with their sizes, by part; and the parts of texts that have none."""
+    cut = cut_parts(parts, key, part, text)
+    rows = stored(sentence_parts(cut).withColumn("sizes", F.transform(
+        "sentences", lambda x: count(x).cast("long"))), "sentences", last=True)
+    blank = cut.select("key", "part", F.col("blank").alias("text")).filter("text is not null").join(
+        rows.select("key").distinct(), "key", "left_anti")
+    return rows, stored(blank, "blank", last=True)
+
+
+def _numbers(rows: DataFrame, max_tokens: int, span: int) -> DataFrame:
+    """Stored chunk numbers of the sentences of each part, from their sizes."""
+    sizes = rows.select("key", "part", "sizes", F.size("sizes").cast("long").alias("m"), F.aggregate(
+        "sizes", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
+    before = running_sums(sizes, ["key"], "part", "part", {"words": F.col("n"), "sentences": F.col("m")},
+                          along=["sizes", "m", "n"])
+    each = before.select("key", "part", F.col("words") - F.col("n"), F.col("sentences") - F.col("m"), F.posexplode(
+        F.arrays_zip(F.col("sizes").alias("n"), sums_before("sizes").alias("before")))).toDF(
+            "key", "part", "words", "sentences", "j", "x")
+    each = each.select("key", "part", "j", (F.col("sentences") + F.col("j")).alias("i"), (
+        F.col("words") + F.col("x.before")).alias("start"), "x.n")
+    return stored(chunk_numbers(blocks(each, max_tokens, span)), "numbers", last=True)
 
 
 def chunk_parts(parts: DataFrame, key: str, part: str, text: str, max_tokens: int = CHUNK_LIMIT,
@@ -145,26 +226,18 @@ def chunk_parts(parts: DataFrame, key: str, part: str, text: str, max_tokens: in
     The parts of a text, in the order of ``part``, are the text; null parts are nothing. ``count``
     (Column -> Column) sizes a sentence. A text without sentences is its own chunk.
     """
-    rows = stored(sentence_rows(parts, key, part, text), "sentences")
-    sizes = rows.select("key", "at", F.col("at").alias("_order"), count(F.col("sentence")).cast("long").alias("n"))
-    numbered = running_sums(sizes, ["key"], "_order", "at", {"through": F.col("n"), "i": F.lit(1).cast("long")})
-    numbered = stored(numbered.select("key", "at", "n", (F.col("i") - 1).alias("i"), (
-        F.col("through") - F.col("n")).alias("start")), "numbered")
-    starts = chunk_starts(next_starts(numbered, max_tokens, span)).select(
-        F.col("key").alias("k"), F.col("i").alias("s"))
-    flagged = numbered.join(starts, F.col("key").eqNullSafe(F.col("k")) & (F.col("i") == F.col("s")), "left")
-    flagged = flagged.select("key", "at", "i", F.col("s").isNotNull().cast("long").alias("opens"))
-    counted = running_sums(flagged, ["key"], "i", "at", {"chunk": F.col("opens")}).select(
-        F.col("key").alias("k"), F.col("at").alias("a"), (F.col("chunk") - 1).alias("chunk_no"))
-    made = rows.join(counted, F.col("key").eqNullSafe(F.col("k")) & (F.col("at") == F.col("a"))).groupBy(
-        "key", "chunk_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
-            F.struct("at", "sentence"))), lambda x: x["sentence"]), " ").alias("chunk"))
-    some = rows.select(F.col("key").alias("k")).distinct()
-    blank = parts.select(F.col(key).alias("key"), F.col(part).alias("part"), F.col(text).alias("text")).filter(
-        "text is not null").join(some, F.col("key").eqNullSafe(F.col("k")), "left_anti")
+    spark = parts.sparkSession
+    with passing(spark):
+        rows, blank = _texts(parts, key, part, text, count)
+    with passing(spark):
+        nos = _numbers(rows, max_tokens, span)
+    pieces = rows.select("key", "part", "sentences").join(nos, ["key", "part"]).select(
+        "key", "part", F.inline(_runs(F.col("sentences"), F.col("nos"))))
+    made = pieces.groupBy("key", "chunk_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
+        F.struct("part", "text"))), lambda x: x["text"]), " ").alias("chunk"))
     bare = blank.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
         F.struct("part", "text"))), lambda x: x["text"]), "").alias("chunk")).select(
         "key", F.lit(0).cast("long").alias("chunk_no"), "chunk")
     sized = made.unionByName(bare).withColumn("n_tokens", count_tokens(F.col("chunk"), count=count).cast("int"))
     return sized.withColumn("budget", summary_budget(F.col("n_tokens"))).select(
-        F.col("key").alias(key), "chunk_no", "chunk", "n_tokens", "budget.min_len", "budget.max_len")
+        F.col("key.key").alias(key), "chunk_no", "chunk", "n_tokens", "budget.min_len", "budget.max_len")

@@ -114,9 +114,8 @@ def chunk_table_small(spark, sf_dir):
 def chunk_table_of_parts(spark, sf_dir):
     """Texts in parts of 1000 characters, packed over blocks of four budgets."""
     docs = table(spark, sf_dir, "documents", heavy=True)
-    places = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(1000))
-    parts = docs.select("doc_id", F.posexplode(F.transform(
-        places, lambda p: F.substring("text", p + 1, F.lit(1000)))).alias("part", "piece"))
+    cut = F.when(F.length("text") > 0, F.regexp_extract_all("text", F.lit("(?s).{1,1000}"), F.lit(0)))
+    parts = docs.select("doc_id", F.posexplode(F.coalesce(cut, F.array("text"))).alias("part", "piece"))
     return spans.chunk_parts(parts, "doc_id", "part", "piece", 90, span=4)
 
 

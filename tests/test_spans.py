@@ -79,3 +79,14 @@ def test_one_text_over_many_blocks(spark):
     assert [int(r["head"].split()[1].rstrip(".")) for r in made] == starts
     assert [r["chunk_no"] for r in made] == list(range(len(starts)))
     assert max(r["n_tokens"] for r in made) <= 52
+
+
+def test_texts_move_as_rows_of_parts(spark, monkeypatch):
+    kept, real = {}, spans.stored
+    monkeypatch.setattr(spans, "stored", lambda df, name, **how: kept.setdefault(name, real(df, name, **how))
+                        if name == "sentences" else real(df, name, **how))
+    texts = [(f"t{i}", "".join(f"Sentence {k} of {i}. " for k in range(100))) for i in range(6)]
+    whole, parts = tables(spark, texts, 5)
+    got = spans.chunk_parts(parts, "k", "no", "piece", 30, span=2)
+    assert rows(got) == rows(chunk.chunk_table(whole, "k", "text", 30))
+    assert kept["sentences"].count() <= parts.count()
