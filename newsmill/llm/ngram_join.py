@@ -13,6 +13,7 @@ are compared by the bound, those it allows are connected, and each connected gro
 one tree, whose pairs are verified.
 """
 
+from functools import partial
 from hashlib import blake2b
 
 import numpy as np
@@ -33,6 +34,8 @@ GROUPS = 256  # coordinates of a point
 SKETCH = 128  # of the points that candidates are compared by
 FINE = 1024  # of the points that tell long sets of large groups apart
 LEAF = 256
+SHORT = 16  # of the lists whose pairs are all compared by their points
+PAIRS = 1 << 14  # of points that are compared at once
 TREE, TREE_BYTES = 4000, 64 << 20  # of the sets in one tree; more are joined in parts
 PART, PART_BYTES = 2000, 32 << 20
 PIVOTS, SHARES = 2048, 64  # pivots of a group in one round, and how many windows choose them
@@ -57,7 +60,8 @@ def shingle_sets(texts: list[str], hasher: Hasher, words: int = WORDS) -> list[n
     sets = []
     for end, size in zip(ends.tolist(), found.n_words.tolist()):
         if size >= words:
-            sets.append(np.unique(key[end - size:end - words + 1]))
+            own = np.sort(key[end - size:end - words + 1])
+            sets.append(own[np.append(True, own[1:] != own[:-1])])
         else:
             whole = np.full(1, 77 + size, dtype=np.uint64)
             for word in h[end - size:end]:
@@ -89,6 +93,11 @@ def _classes(size: int, share: int) -> list[tuple[int, int, int]]:
     return found
 
 
+def most_different(size: int, share: int) -> int:
+    """The most shingles in which a set of this size differs from a linked one."""
+    return (size + 100 * size // share) * (100 - share) // (100 + share)
+
+
 class Lister:
     """Lists sets under the contents of their groups, which are equal ranges of hashes.
 
@@ -98,27 +107,57 @@ class Lister:
     """
 
     def __init__(self, share: int):
-        self.share, self.known = share, {}
+        self.share, self.known, self.ranges = share, {}, {}
 
     def classes(self, size: int) -> list:
         if size not in self.known:
-            self.known[size] = [
-                (k, differ, np.array([(g << 64) // groups for g in range(groups)], dtype=np.uint64),
-                 _mixed(np.arange(groups, dtype=np.uint64) * MIX + np.uint64(k)))
-                for k, groups, differ in _classes(size, self.share)]
+            self.known[size] = [self.range(*one) for one in _classes(size, self.share)]
         return self.known[size]
 
-    def __call__(self, found: np.ndarray) -> np.ndarray:
-        parts = []
-        for _, differ, edges, marks in self.classes(len(found)) if len(found) else ():
+    def range(self, k: int, groups: int, differ: int) -> tuple:
+        if k not in self.ranges:
+            self.ranges[k] = (
+                differ, np.array([(g << 64) // groups for g in range(groups)], dtype=np.uint64),
+                _mixed(np.arange(groups, dtype=np.uint64) * MIX + np.uint64(k)))
+        return self.ranges[k]
+
+    def parts(self, found: np.ndarray):
+        """The listings in each class, and the most of them that a linked set may not share; None
+        where empty groups are listed too."""
+        if not len(found):
+            return
+        sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_mixed(found))))
+        for differ, edges, marks in self.classes(len(found)):
             first = np.searchsorted(found, edges)
-            sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_mixed(found))))
             last = np.append(first[1:], len(found))
             listed = _mixed(sums[last] - sums[first] + marks)
             filled = last > first
-            parts.append(listed[filled] if filled.sum() > differ else listed)
+            if filled.sum() > differ:
+                yield listed[filled], min(differ, most_different(len(found), self.share))
+            else:
+                yield listed, None
+
+    def __call__(self, found: np.ndarray) -> np.ndarray:
+        parts = [listed for listed, _ in self.parts(found)]
         return np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
 
+    def met(self, found: np.ndarray, shared) -> np.ndarray:
+        """The listings a set has to be looked for under, where ``shared`` says which of them other
+        sets may be on.
+
+        A linked set is on all but ``differ`` of them. Where more have no other set on, there is none;
+        else, with those first and the others by value, which is one order for all sets, the first
+        ``differ`` + 1 of two linked sets have one in common.
+        """
+        parts = [np.zeros(0, dtype=np.uint64)]
+        for listed, differ in self.parts(found):
+            more = listed[shared(listed.view(np.int64))]
+            if differ is not None:
+                first = max(0, differ + 1 - (len(listed) - len(more)))
+                more = np.partition(more, first)[:first] if first < len(more) else more
+            parts.append(more)
+        return np.concatenate(parts)
+
 
 def _print(found: np.ndarray) -> bytes:
     """Identity of a set; its first half names the node of the candidate graph."""
@@ -157,18 +196,19 @@ def _digests(passed, words: int, share: int):
 
     def found(batches):
         hasher, lister, seen = Hasher(), Lister(share), set()
+        shared = partial(may_hold, passed.value)
         for keys, _, texts in chunks(batches, 1 << 20):
             rows = []
             for key, one in zip(keys, shingle_sets(texts, hasher, words)):
-                lists, name = lister(one).view(np.int64), _print(one)
+                name = _print(one)
                 row = [key["doc_id"], key["mark"], len(one), name, _node(name), None, None, None]
-                if len(lists) and name not in seen:  # of copies in one task, one is enough
-                    hit = may_hold(passed.value, lists)
-                    if hit.any():
+                if name not in seen:  # of copies in one task, one is enough
+                    lists = lister.met(one, shared).view(np.int64)
+                    if len(lists):
                         if len(seen) >= SEEN:
                             seen.clear()
                         seen.add(name)
-                        row[5:] = lists[hit], packed(point_of(one, SKETCH)), one.tobytes()
+                        row[5:] = lists, packed(point_of(one, SKETCH)), one.tobytes()
                 rows.append(row)
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
                                   [c.split()[0] for c in DIGEST.split(", ")])
@@ -186,7 +226,10 @@ def packed(point: np.ndarray) -> bytes:
 
 def unpacked(points: list[bytes]) -> np.ndarray:
     """Points that are nowhere below the packed ones."""
-    rows = np.frombuffer(b"".join(points), np.uint8).reshape(len(points), -1)
+    return _widened(np.frombuffer(b"".join(points), np.uint8).reshape(len(points), -1))
+
+
+def _widened(rows: np.ndarray) -> np.ndarray:
     return rows[:, 1:].astype(np.uint32) << rows[:, :1].astype(np.uint32)
 
 
@@ -196,63 +239,117 @@ def _meetings(share: int):
     Of the texts listed together, those whose points allow a link are connected, by as few edges
     as that takes. A list longer than a tree may be is connected as a whole.
     """
-    def edges(rows):
-        firsts = []
-        sig, node, size = (np.array([r[i] for r in rows], dtype=np.int64) for i in range(3))
-        points = unpacked([r[3] for r in rows])
-        same = np.flatnonzero(sig[1:] == sig[:-1])
-        fits = np.zeros(len(rows), dtype=bool)
-        most = np.concatenate([np.minimum(points[i], points[i + 1]).sum(axis=1, dtype=np.int64)
-                               for i in np.array_split(same, len(same) // 4096 + 1)])
-        fits[same] = (100 + share) * most >= share * (size[same] + size[same + 1])
-        begin = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-        for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(rows)]):
-            if j - i == 2:
-                if fits[i]:
-                    firsts.append((i, i + 1))
-            elif j - i > 2:
-                labels = _connected(points[i:j], size[i:j], share)
-                firsts += [(i + x, i + y) for y, x in enumerate(labels.tolist()) if x != y]
-        a, b = np.array(firsts, dtype=np.int64).reshape(-1, 2).T
-        return pa.record_batch([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+    def edges(sig, node, size, points):
+        begin, length = _runs(sig)
+        firsts = _short_lists(begin[length <= SHORT], length[length <= SHORT], size, points, share)
+        for i, n in zip(begin[length > SHORT].tolist(), length[length > SHORT].tolist()):
+            labels = i + _connected(_widened(points[i:i + n]), size[i:i + n], share)
+            firsts.append(np.stack([labels, np.arange(i, i + n)]))
+        a, b = np.concatenate(firsts, axis=1) if firsts else np.zeros((2, 0), dtype=np.int64)
+        # texts meet under many listings: one edge of a pair is enough
+        low, high = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
+        order = np.lexsort((high, low))
+        low, high = low[order], high[order]
+        new = np.ones(len(low), dtype=bool)
+        new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+        new &= low != high
+        return _edges(low[new], high[new])
 
     def found(batches):
-        held, long = [], None
+        held, rows, long = [], 0, None
         for batch in batches:
-            more = []
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if long and long[0] == row[0]:
-                    more.append((long[1], row[1]))
-                    continue
-                long = None
-                held.append(row)
-                if len(held) > TREE and held[-TREE][0] == row[0]:
-                    first = next(i for i in range(len(held)) if held[i][0] == row[0])
-                    long = row[0], held[first][1]
-                    more += [(long[1], r[1]) for r in held[first + 1:]]
-                    held = held[:first]
-            if more:
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*more)], ["a", "b"])
-            whole = next((i for i in range(len(held), 0, -1) if held[i - 1][0] != held[-1][0]), 0) \
-                if held else 0
-            if whole > TREE:
-                yield edges(held[:whole])
-                held = held[whole:]
-        if held:
-            yield edges(held)
+            part = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            part.append(_matrix(batch.column(3)))
+            if long:  # more of a list that is connected as a whole
+                more = int(np.searchsorted(part[0], long[0], "right"))
+                yield _edges(np.full(more, long[1]), part[1][:more])
+                part = [c[more:] for c in part]
+                long = long if not len(part[0]) else None
+            held.append(part)
+            rows += len(part[0])
+            if rows <= TREE:
+                continue
+            sig, *others = (np.concatenate(c) for c in zip(*held))
+            begin, length = _runs(sig)
+            for i, n in zip(begin[length > TREE].tolist(), length[length > TREE].tolist()):
+                yield _edges(np.full(n - 1, others[0][i]), others[0][i + 1:i + n])
+            if length[-1] > TREE:
+                long = int(sig[-1]), int(others[0][begin[-1]])
+            short = np.repeat(length <= TREE, length)
+            last = begin[-1]  # which may go on in the next batch
+            now = short & (np.arange(len(sig)) < last)
+            if now.any():
+                yield edges(sig[now], *(c[now] for c in others))
+            held = [[c[last:].copy() for c in (sig, *others)]] if short[-1] else []
+            rows = len(sig) - last if held else 0
+        if rows:
+            yield edges(*(np.concatenate(c) for c in zip(*held)))
+
+    return found
+
+
+def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values begin, and how long they are."""
+    begin = np.flatnonzero(np.concatenate((np.ones(min(len(values), 1), dtype=bool),
+                                           values[1:] != values[:-1])))
+    return begin, np.diff(np.append(begin, len(values)))
+
 
+def _matrix(points: pa.BinaryArray) -> np.ndarray:
+    """Packed points as rows of bytes."""
+    points = points.cast(pa.binary())
+    ends = np.frombuffer(points.buffers()[1], np.int32)[points.offset:points.offset + len(points) + 1]
+    return np.frombuffer(points.buffers()[2], np.uint8)[ends[0]:ends[-1]].reshape(len(points), -1) \
+        if len(points) else np.zeros((0, SKETCH + 1), dtype=np.uint8)
+
+
+def _short_lists(begin, length, size, points, share: int) -> list[np.ndarray]:
+    """Pairs (first, row) of rows in short lists, ``first`` being the least row that a row is
+    connected with by pairs that may be linked. Lists of one length are dealt with together."""
+    found = []
+    for n in np.unique(length[length > 1]).tolist():
+        x, y = np.triu_indices(n, 1)
+        lists = begin[length == n]
+        for some in np.array_split(lists, len(lists) * len(x) // PAIRS + 1):
+            rows = (some[:, None] + np.arange(n)).ravel()
+            i, j = ((np.arange(len(some))[:, None] * n + of).ravel() for of in (x, y))
+            most = np.minimum(_widened(points[rows[i]]), _widened(points[rows[j]])).sum(
+                axis=1, dtype=np.int64)
+            fits = (100 + share) * most >= share * (size[rows[i]] + size[rows[j]])
+            i, j, labels = i[fits], j[fits], np.arange(len(rows))
+            while True:
+                least = np.minimum(labels[i], labels[j])
+                if (labels[i] == least).all() and (labels[j] == least).all():
+                    break
+                np.minimum.at(labels, i, least)
+                np.minimum.at(labels, j, least)
+            found.append(np.stack([rows[labels], rows]))
     return found
 
 
 def _connected(points: np.ndarray, sizes: np.ndarray, share: int) -> np.ndarray:
-    """Label of each point: the first row that it is connected with by pairs that may be linked."""
+    """Label of each point: the first row that it is connected with by pairs that may be linked.
+
+    Points are compared with all that are not yet connected with them or with one before: those
+    of a list are much alike, so that the nodes of a tree would rule out next to nothing.
+    """
     labels = np.arange(len(points))
-    tree = Tree(points, sizes, share)
-    for i in range(len(points)):
-        rows = tree.search(points[i], int(sizes[i]), labels, labels[i])
-        if len(rows):
-            joined = np.unique(np.append(labels[rows], labels[i]))
-            labels[np.isin(labels, joined)] = joined[0]
+    left = labels.copy()
+    while len(left):
+        first, open_ = left[0], [left[0]]
+        left, among, own = left[1:], points[left[1:]], sizes[left[1:]]
+        while open_ and len(left):
+            row = open_.pop()
+            most = np.minimum(among, points[row]).sum(axis=1, dtype=np.int64)
+            fits = (100 + share) * most >= share * (own + sizes[row])
+            if fits.any():
+                labels[left[fits]] = first
+                open_ += left[fits].tolist()
+                left, among, own = left[~fits], among[~fits], own[~fits]
     return labels
 
 
@@ -273,12 +370,14 @@ class Tree:
         half = len(rows) // 2
         return rows, upper, least, (self.build(rows[order[:half]]), self.build(rows[order[half:]]))
 
-    def search(self, point: np.ndarray, size: int, labels: np.ndarray, own: int) -> np.ndarray:
-        """Rows that may be linked with a point and carry another label than ``own``."""
+    def search(self, point: np.ndarray, size: int, labels: np.ndarray, own: int,
+               after: int = -1) -> np.ndarray:
+        """Rows beyond ``after`` that may be linked with a point and carry another label than ``own``."""
         found, open_, share = [], [self.root], self.share
         while open_:
             rows, upper, least, below = open_.pop()
-            if (labels[rows] == own).all():
+            rows = rows[(rows > after) & (labels[rows] != own)]
+            if not len(rows):
                 continue
             # shared >= t / (1 + t) (m + n), for the smallest n below this node
             if (100 + share) * int(np.minimum(point, upper).sum(dtype=np.int64)) < share * (
@@ -287,7 +386,6 @@ class Tree:
             if below:
                 open_ += below
                 continue
-            rows = rows[labels[rows] != own]
             most = np.minimum(self.points[rows], point).sum(axis=1, dtype=np.int64)
             fits = (100 + share) * most >= share * (size + self.sizes[rows])
             found.append(np.stack([most[fits], rows[fits]]))
@@ -309,13 +407,14 @@ def linked(a: np.ndarray, b: np.ndarray, share: int) -> bool:
 
 
 def link(sets: list[np.ndarray], share: int) -> np.ndarray:
-    """Label of each set: the first row of its component. Pairs already connected are not tried."""
+    """Label of each set: the first row of its component. Pairs already connected are not tried,
+    and no pair is tried twice."""
     labels = np.arange(len(sets))
     points = np.stack([point_of(s) for s in sets])
     sizes = np.array([len(s) for s in sets])
     tree = Tree(points, sizes, share)
     for i, one in enumerate(sets):
-        rows = tree.search(points[i], int(sizes[i]), labels, labels[i])
+        rows = tree.search(points[i], int(sizes[i]), labels, labels[i], i)
         while len(rows):
             if linked(one, sets[rows[0]], share):
                 joined = min(labels[i], labels[rows[0]])

@@ -5,6 +5,7 @@ bytes in a text, trained on labelled rows, calibrated on labelled rows it has no
 applied in Arrow batches against a fixed threshold.
 """
 
+from functools import cached_property
 from typing import NamedTuple
 
 import numpy as np
@@ -83,10 +84,14 @@ class Texts:
         self.hashes = hasher(self.data, first, last)
         self.doc = self.owner(first)
         self.n_words = np.bincount(self.doc, minlength=len(raw))
+        self.same = self.doc[:-1] == self.doc[1:]
+
+    @cached_property
+    def pairs(self) -> np.ndarray:
+        """Hashes of pairs of words; those across two documents are not ``same``."""
         pair = self.hashes[:-1] * np.uint64(0xBF58476D1CE4E5B9) + self.hashes[1:]
         pair = (pair ^ (pair >> np.uint64(30))) * MIX
-        self.same = self.doc[:-1] == self.doc[1:]
-        self.pairs = pair ^ (pair >> np.uint64(27))
+        return pair ^ (pair >> np.uint64(27))
 
     def owner(self, at: np.ndarray) -> np.ndarray:
         """Documents that hold these bytes."""

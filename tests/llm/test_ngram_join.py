@@ -138,3 +138,70 @@ def test_packed_points_are_nowhere_below():
         back = ngram_join.unpacked([ngram_join.packed(point)])[0]
         assert (back >= point).all(), most
         assert (back[point < 256] == point[point < 256]).all() or most > 255
+
+
+def test_texts_with_one_passage_in_common_are_not_looked_for(found):
+    """Unlinked texts share listings through a passage, but by far not as many as linked ones do;
+    two linked texts keep one in common."""
+    rng = random.Random(6)
+    names = [f"n{i}" for i in range(5000)]
+    passage = [rng.choice(names) for _ in range(400)]
+    texts = [" ".join([rng.choice(names) for _ in range(1100)] + passage) for _ in range(30)]
+    texts += [" ".join([rng.choice(names), *t.split()[1:-i], rng.choice(names)]) for i, t in enumerate(texts[:5], 1)]
+    texts += [r[1] or "" for r in found]
+    sets = ngram_join.shingle_sets(texts, ngram_join.Hasher())
+    lister = ngram_join.Lister(85)
+    lists = [set(lister(s).tolist()) for s in sets]
+    on = {}
+    for one, listed in zip(sets, lists):
+        for x in listed:
+            on.setdefault(x, set()).add(one.tobytes())
+    shared = np.vectorize(lambda x: len(on[int(np.uint64(x % 2 ** 64))]) > 1, otypes=[bool])
+    met = [set(lister.met(s, lambda x: shared(x.astype(object)) if len(x) else x.astype(bool)).tolist()) for s in sets]
+    assert all(any(lists[i] & lists[j] for j in range(30) if i != j) for i in range(30))
+    assert not any(met[5:30]) and all(met[i] & met[30 + i] for i in range(5))
+    linked = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a.tobytes() != sets[j].tobytes() and ngram_join.linked(a, sets[j], 85):
+                assert met[i] & met[j]
+                linked += 1
+    assert linked > 100
+
+
+def test_lists_connect_what_their_points_allow():
+    """Short lists, long ones and those beyond a tree, in batches that cut them anywhere."""
+    rng = np.random.default_rng(2)
+    kinds = rng.integers(0, 30, (12, 128))
+    points = np.maximum(kinds[rng.integers(0, 12, 150)] + rng.integers(-2, 3, (150, 128)), 0).astype(np.uint32)
+    sizes = points.sum(axis=1, dtype=np.int64)
+    lists = [rng.choice(150, n, replace=False).tolist() for n in (1, 2, 2, 3, 5, 16, 17, 40, 150) * 6]
+    rows = [(k * 5 - 60, x * 3 - 100, int(sizes[x]), ngram_join.packed(points[x])) for k, own in enumerate(lists) for x in own]
+
+    def reach(pairs):
+        label = {}
+        for a, b in pairs:
+            one, other = label.setdefault(a, {a}), label.setdefault(b, {b})
+            if one is not other:
+                one |= other
+                label.update(dict.fromkeys(other, one))
+        return {frozenset(x) for x in label.values()}
+
+    packed = ngram_join.unpacked([r[3] for r in rows])
+    at = {r[1]: i for i, r in enumerate(rows)}
+    want = []
+    for own in lists:
+        for y in own:
+            for x in own:
+                a, b = at[x * 3 - 100], at[y * 3 - 100]
+                most = int(np.minimum(packed[a], packed[b]).sum(dtype=np.int64))
+                if x < y and 185 * most >= 85 * int(sizes[x] + sizes[y]):
+                    want.append((x * 3 - 100, y * 3 - 100))
+    kinds = (ngram_join.pa.int64(),) * 3 + (ngram_join.pa.binary(),)
+    chain = np.repeat(np.eye(60, dtype=np.uint32) + np.eye(60, k=1, dtype=np.uint32), 4, axis=1)
+    assert (ngram_join._connected(chain, np.full(60, 8), 30) == 0).all()  # neighbours only are allowed
+    for step in (1, 7, 10_000):
+        batches = [ngram_join.pa.record_batch([ngram_join.pa.array(c, k) for c, k in zip(zip(*rows[i:i + step]), kinds)],
+                                              ["sig", "node", "n_shingles", "point"]) for i in range(0, len(rows), step)]
+        got = [p for b in ngram_join._meetings(85)(iter(batches)) for p in zip(*(c.to_pylist() for c in b.columns))]
+        assert reach(got) == reach(want)
