@@ -187,3 +187,49 @@ def test_held_rows_are_few_values_of_the_state():
     assert len(store) == 4 and timers == [3_600_000]
     assert [tuple(r) for r in hold.handleExpiredTimer((3_600_000, 1), None, None)] == [tuple(r) for r in rows]
     assert not store
+
+
+def test_rows_of_a_group_are_one_row_on_their_way_to_the_state(spark):
+    """Every row comes back as it was, from few packs; a group's rows are never in another's pack."""
+    rows = [(None if i % 7 == 0 else i, "é" * (i % 3) or None, T0 + dt.timedelta(microseconds=i), i % 4 * 1000, i % 3)
+            for i in range(20_000)]
+    table = spark.createDataFrame(rows, "n long, k string, ts timestamp, _span long, _spread int").toArrow()
+    packs = list(keyed._packs(iter(table.to_batches(max_chunksize=1000))))
+    assert sum(p.num_rows for p in packs) == 12
+    whole = []
+    for pack in packs:
+        for i in range(pack.num_rows):
+            back = list(keyed._unpacked(iter([pack.slice(i, 1).select(["rows"])])))
+            span, spread = pack["_span"][i].as_py(), pack["_spread"][i].as_py()
+            whole += [(*r.values(), span, spread) for b in back for r in b.to_pylist()]
+    assert sorted(map(str, whole)) == sorted(str(tuple(r.values())) for r in table.to_pylist())
+    assert list(keyed._packs(iter([]))) == [] and list(keyed._unpacked(iter([]))) == []
+    assert max(b.num_rows for b in keyed._packs(iter(table.to_batches()))) == 12
+
+
+def test_a_busy_group_is_cut_into_packs(spark, monkeypatch):
+    monkeypatch.setattr(keyed, "PACK", 100)
+    table = spark.range(950).selectExpr("id as n", "1000L as _span", "0 as _spread").toArrow()
+    packs = list(keyed._packs(iter(table.to_batches())))
+    assert sum(p.num_rows for p in packs) == 10
+    back = [r for p in packs for b in keyed._unpacked(iter([p.select(["rows"])])) for r in b.column(0).to_pylist()]
+    assert sorted(back) == list(range(950))
+
+
+def test_few_rows_pass_through_the_state(spark, tmp_path):
+    """The state takes what a task has of a span and a group as one row; rows without a time are dropped."""
+    rows = [(i, "ab"[i % 2], T0 + dt.timedelta(milliseconds=i)) for i in range(3000)] + [(9000, "a", None)]
+    path, home = str(tmp_path / "in"), str(tmp_path)
+    schema = "n long, k string, ts timestamp"
+    arrive(spark.createDataFrame(rows, schema), path, 0, 1)
+    arrive(spark.createDataFrame([(None, "closing", T0 + dt.timedelta(days=9))], schema), path, 1, 1)
+    keyed.with_keyed_state(spark)
+    stream = streams.read_files(spark, path, spark.createDataFrame([], schema).schema, 1)
+    seen = []
+    query = keyed.in_time_order(stream, "ts", "1 hour", spread=4).writeStream.foreachBatch(
+        lambda df, number: seen.append([r["n"] for r in df.collect()])).option(
+        "checkpointLocation", f"{home}/check").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(n for batch in seen for n in batch if n is not None) == list(range(3000))
+    first = next(p for p in query.recentProgress if p["numInputRows"] == 3001)
+    assert first["stateOperators"][0]["numRowsUpdated"] <= 4
