@@ -1,7 +1,10 @@
+import pytest
 from cases import SCHEMA, odd, rows, table, words
 from pyspark.sql import functions as F
 
-from newsmill.llm.mixing import curriculum, demand, due_at, in_training_order, targets
+from newsmill.llm import mixing, queries
+from newsmill.llm.mixing import (
+    curriculum, demand, due_at, in_training_order, mixed, placed_copies, targets)
 
 MIX = {"weights": (3, 1, 2), "share": 1.5, "cap": 2.0}
 
@@ -89,3 +92,38 @@ def test_positions_invert_the_integral_of_the_weight(spark):
     got = ends.withColumn("word", demand(F.col("t"))).withColumn("back", due_at(F.col("word"))).collect()
     assert all(abs(r.back - r.t) < 1e-6 for r in got)
     assert all(abs(r.word - 700 * r.t) < 1e-9 for r in got if r.t in (0.0, 1.0))
+
+
+@pytest.mark.parametrize("most", [mixing.BROADCAST_ROWS, -1])
+def test_the_mix_has_every_copy_at_its_position(spark, monkeypatch, most):
+    """Whole rows in training order over all sources, equal ones too; the words are those of the copies in place."""
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", most)
+    docs = table(spark, odd() + rows(["w " * (1 + i % 7) for i in range(90)] * 2, 100) + rows(["a b c"] * 30, 50) * 2)
+    plan = curriculum(docs, **MIX)
+    mix, (turn, nth, at) = placed_copies(docs, plan)
+    got = mix.collect()
+    assert [r[at] for r in got] == sorted(r[at] for r in got)
+    want = {(r.turn, r.nth): r for r in plan.collect()}
+    assert len(want) == docs.count()
+    assert sorted((r[turn], r[nth], r[at]) for r in got) == sorted(
+        (r.turn, r.nth, x) for r in want.values() for x in r.positions)
+    assert all((want[r[turn], r[nth]].doc_id, want[r[turn], r[nth]].size) == (r.doc_id, len(words(r.text))) for r in got)
+    counted = mixed(docs, **MIX).collect()
+    assert len(counted) == len(want)
+    for r in counted:
+        assert r.taken == r.size * want[r.turn, r.nth].copies and r.position == want[r.turn, r.nth].position
+
+
+def test_the_query_counts_the_copies_in_place(spark, monkeypatch):
+    """What is missing in the mix is missing in the rows of the query."""
+    place = mixing.placed_copies
+
+    def without_short(docs, plan):
+        mix, names = place(docs, plan)
+        return mix.filter("length(text) >= 6"), names
+
+    monkeypatch.setattr(mixing, "placed_copies", without_short)
+    monkeypatch.setattr(queries, "documents", lambda *_: table(spark, rows(["w " * (1 + i % 7) for i in range(90)])))
+    got = queries.op5_mixing(spark, "").collect()
+    assert len(got) == 90 and all((r.taken == 0) == (r.position is None) for r in got)
+    assert all(r.taken == 0 for r in got if r.size < 3) and any(r.taken for r in got)
