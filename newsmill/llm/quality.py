@@ -205,7 +205,8 @@ def _calibrate(scores: np.ndarray, good: np.ndarray) -> tuple[float, float]:
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 150) -> Model:
-    """A model from (buckets, shares, good) of labelled texts."""
+    """A model from (buckets, shares, good) of labelled texts, whose numbers may be narrow ones: what
+    is made of them is as wide as ever."""
     good = np.array([r[2] for r in rows], dtype=np.float64)
     held = np.arange(len(rows)) % HELD_OUT == HELD_OUT - 1
     if min(good[held].sum(), (1 - good[held]).sum(), good[~held].sum(), (1 - good[~held]).sum()) < 1:
@@ -213,7 +214,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 150) -> Mo
     train = np.flatnonzero(~held)
     at = np.concatenate([rows[i][0] for i in train])
     share = np.concatenate([rows[i][1] for i in train])
-    row = np.repeat(np.arange(len(train)), [len(rows[i][0]) for i in train])
+    row = np.repeat(np.arange(len(train), dtype=np.int32), [len(rows[i][0]) for i in train])
     y, n = good[train], len(train)
     each = np.where(y > 0, n / (2 * y.sum()), n / (2 * (n - y.sum())))  # both kinds count alike
     weights, bias = np.zeros(3 * DIM), 0.0
@@ -227,7 +228,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 150) -> Mo
         seen_bias += error.sum() ** 2
         bias -= 0.5 * error.sum() / np.sqrt(seen_bias)
     weights = weights.astype(np.float32)
-    scores = np.array([(weights[rows[i][0]] * rows[i][1]).sum() for i in np.flatnonzero(held)])
+    scores = np.array([(weights[rows[i][0]] * rows[i][1].astype(np.float64)).sum() for i in np.flatnonzero(held)])
     return Model(weights, bias, *_calibrate(scores + bias, good[held]))
 
 
@@ -259,11 +260,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         F.broadcast(chosen), "doc_id").groupBy("doc_id", "good").agg(
         F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     found = rows.mapInArrow(_features, "doc_id long, good int, at binary, share binary")
-    found = sorted(found.collect(), key=lambda r: (r.doc_id * 0x9E3779B1 % (
-        1 << 32), bytes(r.at), bytes(r.share)))
-    return fit([(np.frombuffer(r.at, np.int32).astype(np.int64),
-                 np.frombuffer(r.share, np.float32).astype(np.float64), int(r.good > 0))
-                for r in found])
+    found = [(r.doc_id * 0x9E3779B1 % (1 << 32), bytes(r.at), bytes(r.share), int(r.good > 0))
+             for r in found.collect()]
+    found.sort(key=lambda r: r[:3])
+    return fit([(np.frombuffer(at, np.int32), np.frombuffer(share, np.float32), good)
+                for _, at, share, good in found])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
